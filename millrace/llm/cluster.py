@@ -1,0 +1,56 @@
+"""What every operator here needs from the cluster: shared scratch folders, shipped code, size checks."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only while its measured size stays below this many bytes.
+BROADCAST_LIMIT = 24 << 20
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path below spark.checkpoint.dir, which all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """df with a broadcast hint if rows * row_bytes stays below limit, else df as it is (Spark then shuffles).
+
+    df should be cheap to count: a stored table whose count comes from Parquet footers.
+    """
+    return F.broadcast(df) if df.count() * row_bytes < limit else df

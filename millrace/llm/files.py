@@ -1,0 +1,33 @@
+"""Files in the shared folder, opened on executors by URI: local paths directly, other schemes through pyarrow."""
+
+from __future__ import annotations
+
+import os
+from urllib.parse import unquote, urlparse
+
+
+def _local(uri: str) -> str | None:
+    parts = urlparse(uri)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
+def create(uri: str):
+    """A new file for writing; its folder is made."""
+    if path := _local(uri):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, "wb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    return store.open_output_stream(path)
+
+
+def read(uri: str):
+    """A file for reading, with seek()."""
+    if path := _local(uri):
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
