@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .cluster import broadcast_if_small, stored
 
-BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+BLANK = r"[\x20\x09-\x0D]"
+SYMBOL = "[#*$%&|<>]"
 WINDOW = 8
 
 
@@ -27,8 +27,15 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, BLANKS, ""))
+def _lines(text: Column) -> Column:
+    """Lines that hold a word, as (line, chars): chars are the code points in its words."""
+    chars = lambda x: F.length(x) - F.regexp_count(x, F.lit(BLANK))
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), chars(x).alias("chars"))), lambda s: s["chars"] > 0)
+
+
+def _key(line: Column) -> Column:
+    """Hash of a normalised line."""
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, BLANK + "+", " "))))
 
 
 def _covered(hashes: Column) -> Column:
@@ -50,31 +57,31 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     split = (
         docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("source", F.lit("")).alias("host"), text.alias("t"))
-        .withColumn("words", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), ""))
-        .withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != ""))
+        .withColumn("words", F.array_remove(F.split("t", BLANK + "+"), ""))
+        .withColumn("keys", F.transform("words", lambda x: F.xxhash64(x)))
+        .withColumn("lines", _lines(F.col("t")))
     )
     n = F.size("words")
-    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
-    normal = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
+    # Each word is hashed once and a window from its words' hashes by position: slicing arrays costs several times as much.
+    hashes = F.when(n > WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("keys", i + k) for k in range(WINDOW)])))
     return split.withColumn("hashes", hashes).select(
         "row",
         "doc_id",
         "host",
         F.xxhash64("t", F.length("t")).alias("text_key"),
         n.cast("long").alias("n_words"),
-        _word_chars(F.col("t")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.aggregate("lines", F.lit(0), lambda n, s: n + s["chars"]).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines.line"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), _covered(F.col("hashes"))).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.transform("lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("key"), _word_chars(x).alias("chars"))).alias("keyed"),
+        F.transform("lines", lambda s: F.struct(_key(s["line"]).alias("key"), s["chars"].alias("chars"))).alias("keyed"),
     )
 
 
 def frequent_lines(docs: DataFrame, least_docs: int = 5, share: float = 0.05) -> DataFrame:
     """(host, key, n): lines of more distinct texts than their host's limit. Counts are combined before each shuffle."""
     text = F.coalesce("text", F.lit(""))
-    normal = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
-    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != ""), lambda x: F.xxhash64(normal(x))))
+    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), _key))
     own = docs.select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(text, F.length(text)).alias("text_key"), keys.alias("keys"))
     lines = own.select("host", "text_key", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count_distinct("text_key").alias("n"))
     hosts = own.groupBy("host").agg(F.count_distinct("text_key").alias("texts"))
