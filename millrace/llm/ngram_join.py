@@ -6,8 +6,8 @@
    a bucket's members to its least member join buckets into clusters of candidates.
 3. Each cluster's texts meet once. Clusters are cut into blocks of bounded size and every pair of
    blocks is one group, in which the full n-gram sets are compared exactly by an incidence matrix.
-   What leaves a group is one row per member (its number of links and its least linked member), never
-   the pairs, so the rows grow with the members.
+   What leaves a group is one row per member (its number of links and the least member of its component
+   in the group), never the pairs, so the rows grow with the members.
 4. Components of the confirmed links are the classes.
 
 Per row: doc_id, class_id (least doc_id of the class), n_links (other texts with Jaccard >= threshold),
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .cluster import broadcast_if_small, ship, stored
 from .graph import components
 from .groups import grouped
+from .memory import enter
 from .words import mix, shingles, slices, words_of
 
 N = 5
@@ -78,6 +79,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram")
         for batch in batches:
             for piece in slices(batch, "text"):
                 hashes, bounds = shingles(words_of(piece.column("text")), n)
@@ -91,7 +93,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def _compare(texts: pa.Array, side: np.ndarray, within: bool, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each text and its least linked text (itself without any), in one block or between two."""
+    """Links of each text and the least text of its component, in one block or between two."""
     hashes, bounds = shingles(words_of(texts), n)
     count = len(bounds) - 1
     owner = np.repeat(np.arange(count), np.diff(bounds))
@@ -128,8 +130,24 @@ def _compare(texts: pa.Array, side: np.ndarray, within: bool, n: int, threshold:
     np.fill_diagonal(linked, False)
     if not within:
         linked &= side[:, None] != side[None, :]
-    least = np.where(linked.any(axis=1), linked.argmax(axis=1), np.arange(count))
-    return linked.sum(axis=1).astype(np.int64), np.minimum(least, np.arange(count))
+    return linked.sum(axis=1).astype(np.int64), _roots(linked)
+
+
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The least member of each member's component in a symmetric matrix of links."""
+    root = np.arange(len(linked))
+    held = np.flatnonzero(linked.any(axis=1))
+    links = linked[np.ix_(held, held)]
+    label = np.arange(len(held))
+    while len(held):
+        near = np.where(links, label[None, :], len(held)).min(axis=1)
+        new = np.minimum(label, near)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    root[held] = held[label]
+    return root
 
 
 def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -161,6 +179,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "digest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram")
         ready: list[pa.RecordBatch] = []
         waiting = 0
         for group in grouped(batches, ["root", "i", "j"]):
