@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What Python's str.strip() removes, as a Java character class body.
 STRIPPED = r"\s\x1c-\x1f"
@@ -19,13 +20,12 @@ HINDI_STOP_WORDS = "है हैं था थी थे का की के 
 STOP_WORDS = ENGLISH_STOP_WORDS + HINDI_STOP_WORDS
 
 
-@F.pandas_udf("string")
-def _nfc(x: pd.Series) -> pd.Series:
+def _compose(x: pd.Series) -> pd.Series:
     return x.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
 def nfc(x: Column) -> Column:
-    return _nfc(x)
+    return F.pandas_udf(_compose, T.StringType())(x)
 
 
 def strip(x: Column) -> Column:

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import claims, normalize, numbers, substantive_tokens
 
@@ -14,7 +15,6 @@ SUPPORT = 0.55
 OVERLAP_WEIGHT = 0.7
 
 
-@F.pandas_udf("double")
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
@@ -32,7 +32,7 @@ def claim_scores(answers: DataFrame, evidence: DataFrame, sequence: bool = True)
     pairs = asked.join(held, "answer_id", "left")
     overlap = F.when(F.coalesce(F.size("e_words"), F.lit(0)) == 0, 0.0).otherwise(F.size(F.array_intersect("words", "e_words")) / F.greatest(F.size("words"), F.lit(1)))
     if sequence:
-        similar = _similarity(F.col("low"), F.coalesce("e_low", F.lit("")))
+        similar = F.pandas_udf(_similarity, T.DoubleType())(F.col("low"), F.coalesce("e_low", F.lit("")))
         pairs = pairs.withColumn("pair", F.when(F.coalesce(F.size("e_words"), F.lit(0)) == 0, 0.0).otherwise(OVERLAP_WEIGHT * overlap + (1 - OVERLAP_WEIGHT) * similar))
     else:
         pairs = pairs.withColumn("pair", overlap)

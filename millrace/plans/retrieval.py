@@ -67,8 +67,10 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "rank", "chunk_id", "document_id", F.round("score", 4).alias("score"), F.col("chunk_text").alias("text"))
 
 
-@query(f"""WITH {HITS}, {TOP}, e AS (SELECT t.query_id, string_agg('--- [Passage ' || (rank + 1) || ' (ID: ' || vec_id || ', Doc: d' || vec_id || ')] ---' || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY rank) AS blocks FROM t JOIN documents ON vec_id = doc_id GROUP BY query_id)
-SELECT query_id, 'Reference Evidence Passages:' || chr(10) || blocks || chr(10) || chr(10) || repeat('-', 50) || chr(10) || 'User Question: ' || trim(substr(text, 1, 120), ' ' || chr(10)) || chr(10) || 'Answer the question concisely and accurately based solely on the passages above:' AS prompt FROM e JOIN documents ON query_id = doc_id""")
+@query(f"""WITH {HITS}, {TOP}, o AS (SELECT t.query_id, t.vec_id, t.rank, text, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS n FROM t JOIN documents ON vec_id = doc_id),
+e AS (SELECT query_id, string_agg('--- [Passage ' || n || ' (ID: ' || vec_id || ', Doc: d' || vec_id || ')] ---' || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY rank) AS blocks FROM o GROUP BY query_id)
+SELECT a.vec_id AS query_id, CASE WHEN blocks IS NULL THEN 'Question: ' || trim(coalesce(substr(text, 1, 120), ''), ' ' || chr(10)) || chr(10) || chr(10) || '(No background evidence available. State that no context was found.)' ELSE 'Reference Evidence Passages:' || chr(10) || blocks || chr(10) || chr(10) || repeat('-', 50) || chr(10) || 'User Question: ' || trim(coalesce(substr(text, 1, 120), ''), ' ' || chr(10)) || chr(10) || 'Answer the question concisely and accurately based solely on the passages above:' END AS prompt
+FROM embeddings a LEFT JOIN e ON a.vec_id = e.query_id LEFT JOIN documents ON a.vec_id = doc_id WHERE a.vec_id % 100 = 0""")
 def rag_prompt(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.resolve(_hits(spark, d), views.chunks(spark, d))
     evidence = found.groupBy("query_id").agg(F.collect_list(F.struct("rank", "chunk_id", "document_id", F.col("chunk_text").alias("text"))).alias("evidence"))  # K a query
@@ -85,7 +87,7 @@ def _lexical(q: str, t: str) -> str:
 
 
 TOKENS = "[t FOR t IN string_split_regex(lower(trim({x}, ' ' || chr(10))), '" + LEXICAL + "') IF t <> '']"
-SCORED = f"""{HITS}, d AS (SELECT h.*, {TOKENS.replace("{x}", "c.text")} AS tt, {TOKENS.replace("{x}", "substr(q.text, 1, 120)")} AS qt FROM h JOIN documents c ON vec_id = c.doc_id JOIN documents q ON query_id = q.doc_id),
+SCORED = f"""{HITS}, d AS (SELECT h.*, {TOKENS.replace("{x}", "c.text")} AS tt, {TOKENS.replace("{x}", "coalesce(substr(q.text, 1, 120), '')")} AS qt FROM h JOIN documents c ON vec_id = c.doc_id LEFT JOIN documents q ON query_id = q.doc_id),
 l AS (SELECT query_id, vec_id, score, rank, {_lexical("qt", "tt")} AS lex FROM d),
 y AS (SELECT *, ((greatest(-1.0, least(1.0, score)) + 1) / 2) * 0.6 + lex * 0.4 + 0.1 / (60 + rank + 1) AS hybrid FROM l)"""
 
