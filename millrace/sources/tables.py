@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_made: list[str] = []
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -28,9 +33,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean() -> None:
+    """Remove the scratch tables of this process; called at its end. Tables in other stores than files are left to the store's own rules."""
+    for path in _made:
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+    _made.clear()
+
+
+atexit.register(clean)
 
 
 def write_parquet(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
