@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """hashes: of each word; begin, end: its bytes in `data`; first: index of each text's first word, and their number at last."""
+    """hashes: of each word; begin, end: its bytes in `data` (`low`: folded); first: index of each text's first word, and their number at last."""
 
     hashes: np.ndarray
     begin: np.ndarray
@@ -47,6 +47,7 @@ class Words:
     first: np.ndarray
     text_at: np.ndarray
     data: np.ndarray
+    low: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -94,14 +95,25 @@ def words_of(texts: pa.Array) -> Words:
     lengths = ends - starts
     first = np.searchsorted(starts, at)
     if not len(starts):
-        return Words(np.zeros(0, dtype=np.uint64), starts, ends, first, at, data)
+        return Words(np.zeros(0, dtype=np.uint64), starts, ends, first, at, data, low)
     inside = low[is_word].astype(np.uint64)
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(len(inside)) - np.repeat(begin, lengths)
     if lengths.max() > len(_POWERS):
         place %= len(_POWERS)
     sums = np.add.reduceat((inside + np.uint64(1)) * _POWERS[place], begin)
-    return Words(mix(sums + lengths.astype(np.uint64)), starts, ends, first, at, data)
+    return Words(mix(sums + lengths.astype(np.uint64)), starts, ends, first, at, data, low)
+
+
+def prefixes(w: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size a hash of the first so many bytes of every word; 0 for words that aren't longer."""
+    length, out = w.end - w.begin, []
+    total = np.zeros(len(w.begin), dtype=np.uint64)
+    for k in range(max(sizes)):
+        total += (w.low[np.minimum(w.begin + k, len(w.low) - 1)].astype(np.uint64) + np.uint64(1)) * _POWERS[k] if len(w.low) else total
+        if k + 1 in sizes:
+            out.append(np.where(length > k + 1, mix(total ^ np.uint64(0x5851F42D4C957F2D + k)) | np.uint64(1), np.uint64(0)))
+    return out
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -134,7 +146,7 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `size` bytes of text; a longer text is a piece of its own."""
     if not batch.num_rows:
         return
