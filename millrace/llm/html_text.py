@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import broadcast_if_small, ship, stored
+from .memory import enter
 from .words import slices
 
 # HTML elements by what they do here.
@@ -207,6 +208,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("html")
         for batch in batches:
             for piece in slices(batch, "html"):
                 best = [Page(x).best() for x in piece.column("html").to_pylist()]
@@ -227,6 +229,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("html")
         for batch in batches:
             for piece in slices(batch, "html"):
                 texts = [Page(x).main_text(p) for x, p in zip(piece.column("html").to_pylist(), piece.column("path").to_pylist(), strict=True)]

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .cluster import ship
+from .memory import enter
 from .tokens import default_vocabulary, encoder
 from .words import slices
 
@@ -154,6 +155,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = WINDOW, end
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         packer, number = Packer(size), TaskContext.get().partitionId() << 32
 
         def drain() -> pa.RecordBatch:
@@ -175,7 +177,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = WINDOW, end
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", 3 << 20):
                 ids, bounds = encoder(path).encode(piece.column("text"))
                 whole = np.insert(ids, bounds[1:], end_id).astype("<u4")
                 at = bounds + np.arange(len(bounds))

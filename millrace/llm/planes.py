@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import files
 from .cluster import scratch, ship, stored
+from .memory import enter
 from .tokens import default_vocabulary, encoder
 from .words import slices
 
@@ -155,9 +156,10 @@ def write_planes(docs: DataFrame, folder: str, vocabulary: str | None = None, ki
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         part, uri, out = TaskContext.get().partitionId(), "", None
         for batch in batches:
-            for piece in slices(batch, "text", 8 << 20):
+            for piece in slices(batch, "text", 3 << 20):
                 if out is None:
                     uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.planes"
                     out = Writer(uri, kind, block)
@@ -181,6 +183,7 @@ def read_planes(index: DataFrame) -> DataFrame:
         base += x["ids"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("tokens")
         for batch in batches:
             for uri, first in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 source, out = Reader(uri), []

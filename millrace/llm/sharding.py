@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import scratch, ship
+from .memory import enter
 
 BUCKET_BYTES = 32 << 20
 
@@ -45,6 +46,7 @@ def shuffled_buckets(docs: DataFrame, seed: int = 7, bucket_bytes: int = BUCKET_
     dealt = dealt.repartitionById(buckets, F.col("bucket"))
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("sharding")
         held = [b for b in batches if b.num_rows]
         if not held:
             return

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .cluster import broadcast_if_small, ship, stored
 from .groups import grouped
+from .memory import enter
 from .words import slices, windows, words_of
 
 K, W = 6, 10
@@ -140,6 +141,7 @@ def walk(a: np.ndarray, b: np.ndarray, reach: int = RESYNC) -> tuple[int, int, i
 
 def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             for piece in slices(batch, "text"):
                 words = words_of(piece.column("text"))
@@ -178,6 +180,7 @@ def _chains(links: DataFrame, k: int) -> DataFrame:
     names = ["ask", "task", "slot", "doc_id", "lo", "hi", "src", "src_lo", "src_hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         task, number, asked = TaskContext.get().partitionId(), 0, {}
         out: list[tuple] = []
         for group in grouped(batches, ["doc_id", "src"]):
@@ -210,10 +213,11 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
     here = chains.select("ask", "task", F.lit(-1).cast("long").alias("slot"), F.col("doc_id").alias("own"), F.lit(0).alias("side"), "lo", "hi", "doc_id", "src")
     there = chains.select("ask", "task", "slot", F.col("src").alias("own"), F.lit(1).alias("side"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"), "doc_id", "src")
     asks = here.unionAll(there).groupBy("own", "task", "slot").agg(F.collect_list(F.struct("ask", "side", "lo", "hi", "doc_id", "src")).alias("asks"))
-    asks = broadcast_if_small(stored(asks, "asks"), 160)
+    asks = broadcast_if_small(stored(asks, "asks"), 200, rows=2 * chains.count())
     met = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").join(asks, F.col("doc_id") == F.col("own")).select("text", "asks")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             for piece in slices(batch, "text"):
                 words = words_of(piece.column("text"))
@@ -235,6 +239,7 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["ask", "side", "lo", "base", "words", "doc_id", "src"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         out: list[tuple] = []
         names = ["doc_id", "lo", "hi", "src", "src_lo", "src_hi", "matched"]
         for group in grouped(batches, ["ask"]):
@@ -283,6 +288,7 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("substrings")
         for batch in batches:
             for piece in slices(batch, "text"):
                 words = words_of(piece.column("text"))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .cluster import broadcast_if_small, ship, stored
 from .groups import grouped
+from .memory import enter
 from .words import Words, mix, slices, windows, words_of
 
 N = 8
@@ -131,6 +132,7 @@ def _window_rows(df: DataFrame, id_name: str, n: int, table: np.ndarray | None =
     """(h, row, id, place, total, slots): windows with the values of their slots (0 for literals); total: windows of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("templates")
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -156,6 +158,7 @@ def bit_table(hashes: DataFrame, size: int) -> np.ndarray:
     """A table of `size` bits with those of the column h set: one partial table per task of a few, joined here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("templates")
         table = np.zeros(size // 8, dtype=np.uint8)
         for batch in batches:
             bit = (batch.column("h").to_numpy().view(np.uint64) >> np.uint64(20)) & np.uint64(size - 1)
@@ -183,6 +186,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, coverage: float = COVER
     names = ["doc_id", "item_id", "n_windows", "item_windows", "coverage", "n_slots", "slot_consistency", "exact"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("templates")
         out: list[tuple] = []
         for group in grouped(batches, ["row", "item_row"]):
             places = np.unique(group.column("item_place").to_numpy())

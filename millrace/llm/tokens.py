@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks a worker keeps; beyond it the cache starts anew, so memory stays bounded.
-CACHE_CHUNKS = 800_000
-
-_encoders: dict[str, Encoder] = {}
+from .memory import held
 
+#: Distinct chunks a worker keeps; beyond it only those met again stay, at most half as many, so memory stays bounded.
+CACHE_CHUNKS = 350_000
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -49,10 +48,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_chunk = separable(path)
+        signs = [(x, self.tokenizer.encode(x, add_special_tokens=False).ids) for x in "¤§¶|"]
+        self.sign, self.sign_id = next(((x, ids[0]) for x, ids in signs if len(ids) == 1), ("", 0))
+        self.between = f" {self.sign} " if self.sign else ""
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[str, int] = {}
+        self.uses = np.zeros(1 << 16, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.starts = np.zeros(1 << 16, dtype=np.int64)
@@ -63,11 +66,10 @@ class Encoder:
         if need > len(self.starts):
             grow = max(need, 2 * len(self.starts))
             self.starts, self.sizes = np.resize(self.starts, grow), np.resize(self.sizes, grow)
+            self.uses = np.concatenate((self.uses, np.zeros(grow - len(self.uses), dtype=np.int32)))
         for i in range(0, len(chunks), 4096):
             part = chunks[i : i + 4096]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-            flat = np.fromiter((x for ids in lists for x in ids), dtype=np.uint32, count=int(sizes.sum()))
+            flat, sizes = self._encode_chunks(part)
             if self.used + len(flat) > len(self.ids):
                 self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + len(flat)))
             at = len(self.places)
@@ -77,6 +79,38 @@ class Encoder:
             self.used += len(flat)
             self.places.update(zip(part, range(at, at + len(part))))
 
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks one after the other, and how many each has.
+
+        Many short calls cost more than the encoding, so chunks go in by the hundred with a sign between them
+        that is a token of its own. Should the signs not come back one for one, chunks go in singly.
+        """
+        joined = [self.between.join(chunks[i : i + 512]) for i in range(0, len(chunks), 512)] if self.between and not any(self.sign in x for x in chunks) else []
+        if joined:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            flat = np.concatenate([np.array([*x, self.sign_id], dtype=np.uint32) for x in lists])
+            ends = np.flatnonzero(flat == self.sign_id)
+            if len(ends) == len(chunks):
+                return np.delete(flat, ends), np.diff(ends, prepend=-1) - 1
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return np.fromiter((x for ids in lists for x in ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def prune(self) -> None:
+        """Keep the chunks met most often, at least twice, and at most half of CACHE_CHUNKS."""
+        uses = self.uses[: len(self.places)]
+        least = max(2, int(np.partition(uses, -CACHE_CHUNKS // 2)[-CACHE_CHUNKS // 2]) + 1) if len(uses) > CACHE_CHUNKS // 2 else 2
+        kept = np.flatnonzero(uses >= least)
+        sizes, starts = self.sizes[kept], self.starts[kept]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+        names = list(self.places)
+        places = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.clear()
+        self.places, self.ids, self.used = places, ids if total else self.ids, total
+        self.sizes, self.starts, self.uses = (np.resize(x, max(len(x), 1 << 16)) for x in (sizes, ends - sizes, np.ones(max(len(kept), 1), dtype=np.int32)))
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array in order, and where each text's begin (their number at last). Nulls are empty."""
         if isinstance(texts, pa.ChunkedArray):
@@ -98,10 +132,15 @@ class Encoder:
         texts_at = texts_at - texts_at[0]
         names = flat.dictionary.to_pylist()
         if len(self.places) + len(names) > CACHE_CHUNKS:
-            self.clear()
-        self._add([x for x in names if x not in self.places])
+            self.prune()
+        new = [x for x in names if x not in self.places]
+        self._add([x for x in new if self.sign not in x] if self.sign else new)
+        if self.sign:
+            self._add([x for x in new if self.sign in x])
         place = np.fromiter(map(self.places.__getitem__, names), dtype=np.int64, count=len(names))
-        place = place[flat.indices.to_numpy(zero_copy_only=False)] if len(names) else place
+        if len(names):
+            self.uses[place] += np.bincount(flat.indices.to_numpy(zero_copy_only=False), minlength=len(names)).astype(np.int32)
+            place = place[flat.indices.to_numpy(zero_copy_only=False)]
         sizes = self.sizes[place]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -110,7 +149,5 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file, loaded once per process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """The worker's encoder of a vocabulary file."""
+    return held(path, lambda: Encoder(path))
