@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,18 @@ from pyspark.sql import functions as F
 #: A side is broadcast only while its measured size stays below this many bytes.
 BROADCAST_LIMIT = 24 << 20
 
+#: Bytes of an Arrow batch: the setting, its default, and what it becomes. Both JVM and Python hold several batches a task.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
+
 _shipped: set[str] = set()
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application."""
+    """Send this package to the Python workers once per application, and keep Arrow batches small unless the session says otherwise."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES[0]) == BATCH_BYTES[1]:
+        spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])
     if sc.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]
@@ -35,9 +43,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path below spark.checkpoint.dir, which all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "millrace-scratch")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean() -> None:
+    """Remove the scratch tables of this process; called at its end. Tables in other stores than files are left to the store's own rules."""
+    for path in _made:
+        if urlparse(path).scheme in ("", "file"):
+            shutil.rmtree(urlparse(path).path, ignore_errors=True)
+    _made.clear()
+
+
+atexit.register(clean)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,9 +69,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """df with a broadcast hint if rows * row_bytes stays below limit, else df as it is (Spark then shuffles).
 
-    df should be cheap to count: a stored table whose count comes from Parquet footers.
+    rows is counted unless given; df should then be cheap to count: a stored table with Parquet footers.
     """
-    return F.broadcast(df) if df.count() * row_bytes < limit else df
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes < limit else df
