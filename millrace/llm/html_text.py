@@ -36,6 +36,7 @@ from .words import slices
 BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th caption address summary".split())
 CONTAINERS = set("html body div article main section center table tbody thead tfoot tr ul ol dl figure details fieldset".split())
 LEFT_OUT = set("nav header footer aside form button select textarea iframe svg canvas object template dialog head menu noscript video audio".split())
+WRAPPERS = {"form", "header"}
 RAW = set("script style title xmp".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS | CONTAINERS | LEFT_OUT
@@ -62,15 +63,15 @@ class Node:
     lines: list[str] = field(default_factory=list)
 
 
-def _attributes(tag: str, raw: str) -> tuple[str, bool]:
-    """The classes with digits generalised, and whether the element isn't main text."""
-    classes, out = "", tag in LEFT_OUT
+def _attributes(tag: str, raw: str, strict: bool) -> tuple[str, bool]:
+    """The classes with digits generalised, and whether the element isn't main text (by tag alone unless strict)."""
+    classes, out = "", tag in LEFT_OUT and (strict or tag not in WRAPPERS)
     if raw and not raw.isspace():
         for name, *values in _ATTR.findall(raw):
             name, value = name.lower(), "".join(values)
             if name == "class":
                 classes = "." + ".".join(sorted(re.sub(r"\d+", "0", value).split())) if value.strip() else ""
-            if name in ("class", "id", "role") and tag not in ("html", "body"):
+            if strict and name in ("class", "id", "role") and tag not in ("html", "body"):
                 out |= any(x in NOT_MAIN for x in re.split(r"[^a-z]+", value.lower()))
             out |= (name == "hidden" and tag not in ("html", "body")) or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(_HIDDEN_STYLE.search(value)))
     return classes, out
@@ -84,7 +85,8 @@ def _clean(pieces: list[str]) -> str:
 class Page:
     """One pass over a page: containers with their scores, and the lines of main text with the chain of nodes above each."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, strict: bool = True):
+        self.strict = strict
         self.root = Node("", "", None, False)
         self.nodes: list[Node] = []
         self.lines: list[tuple[Node, str]] = []
@@ -144,7 +146,7 @@ class Page:
             self.in_link = True
             return
         if tag not in CLOSES_P:
-            _, out = _attributes(tag, raw) if raw.strip() else ("", False)
+            _, out = _attributes(tag, raw, self.strict) if raw.strip() else ("", False)
             if not out:
                 return
         elif self.stack[-1].tag == "p":
@@ -157,7 +159,7 @@ class Page:
                 if self.stack[i].tag in SIBLINGS[tag]:
                     self.pop(i)
                     break
-        classes, out = _attributes(tag, raw)
+        classes, out = _attributes(tag, raw, self.strict)
         top = self.stack[-1]
         node = Node(tag, f"{top.path}>{tag}{classes}", top, out or top.dropped)
         self.stack.append(node)
@@ -197,6 +199,15 @@ class Page:
         return "\n".join(out)
 
 
+def read(page: str) -> Page:
+    """The page; one whose whole text stands in elements left out by class, or in a form, is read again by tags alone."""
+    found = Page(page)
+    if not found.lines:
+        again = Page(page, strict=False)
+        return again if again.lines else found
+    return found
+
+
 def host_of(url):
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; empty without `://`."""
     rest = F.when(F.instr(url, "://") > 0, F.regexp_extract(url, "^.*?://([^/?#]*)", 1)).otherwise("")
@@ -211,7 +222,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         enter("html")
         for batch in batches:
             for piece in slices(batch, "html"):
-                best = [Page(x).best() for x in piece.column("html").to_pylist()]
+                best = [read(x).best() for x in piece.column("html").to_pylist()]
                 rows = [i for i, n in enumerate(best) if n.score > 0]
                 if rows:
                     yield pa.RecordBatch.from_arrays([piece.column("host").take(pa.array(rows)), pa.array([best[i].path for i in rows])], ["host", "path"])
@@ -232,7 +243,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
         enter("html")
         for batch in batches:
             for piece in slices(batch, "html"):
-                texts = [Page(x).main_text(p) for x, p in zip(piece.column("html").to_pylist(), piece.column("path").to_pylist(), strict=True)]
+                texts = [read(x).main_text(p) for x, p in zip(piece.column("html").to_pylist(), piece.column("path").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(texts, type=pa.string()), pa.array([len(x) for x in texts], type=pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return met.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")

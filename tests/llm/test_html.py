@@ -16,11 +16,12 @@ from millrace.llm import html_text as H
         ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a\nb\n1\n2"),
         ("<article><p>cut off he<b", "cut off he"),
         ("<article><!-- no --><p>a < b and a&nbsp;&#39;c&#x27;</p><p hidden>h</p><p style='display: none'>s</p></article>", "a < b and a 'c'"),
+        ("<body class=no-sidebar><div class='has-sidebar'><form><p>x</p></form><nav>n</nav></div></body>", "x"),
         ("<ARTICLE><P TITLE='a>b'>x</P></ARTICLE>", "x"),
     ],
 )
 def test_pages(page, text):
-    assert H.Page(page).main_text(None) == text
+    assert H.read(page).main_text(None) == text
 
 
 def test_the_host_decides(spark):
