@@ -126,7 +126,7 @@ class Encoder:
         texts = pc.replace_substring_regex(texts, pattern="([A-Za-z])([.,])", replacement=r"\1 \2")
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.ascii_lower(texts)
-        lists = pc.split_pattern_regex(texts, pattern="[ \n]+")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), pattern=" ")  # empty chunks have no ids
         flat = lists.flatten().dictionary_encode()
         texts_at = lists.offsets.to_numpy().astype(np.int64)
         texts_at = texts_at - texts_at[0]
