@@ -213,7 +213,7 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
     here = chains.select("ask", "task", F.lit(-1).cast("long").alias("slot"), F.col("doc_id").alias("own"), F.lit(0).alias("side"), "lo", "hi", "doc_id", "src")
     there = chains.select("ask", "task", "slot", F.col("src").alias("own"), F.lit(1).alias("side"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"), "doc_id", "src")
     asks = here.unionAll(there).groupBy("own", "task", "slot").agg(F.collect_list(F.struct("ask", "side", "lo", "hi", "doc_id", "src")).alias("asks"))
-    asks = stored(asks, "asks")  # grows with the documents, so it is joined by shuffle at any size
+    asks = stored(asks, "asks").hint("merge")  # grows with the documents, so it is joined by shuffle at any size
     met = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").join(asks, F.col("doc_id") == F.col("own")).select("text", "asks")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
