@@ -8,7 +8,8 @@
 3. Links of a pair of documents are chained in order on both sides. The chain score (a weight per seed
    less a cost per word of gap) comes from prefix maxima in a Fenwick tree over the partner's places.
 4. The words around each chain are fetched from both documents and aligned: equal runs, resynchronised
-   after edits, extended to both sides while the alignment gains.
+   after edits, extended to both sides while the alignment gains. Where it stops before the chain's end
+   (a gap of other words), it starts anew at the chain's next link outside, so a chain may give several stretches.
 5. Aligned stretches of a document that touch are joined; those of `least_words` or more are passages.
 
 Rows: doc_id, start_word, end_word (exclusive), n_words, src_doc_id, src_start_word, src_end_word,
@@ -139,6 +140,18 @@ def walk(a: np.ndarray, b: np.ndarray, reach: int = RESYNC) -> tuple[int, int, i
     return best[1:]
 
 
+def stretches(a: np.ndarray, b: np.ndarray, here: list[int], there: list[int], k: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Aligned stretches (lo, hi, src_lo, src_hi, matches) of a and b around a chain's links: each link lies in one."""
+    done = 0
+    for p, q in zip(here, there, strict=True):
+        if p + k <= done:
+            continue
+        right = walk(a[p:], b[q:])
+        left = walk(a[min(done, p) : p][::-1], b[:q][::-1])
+        yield p - left[0], p + right[0], q - left[1], q + right[1], left[2] + right[2]
+        done = max(done, p + right[0])
+
+
 def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substrings")
@@ -174,11 +187,16 @@ def _links(docs: DataFrame, k: int, w: int) -> DataFrame:
 
 
 def _chains(links: DataFrame, k: int) -> DataFrame:
-    """Chains as requests for words: ask (a number), task and slot (to bound lists), doc_id, lo, hi, src, src_lo, src_hi."""
+    """Chains as requests for words: ask (a number), task and slot (to bound lists), doc_id, lo, hi, src, src_lo, src_hi, and the places of its links on both sides."""
     held = links.repartition("doc_id").withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "src"))).filter(F.col("held") >= LEAST_SEEDS)
     held = held.select("doc_id", "src", "place", "src_place").sortWithinPartitions("doc_id", "src", "place", "src_place")
     names = ["ask", "task", "slot", "doc_id", "lo", "hi", "src", "src_lo", "src_hi"]
 
+    def requests(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True))
+        arrays = [pa.array(c, type=pa.int64()) for c in columns[: len(names)]] + [pa.array(c, type=pa.binary()) for c in columns[len(names) :]]
+        return pa.RecordBatch.from_arrays(arrays, [*names, "links", "src_links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substrings")
         task, number, asked = TaskContext.get().partitionId(), 0, {}
@@ -191,28 +209,28 @@ def _chains(links: DataFrame, k: int) -> DataFrame:
                 if len(links) < LEAST_SEEDS or here[b] + k - here[a] < LEAST_PART:
                     continue
                 asked[src] = asked.get(src, -1) + 1
-                out.append(((task << 33) + number, task, asked[src] // ASKS, doc_id, int(here[a]), int(here[b]) + k, src, int(there[a]), int(there[b]) + k))
+                out.append(((task << 33) + number, task, asked[src] // ASKS, doc_id, int(here[a]), int(here[b]) + k, src, int(there[a]), int(there[b]) + k, here[links].astype(np.int32).tobytes(), there[links].astype(np.int32).tobytes()))
                 number += 1
             if len(asked) > 1_000_000:
                 asked = {}
             if len(out) > 5000:
-                yield _batch(out, names)
+                yield requests(out)
                 out = []
         if out:
-            yield _batch(out, names)
+            yield requests(out)
 
-    return held.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return held.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", links binary, src_links binary")
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names)
 
 
-def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
+def _aligned(docs: DataFrame, chains: DataFrame, k: int) -> DataFrame:
     """Aligned stretches (doc_id, lo, hi, src, src_lo, src_hi, matched) of LEAST_PART words or more."""
-    here = chains.select("ask", "task", F.lit(-1).cast("long").alias("slot"), F.col("doc_id").alias("own"), F.lit(0).alias("side"), "lo", "hi", "doc_id", "src")
-    there = chains.select("ask", "task", "slot", F.col("src").alias("own"), F.lit(1).alias("side"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"), "doc_id", "src")
-    asks = here.unionAll(there).groupBy("own", "task", "slot").agg(F.collect_list(F.struct("ask", "side", "lo", "hi", "doc_id", "src")).alias("asks"))
+    here = chains.select("ask", "task", F.lit(-1).cast("long").alias("slot"), F.col("doc_id").alias("own"), F.lit(0).alias("side"), "lo", "hi", "doc_id", "src", "links")
+    there = chains.select("ask", "task", "slot", F.col("src").alias("own"), F.lit(1).alias("side"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"), "doc_id", "src", F.col("src_links").alias("links"))
+    asks = here.unionAll(there).groupBy("own", "task", "slot").agg(F.collect_list(F.struct("ask", "side", "lo", "hi", "doc_id", "src", "links")).alias("asks"))
     asks = stored(asks, "asks").hint("merge")  # grows with the documents, so it is joined by shuffle at any size
     met = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").join(asks, F.col("doc_id") == F.col("own")).select("text", "asks")
 
@@ -227,7 +245,7 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
                     own = short[words.first[t] : words.first[t + 1]]
                     for x in asked:
                         base = max(0, x["lo"] - MARGIN - RESYNC)
-                        rows.append((x["ask"], x["side"], x["lo"], base, own[base : x["hi"] + MARGIN + RESYNC].tobytes(), x["doc_id"], x["src"]))
+                        rows.append((x["ask"], x["side"], base, own[base : x["hi"] + MARGIN + RESYNC].tobytes(), x["links"], x["doc_id"], x["src"]))
                     if len(rows) > 2000:
                         yield fetched(rows)
                         rows = []
@@ -235,8 +253,8 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
                     yield fetched(rows)
 
     def fetched(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["ask", "side", "lo", "base", "words", "doc_id", "src"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["ask", "side", "base", "words", "links", "doc_id", "src"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substrings")
@@ -246,20 +264,18 @@ def _aligned(docs: DataFrame, chains: DataFrame) -> DataFrame:
             rows = {x["side"]: x for x in group.to_pylist()}
             if len(rows) < 2:
                 continue
-            (a, at_a), (b, at_b) = ((np.frombuffer(rows[s]["words"], dtype=np.uint32), rows[s]["lo"] - rows[s]["base"]) for s in (0, 1))
-            right = walk(a[at_a:], b[at_b:])
-            left = walk(a[:at_a][::-1], b[:at_b][::-1])
-            lo, src_lo = rows[0]["lo"] - left[0], rows[1]["lo"] - left[1]
-            hi, src_hi = rows[0]["lo"] + right[0], rows[1]["lo"] + right[1]
-            if hi - lo >= LEAST_PART:
-                out.append((rows[0]["doc_id"], lo, hi, rows[0]["src"], src_lo, src_hi, left[2] + right[2]))
+            (a, here), (b, there) = ((np.frombuffer(rows[s]["words"], dtype=np.uint32), (np.frombuffer(rows[s]["links"], dtype=np.int32) - rows[s]["base"]).tolist()) for s in (0, 1))
+            base, src_base = rows[0]["base"], rows[1]["base"]
+            for lo, hi, src_lo, src_hi, matched in stretches(a, b, here, there, k):
+                if hi - lo >= LEAST_PART:
+                    out.append((rows[0]["doc_id"], base + lo, base + hi, rows[0]["src"], src_base + src_lo, src_base + src_hi, matched))
             if len(out) > 5000:
                 yield _batch(out, names)
                 out = []
         if out:
             yield _batch(out, names)
 
-    words = met.mapInArrow(fetch, "ask long, side int, lo long, base long, words binary, doc_id long, src long").repartition("ask").sortWithinPartitions("ask", "side")
+    words = met.mapInArrow(fetch, "ask long, side int, base long, words binary, links binary, doc_id long, src long").repartition("ask").sortWithinPartitions("ask", "side")
     return words.mapInArrow(align, "doc_id long, lo long, hi long, src long, src_lo long, src_hi long, matched long")
 
 
@@ -267,7 +283,7 @@ def repeated_passages(docs: DataFrame, k: int = K, w: int = W, least_words: int
     """Fuzzy passages of documents (doc_id, text) that an earlier document has too."""
     ship(docs.sparkSession)
     chains = stored(_chains(_links(docs, k, w), k), "chains")
-    parts = _aligned(docs, chains)
+    parts = _aligned(docs, chains, k)
     by_place = Window.partitionBy("doc_id").orderBy("lo", "hi")
     reach = F.max("hi").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
     joined = parts.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("lo") - 1).cast("int"))

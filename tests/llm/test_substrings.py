@@ -99,3 +99,14 @@ def test_defined_cases(spark):
     kept = sorted((r.doc_id or 0) for r in S.without_passages(docs, found).collect())
     assert kept == [0, 0, 1, 2, 3, 3, 4, 5, 7]
     assert S.repeated_passages(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("gap", [33, 64, 100])
+def test_passages_behind_a_gap_of_other_words_are_found(spark, gap):
+    one, two = [f"a{i}" for i in range(200)], [f"b{i}" for i in range(200)]
+    rows = [(d, " ".join([*one, *(f"g{d}x{i}" for i in range(gap)), *two])) for d in (1, 2)]
+    found = S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.src_doc_id, r.src_start_word, r.src_end_word) for r in found) == [
+        (2, 0, 200, 1, 0, 200),
+        (2, 200 + gap, 400 + gap, 1, 200 + gap, 400 + gap),
+    ]
