@@ -2,9 +2,11 @@
 
 1. Seeds: hashes of k-word windows, thinned to minimisers (the least hash of every w neighbouring
    windows), so any k + w - 1 equal words share one.
-2. Each seed's occurrences are linked to its first one (least doc_id, then place), never to each other:
-   a passage that many documents share gives one link per occurrence. Seeds that a sample shows to be
-   hot are linked within salted parts first, and the parts' first ones then to each other.
+2. Each seed's occurrences are linked to those in the first and in the last earlier document that has it
+   (doc_id, then place), never to all: a passage that many documents share gives two links per occurrence
+   at most. Seeds that a sample shows to be hot are linked within parts of neighbouring doc_ids, and the
+   first and last ones of the earlier parts joined to them; the links are the same either way. A link
+   without a second one in its pair of documents counts if another link of its document is close by.
 3. Links of a pair of documents are chained in order on both sides. The chain score (a weight per seed
    less a cost per word of gap) comes from prefix maxima in a Fenwick tree over the partner's places.
 4. The words around each chain are fetched from both documents and aligned: equal runs, resynchronised
@@ -44,6 +46,8 @@ MARGIN = 32
 RESYNC = 32
 HOT_SEED, SALTS, HOT_SAMPLE = 50_000, 64, 1 / 64
 ASKS = 256
+#: How far the source places of single links in one request may lie apart.
+SPREAD = 256
 #: What may be left over at the edge of a cut.
 LOOSE = b" \t\r\n.,;:!?"
 
@@ -166,30 +170,60 @@ def _seeds(docs: DataFrame, k: int, w: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(doc_id, src, place, src_place): each occurrence of a seed with the first one in an earlier document."""
+    """(doc_id, src, place, src_place): each occurrence of a seed with those in the first and the last earlier document that has it."""
     seeds = _seeds(docs, k, w)
     sample = _seeds(docs.sample(HOT_SAMPLE, seed=5), k, w).groupBy("seed").count()
     hot = stored(sample.filter(F.col("count") >= HOT_SEED * HOT_SAMPLE).select("seed", F.lit(True).alias("hot")), "hot-seeds")
-    order = ["doc_id", "place"]
+    first, last = F.min(F.struct("doc_id", "place")), F.max(F.struct("doc_id", (-F.col("place")).alias("back")))
 
     def linked(rows: DataFrame, *keys: str) -> DataFrame:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select("*", F.first("doc_id").over(window).alias("src"), F.first("place").over(window).alias("src_place"))
+        window = Window.partitionBy(*keys).orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+        return rows.select("*", first.over(window).alias("first"), last.over(window).alias("last"))
 
-    columns = ["doc_id", "src", "place", "src_place"]
     if not hot.limit(1).count():
-        return linked(seeds, "seed").filter("doc_id <> src").select(*columns)
-    salted = seeds.join(broadcast_if_small(hot, 32), "seed", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
-    near = stored(linked(salted, "seed", "salt").filter("doc_id <> src or hot").select("seed", "hot", *columns), "near-links")
-    firsts = near.filter("hot and doc_id = src and place = src_place").select("seed", *order)
-    far = linked(firsts, "seed")
-    return near.filter("doc_id <> src").select(*columns).unionAll(far.filter("doc_id <> src").select(*columns))
-
-
-def _chains(links: DataFrame, k: int) -> DataFrame:
+        rows = linked(seeds, "seed")
+    else:  # hot seeds in parts of neighbouring doc_ids; what earlier parts hold is joined to each part, so links are the same
+        cuts = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / SALTS for i in range(1, SALTS)], 1000)).first()[0]
+        part = F.aggregate(F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int"))
+        parted = seeds.join(broadcast_if_small(hot, 32), "seed", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0))
+        near = linked(parted, "seed", "part")
+        ends = parted.filter("hot").groupBy("seed", "part").agg(first.alias("f"), last.alias("l"))
+        before = Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = stored(ends.select("seed", "part", F.min("f").over(before).alias("f"), F.max("l").over(before).alias("l")).filter("f is not null"), "hot-ends")
+        rows = near.join(broadcast_if_small(ends, 64), ["seed", "part"], "left").withColumn("first", F.coalesce("f", "first")).withColumn("last", F.coalesce("last", "l"))
+    rows = rows.filter("first is not null").withColumn("last", F.struct(F.col("last.doc_id").alias("doc_id"), (-F.col("last.back")).alias("place")))
+    rows = rows.select("doc_id", "place", F.explode(F.array_distinct(F.array("first", "last"))).alias("from"))
+    return rows.select("doc_id", F.col("from.doc_id").alias("src"), "place", F.col("from.place").alias("src_place"))
+
+
+def beside(here: np.ndarray, reach: int) -> np.ndarray:
+    """Which links of a document have another link, at another place, within reach words."""
+    places = np.unique(here)
+    close = np.diff(places) <= reach
+    return (np.append(close, False) | np.append(False, close))[np.searchsorted(places, here)]
+
+
+def together(alone: np.ndarray, srcs: np.ndarray, here: np.ndarray, there: np.ndarray, covers: list[np.ndarray], k: int, reach: int) -> list[np.ndarray]:
+    """Single links as few requests: without those inside what chains cover, neighbours with near places in one source joined."""
+    if sum(x.size for x in covers) and len(alone):
+        lo, hi = np.concatenate(covers, axis=1)
+        order = np.argsort(lo, kind="stable")
+        lo, hi = lo[order], np.maximum.accumulate(hi[order])
+        at = np.searchsorted(lo, here[alone], side="right") - 1
+        alone = alone[(at < 0) | (hi[at] < here[alone] + k)]
+    out: list[list[int]] = []
+    for x in alone.tolist():
+        last = out[-1] if out else None
+        if last and srcs[last[0]] == srcs[x] and here[x] - here[last[-1]] <= reach and abs(there[x] - there[last[0]]) <= SPREAD:
+            last.append(x)
+        else:
+            out.append([x])
+    return [np.array(x) for x in out]
+
+
+def _chains(links: DataFrame, k: int, w: int) -> DataFrame:
     """Chains as requests for words: ask (a number), task and slot (to bound lists), doc_id, lo, hi, src, src_lo, src_hi, and the places of its links on both sides."""
-    held = links.repartition("doc_id").withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "src"))).filter(F.col("held") >= LEAST_SEEDS)
-    held = held.select("doc_id", "src", "place", "src_place").sortWithinPartitions("doc_id", "src", "place", "src_place")
+    held = links.repartition("doc_id").sortWithinPartitions("doc_id", "src", "place", "src_place")
     names = ["ask", "task", "slot", "doc_id", "lo", "hi", "src", "src_lo", "src_hi"]
 
     def requests(out: list[tuple]) -> pa.RecordBatch:
@@ -201,21 +235,33 @@ def _chains(links: DataFrame, k: int) -> DataFrame:
         enter("substrings")
         task, number, asked = TaskContext.get().partitionId(), 0, {}
         out: list[tuple] = []
-        for group in grouped(batches, ["doc_id", "src"]):
-            here, there = group.column("place").to_numpy().astype(np.int64), group.column("src_place").to_numpy().astype(np.int64)
-            doc_id, src = group.column("doc_id")[0].as_py(), group.column("src")[0].as_py()
-            for links in chain(here, there):
-                a, b = links[0], links[-1]
-                if len(links) < LEAST_SEEDS or here[b] + k - here[a] < LEAST_PART:
+        for group in grouped(batches, ["doc_id"]):
+            doc_id, srcs = group.column("doc_id")[0].as_py(), group.column("src").to_numpy()
+            every, froms = group.column("place").to_numpy().astype(np.int64), group.column("src_place").to_numpy().astype(np.int64)
+            near = beside(every, k + w)
+            cuts = [0, *(np.flatnonzero(srcs[1:] != srcs[:-1]) + 1).tolist(), len(srcs)]
+            taken, alone, covers = [], [], []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j - i < LEAST_SEEDS and not near[i]:
                     continue
+                for links in chain(every[i:j], froms[i:j]):
+                    at = np.array(links) + i
+                    if len(at) >= LEAST_SEEDS:
+                        taken.append(at)
+                        close = np.flatnonzero((np.diff(every[at]) <= k + w) & (np.diff(froms[at]) <= k + w))
+                        covers.append(np.stack([every[at[close]], every[at[close + 1]] + k]))
+                    elif near[at[0]]:
+                        alone.append(int(at[0]))
+            for at in taken + together(np.array(sorted(alone), dtype=np.int64), srcs, every, froms, covers, k, k + w):
+                src, here, there = int(srcs[at[0]]), every[at], froms[at]
                 asked[src] = asked.get(src, -1) + 1
-                out.append(((task << 33) + number, task, asked[src] // ASKS, doc_id, int(here[a]), int(here[b]) + k, src, int(there[a]), int(there[b]) + k, here[links].astype(np.int32).tobytes(), there[links].astype(np.int32).tobytes()))
+                out.append(((task << 33) + number, task, asked[src] // ASKS, doc_id, int(here[0]), int(here[-1]) + k, src, int(there.min()), int(there.max()) + k, here.astype(np.int32).tobytes(), there.astype(np.int32).tobytes()))
                 number += 1
+                if len(out) > 5000:
+                    yield requests(out)
+                    out = []
             if len(asked) > 1_000_000:
                 asked = {}
-            if len(out) > 5000:
-                yield requests(out)
-                out = []
         if out:
             yield requests(out)
 
@@ -282,7 +328,7 @@ def _aligned(docs: DataFrame, chains: DataFrame, k: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, k: int = K, w: int = W, least_words: int = LEAST_WORDS) -> DataFrame:
     """Fuzzy passages of documents (doc_id, text) that an earlier document has too."""
     ship(docs.sparkSession)
-    chains = stored(_chains(_links(docs, k, w), k), "chains")
+    chains = stored(_chains(_links(docs, k, w), k, w), "chains")
     parts = _aligned(docs, chains, k)
     by_place = Window.partitionBy("doc_id").orderBy("lo", "hi")
     reach = F.max("hi").over(by_place.rowsBetween(Window.unboundedPreceding, -1))

@@ -110,3 +110,21 @@ def test_passages_behind_a_gap_of_other_words_are_found(spark, gap):
         (2, 0, 200, 1, 0, 200),
         (2, 200 + gap, 400 + gap, 1, 200 + gap, 400 + gap),
     ]
+
+
+def test_passages_whose_sentences_earlier_documents_hold_are_found(spark):
+    rng = random.Random(4)
+    rows, n = [], 0
+    for p in range(30):
+        sentences = [[f"p{p}s{s}w{rng.randrange(10**6)}" for _ in range(15)] for s in range(4)]
+        filler = lambda: [f"f{rng.randrange(10**9)}" for _ in range(40)]
+        for s in sentences:
+            rows.append((n, " ".join(filler() + s + filler())))
+            n += 1
+        for _ in range(2):
+            rows.append((n, " ".join(filler() + sum(sentences, []) + filler())))
+            n += 1
+    found = {r.doc_id: r for r in S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = [found.get(6 * p + 5) for p in range(30)]
+    assert all(r and r.start_word == 40 and r.end_word == 100 for r in whole)
+    assert all(r.src_doc_id == 6 * p + 4 for p, r in enumerate(whole))
