@@ -128,3 +128,14 @@ def test_passages_whose_sentences_earlier_documents_hold_are_found(spark):
     whole = [found.get(6 * p + 5) for p in range(30)]
     assert all(r and r.start_word == 40 and r.end_word == 100 for r in whole)
     assert all(r.src_doc_id == 6 * p + 4 for p, r in enumerate(whole))
+
+
+def test_links_are_the_same_at_every_size(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [" ".join(f"l{i}w{j}" for j in range(30)) for i in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(lines) for _ in range(rng.randint(1, 4)))) for i in range(60)], "doc_id long, text string")
+    plain = sorted(map(tuple, S._links(docs, S.K, S.W).collect()))
+    monkeypatch.setattr(S, "HOT_SEED", 20)
+    monkeypatch.setattr(S, "HOT_SAMPLE", 1.0)
+    monkeypatch.setattr(S, "SALTS", 4)
+    assert plain and sorted(map(tuple, S._links(docs, S.K, S.W).collect())) == plain
