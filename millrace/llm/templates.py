@@ -6,7 +6,9 @@ word of digits or a number word; a unit is one of UNITS after a number; a name i
 of n template tokens with enough literals are hashed and joined with those of the benchmark's items.
 For each document and item the matched windows give the share of the item's windows that the document
 has, and their slots are laid side by side: an item's slot value has to meet the same document value
-wherever it occurs, and the reverse, or the match is a coincidence of phrasing.
+wherever it occurs, and the reverse for names and units (numbers may become equal by chance), or the match
+is a coincidence of phrasing. Windows that don't agree all together are judged by occurrence: those on
+neighbouring diagonals (place in the document less place in the item), and those whose slots are the item's own.
 
 Before the join a bit table of the items' window hashes, of a fixed number of bits per window up to
 a fixed size, drops document windows that no item can have. It only saves shuffle: a full table lets
@@ -39,6 +41,8 @@ N = 8
 LEAST_LITERALS = 4
 COVERAGE, LONG_MATCH = 0.4, 24
 CONSISTENCY = 0.9
+#: Steps between diagonals that still belong to one copy: none, some words more or less, a sentence.
+SLACKS = (0, 4, 32)
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
 BITS_PER_WINDOW, MOST_BITS = 1024, 1 << 27
 
@@ -61,7 +65,7 @@ def _among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Templates:
-    """Template tokens of texts: kinds, token hashes (placeholders for slots), slot value hashes, index of each text's first."""
+    """Template tokens of texts: kinds, token hashes (placeholders for slots), slot value hashes (their two low bits are the kind), index of each text's first."""
 
     kinds: np.ndarray
     tokens: np.ndarray
@@ -106,7 +110,7 @@ def templates_of(w: Words) -> Templates:
     values = np.add.reduceat(w.hashes * (np.uint64(2) * position.astype(np.uint64) + np.uint64(1)), heads)
     kinds = kinds[heads]
     tokens = np.where(kinds == LITERAL, w.hashes[heads], _PLACEHOLDER[kinds])
-    return Templates(kinds, tokens, np.where(kinds == LITERAL, np.uint64(0), values | np.uint64(1)), np.searchsorted(heads, w.first))
+    return Templates(kinds, tokens, np.where(kinds == LITERAL, np.uint64(0), values & ~np.uint64(3) | kinds.astype(np.uint64)), np.searchsorted(heads, w.first))
 
 
 def template_windows(t: Templates, n: int, least: int = LEAST_LITERALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,6 +175,32 @@ def bit_table(hashes: DataFrame, size: int) -> np.ndarray:
     return whole
 
 
+def agreement(theirs: np.ndarray, ours: np.ndarray) -> tuple[int, float, bool]:
+    """(different slot values, share that agree, whether all are the item's own) of slots laid side by side."""
+    slot = theirs != 0
+    pairs = np.unique(np.stack([theirs[slot], ours[slot]], axis=1), axis=0)
+    if not len(pairs):
+        return 0, 1.0, True
+    one, two = (len(np.unique(pairs[:, i])) for i in (0, 1))
+    number = (pairs[:, 0] & 3) == NUMBER
+    back = int(number.sum()) + len(np.unique(pairs[~number, 1]))
+    return max(one, two), min(one, back) / len(pairs), bool((pairs[:, 0] == pairs[:, 1]).all())
+
+
+def occurrences(diagonal: np.ndarray, own: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Sets of at least `least` matched windows that may be one copy of the item: the item's own ones, and runs of diagonals."""
+    at = np.flatnonzero(own)
+    if len(at) >= least:
+        yield at
+    order = np.argsort(diagonal, kind="stable")
+    steps = np.diff(diagonal[order])
+    for slack in SLACKS:
+        cuts = [0, *(np.flatnonzero(steps > slack) + 1).tolist(), len(order)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j - i >= least:
+                yield order[i:j]
+
+
 def leaks(docs: DataFrame, items: DataFrame, n: int = N, coverage: float = COVERAGE, long_match: int = LONG_MATCH, consistency: float = CONSISTENCY) -> DataFrame:
     """Contaminated (document, item) pairs of docs (doc_id, text) and items (item_id, text)."""
     ship(docs.sparkSession)
@@ -181,7 +211,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, coverage: float = COVER
         size *= 2
     found = _window_rows(docs, "doc_id", n, bit_table(known, size))
     side = broadcast_if_small(known.select("h", F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots")), 48 + 16 * n)
-    met = found.join(side, "h").select("row", F.col("id").alias("doc_id"), "item_row", "item_id", "item_place", "item_windows", "slots", "item_slots")
+    met = found.join(side, "h").select("row", F.col("id").alias("doc_id"), F.col("place").alias("doc_place"), "item_row", "item_id", "item_place", "item_windows", "slots", "item_slots")
     met = met.repartition("row", "item_row").sortWithinPartitions("row", "item_row", "item_place")
     names = ["doc_id", "item_id", "n_windows", "item_windows", "coverage", "n_slots", "slot_consistency", "exact"]
 
@@ -189,20 +219,32 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, coverage: float = COVER
         enter("templates")
         out: list[tuple] = []
         for group in grouped(batches, ["row", "item_row"]):
-            places = np.unique(group.column("item_place").to_numpy())
+            places = group.column("item_place").to_numpy()
             total = group.column("item_windows")[0].as_py()
-            share = len(places) / max(total, 1)
-            if share < coverage and len(places) + n - 1 < long_match:
+
+            def enough(count: int, total: int = total) -> bool:
+                return count / max(total, 1) >= coverage or count + n - 1 >= long_match
+
+            whole = len(np.unique(places))
+            if not enough(whole):
                 continue
-            ours = np.asarray(group.column("slots").combine_chunks().flatten().to_numpy())
-            theirs = np.asarray(group.column("item_slots").combine_chunks().flatten().to_numpy())
-            slot = theirs != 0
-            pairs = np.unique(np.stack([theirs[slot], ours[slot]], axis=1), axis=0)
-            held = max(len(np.unique(pairs[:, 0])), len(np.unique(pairs[:, 1]))) if len(pairs) else 0
-            agree = min(len(np.unique(pairs[:, 0])), len(np.unique(pairs[:, 1]))) / len(pairs) if len(pairs) else 1.0
-            if agree < consistency:
+            ours = np.asarray(group.column("slots").combine_chunks().flatten().to_numpy()).reshape(-1, n)
+            theirs = np.asarray(group.column("item_slots").combine_chunks().flatten().to_numpy()).reshape(-1, n)
+            held, agree, exact = agreement(theirs, ours)
+            best = (whole, exact, agree, held) if agree >= consistency else None
+            if best is None:
+                least = next(x for x in range(1, whole + 1) if enough(x))
+                for at in occurrences(group.column("doc_place").to_numpy() - places, (ours == theirs).all(axis=1), least):
+                    count = len(np.unique(places[at]))
+                    if not enough(count) or (best and count < best[0]):
+                        continue
+                    held, agree, exact = agreement(theirs[at], ours[at])
+                    if agree >= consistency:
+                        best = max(best or (0, False, 0.0, 0), (count, exact, agree, held))
+            if best is None:
                 continue
-            out.append((group.column("doc_id")[0].as_py(), group.column("item_id")[0].as_py(), len(places), total, share, held, agree, bool((pairs[:, 0] == pairs[:, 1]).all())))
+            count, exact, agree, held = best
+            out.append((group.column("doc_id")[0].as_py(), group.column("item_id")[0].as_py(), count, total, count / max(total, 1), held, agree, exact))
         if out:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)

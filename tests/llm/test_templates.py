@@ -64,3 +64,13 @@ def test_slots(text, kinds):
     from millrace.llm.words import words_of
 
     assert T.templates_of(words_of(pa.array([text]))).kinds.tolist() == kinds
+
+
+def test_every_copy_is_judged_by_itself(spark):
+    gap = " " + "filler words go here " * 20
+    close = "So Peter has 4 apples and he gives 4 apples to Mary before lunch, then Peter buys 44 more apples at the market with Mary."
+    third = SAME.replace("Peter", "Henry").replace("7", "9").replace("Mary", "Jane")
+    texts = [f"Now {ITEM}{gap}{SAME}", f"{SAME}{gap}Now {ITEM}", f"{SAME} {third}", close, f"{OTHER}{gap}{OTHER}", f"Now {ITEM}{gap}Then Eve gives 3 apples to Anna before lunch, then Tom buys 8 more"]
+    found = {r.doc_id: r for r in T.leaks(docs(spark, *texts), items(spark, ITEM)).collect()}
+    assert {i: r.exact for i, r in found.items()} == {0: True, 1: True, 2: False, 3: False, 5: True}
+    assert all(r.slot_consistency >= T.CONSISTENCY and r.coverage >= T.COVERAGE for r in found.values())
