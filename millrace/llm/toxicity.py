@@ -4,6 +4,7 @@
 2. Chunks that look disguised (digits or signs among letters, letters in runs, letters set apart one by
    one) become lattices: each unit may be the letters it stands for, a separator may vanish or end a
    word, a run may be one letter or two. Viterbi decoding under the model picks the cheapest reading.
+   What stands between signs is also read by itself. Letters set apart one by one are read both as one word and with their gaps as possible ends of words.
 3. Words of the text and of its readings, and their first letters, are looked up in a table of those that
    mark toxic rows. A logistic regression on the marks met and on their share of the words gives the score; a mark
    that is almost never met in other rows gives its share of toxic rows at least.
@@ -15,12 +16,14 @@ Per row: doc_id, held_out, score, predicted (1 from 0.7 on), n_restored (disguis
 
 Defined cases: null and empty texts get the base score; null ids count as held out (their remainder is
 unknown) and are scored; repeated rows each keep their row; without labels of both kinds every score is the
-share of toxic rows, 0.5 added to both kinds; very long texts are read in whole, disguised runs in pieces of MOST_UNITS letters.
+share of toxic rows, 0.5 added to both kinds; very long texts are read in whole, disguised chunks of any
+length in pieces of MOST_UNITS units that overlap by half, begun after a sign where there is one.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +39,7 @@ from .words import Words, prefixes, slices, words_of
 MOST_LABELLED = 20_000
 CUT = 0.7
 MOST_UNITS = 48
+GAP = "\x1f"  # between letters set apart
 MOST_KNOWN = 100_000
 LEAST_ROWS, LEAST_ROOT_G, LEAST_SHARE, MOST_WORDS = 4, 4.5, 0.5, 20_000
 PREFIXES = (4, 5, 6, 7)
@@ -46,6 +50,10 @@ ALPHABET = 28  # boundary, a to z, any other
 # The letters that a sign may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "µ": "u", "ø": "o", "а": "a", "е": "e", "і": "i", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "*": "aeiou", "#": "h", "%": "x", "&": "a"}
 REPLACED, DROPPED, PARTED, KEPT = 0.7, 0.6, 2.0, 4.0
+GAP_ENDS = 0.0
+#: Signs that stand for no letter; what lies between two of them is also read by itself.
+SIGNS = re.compile(r"[-_.~^=:;,/\\'\"]+")
+THRICE = re.compile(r"(.)\1\1", re.I)
 RUNS = {1: ((1, 0.0),), 2: ((2, 0.0), (1, 6.0)), 3: ((1, 0.4), (2, 0.8), (3, 3.0))}
 
 
@@ -104,13 +112,29 @@ class Decoder:
         if chunk not in self.known:
             if len(self.known) > MOST_KNOWN:
                 self.known.clear()
-            self.known[chunk] = [w for i in range(0, len(chunk), MOST_UNITS) for w in self.read(chunk[i : i + MOST_UNITS]).split()]
+            found = self.parts(chunk.replace(GAP, ""))
+            if GAP in chunk:
+                found += [x for x in self.parts(chunk) if x not in found]
+            between = SIGNS.split(chunk)
+            if len(between) > 1:
+                own = {w for x in set(between) if len(x) > 2 and (not x.isalpha() or THRICE.search(x)) for w in self.parts(x)}
+                found += sorted(own.difference(found))
+            if len(chunk) > MOST_UNITS:  # seldom met again
+                return found
+            self.known[chunk] = found
         return self.known[chunk]
 
+    def parts(self, chunk: str) -> list[str]:
+        units = lattice(chunk.lower())
+        return [w for i, j in pieces(units) for w in self.cheapest(units[i:j]).split()]
+
     def read(self, chunk: str) -> str:
         """The cheapest reading of a chunk."""
+        return self.cheapest(lattice(chunk.lower()))
+
+    def cheapest(self, units: list[list[tuple[str, float]]]) -> str:
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in lattice(chunk.lower()):
+        for options in units:
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (two, one), (cost, text) in states.items():
                 for letters, price in options:
@@ -128,6 +152,16 @@ class Decoder:
         return min(ends)[1]
 
 
+def pieces(units: list[list[tuple[str, float]]]) -> Iterator[tuple[int, int]]:
+    """Cuts of units, each MOST_UNITS long at most; a word of up to a quarter of that stands whole in one of them."""
+    at = 0
+    while at + MOST_UNITS < len(units):
+        yield at, at + MOST_UNITS
+        half, quarter = at + MOST_UNITS // 2, at + MOST_UNITS // 4
+        at = next((i + 1 for i in range(half, quarter, -1) if units[i][-1][0] == " "), half)
+    yield at, len(units)
+
+
 def lattice(chunk: str) -> list[list[tuple[str, float]]]:
     """Readings with prices of each unit: a run of one character."""
     units, i = [], 0
@@ -136,6 +170,9 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
         while i + n < len(chunk) and chunk[i + n] == x:
             n += 1
         i += n
+        if x == GAP:
+            units.append([("", 0.0), (" ", GAP_ENDS)])
+            continue
         looks = LOOKS_LIKE.get(x, "")
         if x.isalpha() and not looks:
             units.append([(x * k, price) for k, price in RUNS[min(n, 3)]] + ([(x * n, 3.0)] if n > 3 else []))
@@ -150,7 +187,7 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 
 
 def disguised(w: Words) -> tuple[list[str], np.ndarray]:
-    """Chunks that look disguised and the numbers of their texts. Chunks of letters set apart are returned joined."""
+    """Chunks that look disguised and the numbers of their texts. Letters set apart are returned as one chunk, with GAP between them."""
     data = w.data
     n = len(data)
     if not n or not len(w.hashes):
@@ -191,9 +228,6 @@ def disguised(w: Words) -> tuple[list[str], np.ndarray]:
     leading = np.flatnonzero(((data == ord("$")) | (data == ord("@"))) & next_letter)
     flagged.append(mark(leading))
     chunks = np.unique(np.concatenate(flagged))
-    size = ends[chunks] - begins[chunks]
-    numeric = np.concatenate(([0], np.cumsum(digit)))
-    chunks = chunks[(size <= 12) | ((size <= 64) & ((numeric[ends[chunks]] - numeric[begins[chunks]]) * 2 <= size))]
     raw = data.tobytes()
     texts = [raw[begins[c] : ends[c]].decode("utf-8", "replace") for c in chunks.tolist()]
     owners = np.searchsorted(w.text_at, begins[chunks], side="right") - 1
@@ -205,10 +239,8 @@ def disguised(w: Words) -> tuple[list[str], np.ndarray]:
         cuts = np.flatnonzero(np.concatenate(([True], ~linked, [True])))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if j - i >= 3:
-                run = bytes(data[w.begin[single[i:j]]]).decode()
-                for k in range(0, len(run), MOST_UNITS):
-                    texts.append(run[k : k + MOST_UNITS])
-                    owners = np.append(owners, owner[i])
+                texts.append(GAP.join(bytes(data[w.begin[single[i:j]]]).decode()))
+                owners = np.append(owners, owner[i])
     return texts, owners
 
 

@@ -99,3 +99,20 @@ def test_decoder_finds_the_cheapest_reading():
 def test_clean_words_are_not_lattices():
     w = words_of(pa.array(["plain words, and more. thing$$$ stuff*** AND!! (good) well-known"]))
     assert T.disguised(w)[0] in ([], ["well-known"])
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "th3_@n_er_on_the_@n_er_on_the_an_er_on_the_@n_er_on_the_an_er_on_stup1d_the_an",
+        "idi" + "o" * 90 + "t",
+        "1234567890-1234567890-stup1d",
+        "the" + "-12345-the" * 9 + "-1d10t-the",
+        "t h e a n e r s t u p i d t h e o n",
+        "t h e a n e r o n t h e a n e r o n t h e a n e r o n t h e a n e r o n t h e s t u p i d",
+    ],
+)
+def test_long_disguises_are_read(spark, model, text):
+    clean = "the an er on in ly " * 5
+    found = {r.doc_id: r for r in T.score(spark.createDataFrame([(1, f"{clean}{text} {clean}")], "doc_id long, text string"), model).collect()}
+    assert found[1].predicted == 1
