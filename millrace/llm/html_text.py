@@ -7,7 +7,8 @@
    the path with most votes.
 3. Pages are extracted again: the elements on the winning path, or, where a page has none, its own best
    container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-   are left out at both steps, by tag, role and class.
+   are left out at both steps, by tag, role and class; but an element whose class alone speaks against it
+   stays where it holds nearly all of a page's text, or most of it with a heading.
 
 Blocks are lines; white space (line breaks included) in a block becomes one blank; character references are
 decoded. Rows: page_id, url, text, n_chars.
@@ -47,6 +48,7 @@ NOT_MAIN = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond replies reply widget toolbar login search pagination pager skip copyright legal disclaimer complementary contentinfo dialog alertdialog hidden".split()
 )
 GOOD = {"article": 2.0, "main": 1.5}
+HEADS = {"article", "main", "h1"}
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|</[a-zA-Z]?[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -59,6 +61,7 @@ class Node:
     path: str
     parent: Node | None
     dropped: bool
+    by_class: int | None = None
     score: float = 0.0
     lines: list[str] = field(default_factory=list)
 
@@ -85,8 +88,12 @@ def _clean(pieces: list[str]) -> str:
 class Page:
     """One pass over a page: containers with their scores, and the lines of main text with the chain of nodes above each."""
 
-    def __init__(self, page: str, strict: bool = True):
-        self.strict = strict
+    def __init__(self, page: str, strict: bool = True, kept: frozenset[int] = frozenset()):
+        """kept: places of tags that stay although their classes (or form, header) speak against them."""
+        self.strict, self.kept, self.place = strict, kept, 0
+        self.size = 0
+        self.lost: dict[int, int] = {}
+        self.headed: set[int] = set()
         self.root = Node("", "", None, False)
         self.nodes: list[Node] = []
         self.lines: list[tuple[Node, str]] = []
@@ -112,11 +119,15 @@ class Page:
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
             else:
+                self.place = m.start()
                 self.start(tag, raw)
         self.flush()
 
     def text(self, piece: str) -> None:
-        if piece and not self.stack[-1].dropped:
+        top = self.stack[-1]
+        if top.by_class is not None and not self.in_link:
+            self.lost[top.by_class] = self.lost.get(top.by_class, 0) + len(piece.strip())
+        if piece and not top.dropped:
             self.pieces.append(piece)
             if self.in_link:
                 self.linked += len(piece)
@@ -128,6 +139,7 @@ class Page:
             if line:
                 node = self.stack[-1]
                 self.lines.append((node, line))
+                self.size += max(0, len(line) - self.linked)
                 weight = max(0, len(line) - 2 * self.linked)
                 above = node.parent if node.tag in BLOCKS and node.parent else node
                 above.score += weight
@@ -146,7 +158,7 @@ class Page:
             self.in_link = True
             return
         if tag not in CLOSES_P:
-            _, out = _attributes(tag, raw, self.strict) if raw.strip() else ("", False)
+            _, out = _attributes(tag, raw, self.strict and self.place not in self.kept) if raw.strip() else ("", False)
             if not out:
                 return
         elif self.stack[-1].tag == "p":
@@ -159,9 +171,13 @@ class Page:
                 if self.stack[i].tag in SIBLINGS[tag]:
                     self.pop(i)
                     break
-        classes, out = _attributes(tag, raw, self.strict)
+        classes, out = _attributes(tag, raw, self.strict and self.place not in self.kept)
         top = self.stack[-1]
         node = Node(tag, f"{top.path}>{tag}{classes}", top, out or top.dropped)
+        if node.dropped and self.strict and (not top.dropped or top.by_class is not None) and not _attributes(tag, raw, False)[1]:
+            node.by_class = self.place if top.by_class is None else top.by_class
+            if tag in HEADS:
+                self.headed.add(node.by_class)
         self.stack.append(node)
         if not node.dropped and tag in CONTAINERS:
             self.nodes.append(node)
@@ -200,8 +216,15 @@ class Page:
 
 
 def read(page: str) -> Page:
-    """The page; one whose whole text stands in elements left out by class, or in a form, is read again by tags alone."""
-    found = Page(page)
+    """The page; elements left out by class, or as form or header, that hold nearly all text outside links, or most of it with a heading, stay."""
+    kept: set[int] = set()
+    while True:
+        found = Page(page, kept=frozenset(kept))
+        whole = found.size + sum(found.lost.values())
+        more = {x for x, n in found.lost.items() if n > 0.9 * whole or (x in found.headed and n > 0.5 * whole)} - kept
+        if not more:
+            break
+        kept |= more
     if not found.lines:
         again = Page(page, strict=False)
         return again if again.lines else found

@@ -38,3 +38,13 @@ def test_the_host_decides(spark):
     assert (texts[10], texts[11], texts[12], texts[13], texts[None]) == ("other", "fallback", "", "", "x")
     assert texts[14].count("\n") == 4999 and all(r.n_chars == len(r.text) for r in found)
     assert H.main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["content with-sidebar", "overflow-hidden overlay", "post search-result", "legal-text"])
+def test_an_articles_own_wrapper_stays(kind):
+    body = "".join(f"<p>The long sentence number {i} of the article.</p>" for i in range(20))
+    page = H.read(f'<html><body><div class="top">A title</div><div class="{kind}">{body}<div class="sidebar"><p>aside</p></div></div><p>(c) 2020</p></body></html>')
+    lines = [x for _, x in page.lines]
+    assert sum("number" in x for x in lines) == 20 and "aside" not in lines
+    page = H.read(f'<html><body><article>{body}</article><div class="comments">{body.replace("long", "other")}{body.replace("long", "third")}</div></body></html>')
+    assert len(page.lines) == 20
