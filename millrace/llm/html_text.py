@@ -1,12 +1,13 @@
 """Operator 9, main text of web pages by consensus of a host's container paths.
 
 1. Each page's containers are scored by the text of the blocks right inside them (half of it counts for
-   the container above), less what stands in links. The page votes for the path of its best container,
+   the container above), less what stands in links. From the best one the page climbs to the smallest
+   container around it that holds nearly all of its text outside links, and votes for that one's path,
    a path being tags with their classes from the root, digits generalised.
 2. Votes are summed per (host, path) in Spark, combined before the shuffle, and each host's winner is
    the path with most votes.
-3. Pages are extracted again: the elements on the winning path, or, where a page has none, its own best
-   container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
+3. Pages are extracted again: the elements on the winning path, or, where they hold less than a fair share
+   of a page's text (or there are none), its own container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
    are left out at both steps, by tag, role and class; but an element whose class alone speaks against it
    stays where it holds nearly all of a page's text, or most of it with a heading.
 
@@ -48,6 +49,8 @@ NOT_MAIN = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond replies reply widget toolbar login search pagination pager skip copyright legal disclaimer complementary contentinfo dialog alertdialog hidden".split()
 )
 GOOD = {"article": 2.0, "main": 1.5}
+#: Shares of a page's text outside links: what a container has to hold of the whole, and a host's path of that.
+WHOLE, FAIR = 0.9, 1 / 3
 HEADS = {"article", "main", "h1"}
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|</[a-zA-Z]?[^>]*(?:>|\Z)", re.S)
@@ -63,6 +66,7 @@ class Node:
     dropped: bool
     by_class: int | None = None
     score: float = 0.0
+    mass: int = 0
     lines: list[str] = field(default_factory=list)
 
 
@@ -96,6 +100,7 @@ class Page:
         self.headed: set[int] = set()
         self.root = Node("", "", None, False)
         self.nodes: list[Node] = []
+        self.every: list[Node] = []
         self.lines: list[tuple[Node, str]] = []
         self.stack = [self.root]
         self.pieces: list[str] = []
@@ -122,6 +127,8 @@ class Page:
                 self.place = m.start()
                 self.start(tag, raw)
         self.flush()
+        for node in reversed(self.every):  # children come after their parents
+            node.parent.mass += node.mass
 
     def text(self, piece: str) -> None:
         top = self.stack[-1]
@@ -140,6 +147,7 @@ class Page:
                 node = self.stack[-1]
                 self.lines.append((node, line))
                 self.size += max(0, len(line) - self.linked)
+                node.mass += max(0, len(line) - self.linked)
                 weight = max(0, len(line) - 2 * self.linked)
                 above = node.parent if node.tag in BLOCKS and node.parent else node
                 above.score += weight
@@ -179,6 +187,8 @@ class Page:
             if tag in HEADS:
                 self.headed.add(node.by_class)
         self.stack.append(node)
+        if not node.dropped:
+            self.every.append(node)
         if not node.dropped and tag in CONTAINERS:
             self.nodes.append(node)
 
@@ -198,13 +208,19 @@ class Page:
         del self.stack[i:]
 
     def best(self) -> Node:
-        """The container with the highest score; of equal ones the first."""
-        return max(self.nodes, key=lambda n: n.score * GOOD.get(n.tag, 1.0), default=self.root)
+        """The container with the highest score (of equal ones the first), or the one above it that holds nearly all text."""
+        found = max(self.nodes, key=lambda n: n.score * GOOD.get(n.tag, 1.0), default=self.root)
+        while found.parent and found.mass < WHOLE * self.root.mass:
+            found = found.parent
+        return found
 
     def main_text(self, path: str | None) -> str:
-        """The lines inside the elements on the path, or inside the page's best container where there are none."""
+        """The lines inside the elements on the path, or inside the page's best container where they hold less than a fair share of its text."""
+        own = self.best()
         wanted = [n for n in self.nodes if n.path == path] if path else []
-        inside = {id(n) for n in wanted or [self.best()]}
+        if sum(n.mass for n in wanted) < FAIR * own.mass:
+            wanted = []
+        inside = {id(n) for n in wanted or [own]}
         out = []
         for node, line in self.lines:
             at: Node | None = node
@@ -246,7 +262,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "html"):
                 best = [read(x).best() for x in piece.column("html").to_pylist()]
-                rows = [i for i, n in enumerate(best) if n.score > 0]
+                rows = [i for i, n in enumerate(best) if n.mass > 0]
                 if rows:
                     yield pa.RecordBatch.from_arrays([piece.column("host").take(pa.array(rows)), pa.array([best[i].path for i in rows])], ["host", "path"])
 

@@ -48,3 +48,19 @@ def test_an_articles_own_wrapper_stays(kind):
     assert sum("number" in x for x in lines) == 20 and "aside" not in lines
     page = H.read(f'<html><body><article>{body}</article><div class="comments">{body.replace("long", "other")}{body.replace("long", "third")}</div></body></html>')
     assert len(page.lines) == 20
+
+
+def test_a_path_that_holds_little_of_a_page_does_not_win_there(spark):
+    text = "".join(f"<p>The long sentence number {i} of the article.</p>" for i in range(10))
+    many = [(i, f"http://h.org/{i}", f"<html><body><div>{text}</div></body></html>") for i in range(5)]
+    few = [(9, "http://h.org/9", f"<html><body><div><p>teaser</p></div><section><article>{text}</article></section></body></html>")]
+    found = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(many + few, "page_id long, url string, html string")).collect()}
+    assert all(t.count("number") == 10 for t in found.values())
+
+
+@pytest.mark.parametrize("tag,item", [("ul", "li"), ("div class=b", "p")])
+def test_text_around_the_longest_part_stays(tag, item):
+    items = "".join(f"<{item}>entry {i} of a long list of things</{item}>" for i in range(30))
+    page = f"<html><body><div><p>{'before ' * 30}</p><{tag}>{items}</{tag.split()[0]}><div class=c><p>{'after ' * 30}</p></div></div></body></html>"
+    text = H.read(page).main_text(None)
+    assert text.count("before") == text.count("after") == text.count("entry") == 30
