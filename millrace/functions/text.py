@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import ship
+
 # What Python's str.strip() removes, as a Java character class body.
 STRIPPED = r"\s\x1c-\x1f"
 # Separators of the lexical tokenizer.
@@ -25,6 +27,7 @@ def _compose(x: pd.Series) -> pd.Series:
 
 
 def nfc(x: Column) -> Column:
+    ship()
     return F.pandas_udf(_compose, T.StringType())(x)
 
 
@@ -54,9 +57,9 @@ def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: strip(s)), lambda s: s != "")
 
 
-def claims(x: Column) -> Column:
-    """Parts after . ! ? | danda or line feed and white space, normalised, without empty ones. A text that isn't blank has one at least."""
-    parts = F.split(strip(x), r"(?<=[.!?|।\n])(?U:\s+)")
+def claims(x: Column, compose: bool = True) -> Column:
+    """Parts after . ! ? | danda or line feed and white space, composed, normalised, without empty ones. A text that isn't blank has one at least."""
+    parts = F.split(strip(nfc(x) if compose else x), r"(?<=[.!?|।\n])(?U:\s+)")
     return F.filter(F.transform(parts, lambda s: normalize(s, False)), lambda s: s != "")
 
 

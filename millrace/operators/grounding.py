@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..cluster import ship
 from ..functions.text import claims, normalize, numbers, substantive_tokens
 
 SUPPORT = 0.55
@@ -32,6 +33,7 @@ def claim_scores(answers: DataFrame, evidence: DataFrame, sequence: bool = True)
     pairs = asked.join(held, "answer_id", "left")
     overlap = F.when(F.coalesce(F.size("e_words"), F.lit(0)) == 0, 0.0).otherwise(F.size(F.array_intersect("words", "e_words")) / F.greatest(F.size("words"), F.lit(1)))
     if sequence:
+        ship(answers.sparkSession)
         similar = F.pandas_udf(_similarity, T.DoubleType())(F.col("low"), F.coalesce("e_low", F.lit("")))
         pairs = pairs.withColumn("pair", F.when(F.coalesce(F.size("e_words"), F.lit(0)) == 0, 0.0).otherwise(OVERLAP_WEIGHT * overlap + (1 - OVERLAP_WEIGHT) * similar))
     else:

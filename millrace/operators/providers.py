@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..cluster import ship
+
 # Words and lengths of the offline generator, audio stubs, transcription.
 ANSWER_WORDS = "goa beach temple tourism fort church market answer grounded retrieval evidence citation गोवा समुद्र मंदिर पर्यटन किला बाजार उत्तर साक्ष्य".split()
 LEAST_WORDS, MOST_WORDS = 4, 10
@@ -47,6 +49,7 @@ def hash_embedder(dimension: int = 64) -> Embedder:
 
 def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk_id", text: str = "chunk_text", batch_size: int = 32, fail_fast: bool = False) -> DataFrame:
     """(key, embedding, error) in micro-batches. A batch that fails, or gives a wrong number, length or a value that isn't finite, is an error: raised, or told in every row of the batch."""
+    ship(rows.sparkSession)
     if batch_size <= 0 or dimension <= 0:
         raise ValueError("batch size and dimension have to be positive")
 
@@ -75,6 +78,7 @@ def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk
 
 def generate(rows: DataFrame, key: str, prompt: str, most_words: int = 256) -> DataFrame:
     """Offline generation: (key, text, prompt_tokens, completion_tokens, total_tokens)."""
+    ship(rows.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -131,6 +135,7 @@ class CircuitBreaker:
 
 def transcribe(rows: DataFrame, key: str, audio: str, canned: dict[bytes, str] | None = None, language: str = "en") -> DataFrame:
     """Offline speech to text: (key, text, language, duration_seconds, confidence)."""
+    ship(rows.sparkSession)
     known = canned or {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,6 +149,7 @@ def transcribe(rows: DataFrame, key: str, audio: str, canned: dict[bytes, str] |
 
 def synthesize(rows: DataFrame, key: str, text: str, format: str = "mp3", most_chars: int = 4096) -> DataFrame:
     """Offline text to speech: (key, audio, format, character_count); blank and too long texts are left out."""
+    ship(rows.sparkSession)
     if format not in AUDIO_STUBS:
         raise ValueError(f"unsupported format {format!r}")
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..functions.text import lexical_tokens, strip
 from ..functions.vectors import dot, hybrid_score, lexical_score
 
@@ -40,6 +41,7 @@ def batched_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     a query, and only those are shuffled and ranked.
     """
     check_top_k(k)
+    ship(store.sparkSession)
     whole: DataFrame | None = None
     held: list = []
 

@@ -1,19 +1,12 @@
-"""Reading and writing tables: batches, JSON lines, scratch tables in the shared folder, positions."""
+"""Reading and writing tables: batches, JSON lines, positions."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-_made: list[str] = []
+from ..cluster import scratch, stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,38 +22,12 @@ def batch(df: DataFrame, number: int, *order: str, size: int = 500) -> DataFrame
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
-
-
-def clean() -> None:
-    """Remove the scratch tables of this process; called at its end. Tables in other stores than files are left to the store's own rules."""
-    for path in _made:
-        if urlparse(path).scheme in ("", "file"):
-            shutil.rmtree(urlparse(path).path, ignore_errors=True)
-    _made.clear()
-
-
-atexit.register(clean)
-
-
 def write_parquet(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     """Write with snappy and read back; an existing path is an error unless overwrite is set."""
     df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    return write_parquet(df, scratch(df.sparkSession, name))
-
-
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..cluster import scratch, ship
 from ..operators.dedup import fingerprint_of
-from ..sources.tables import scratch
 
 
 def dedup(passages: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def latency(samples: DataFrame) -> DataFrame:
 
 def breaker(outcomes: DataFrame, failures: int = 3) -> DataFrame:
     """State per key of (key, seq, ok) after each micro-batch."""
+    ship(outcomes.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count = state.get[0] if state.exists else 0
