@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import broadcast_if_small, ship, stored
+from ..cluster import broadcast_if_small, ship, stored
 from .memory import enter
 from .words import slices
 
@@ -275,7 +275,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     winners = stored(host_paths(pages), "host-paths").select("host", "path")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.coalesce("url", F.lit(""))).alias("host"))
-    met = rows.join(broadcast_if_small(winners, 512), "host", "left").select("page_id", "url", "html", "path")
+    met = rows.join(broadcast_if_small(winners, "host", "path"), "host", "left").select("page_id", "url", "html", "path")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

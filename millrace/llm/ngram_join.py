@@ -4,18 +4,24 @@
    `choose_bands` picks bands and rows for the target recall at the threshold.
 2. Equal texts are one node from here on. A shuffle on band hashes puts nodes into buckets; the links of
    a bucket's members to its least member join buckets into clusters of candidates.
-3. Each cluster's texts meet once. Clusters are cut into blocks of bounded size and every pair of
-   blocks is one group, in which the full n-gram sets are compared exactly by an incidence matrix.
-   What leaves a group is one row per member (its number of links and the least member of its component
-   in the group), never the pairs, so the rows grow with the members.
+3. Texts that share a band meet and are compared. In a cluster of at most MOST_PARTS blocks all texts
+   meet once; larger clusters (chains of chance candidates can make huge ones) are taken apart into their
+   buckets again, and a pair counts in the bucket of its first common band. Clusters and buckets are cut
+   into blocks of bounded size and every pair of blocks is one group, in which the full n-gram sets are
+   compared exactly by an incidence matrix. What leaves a group is one row per member (its number of
+   links and the least member of its component in the group), never the pairs, so the rows grow with the members.
 4. Components of the confirmed links are the classes.
 
+A link is a pair of texts that share a band and have Jaccard >= threshold, at every size of cluster.
+
 Per row: doc_id, class_id (least doc_id of the class), n_links (other texts with Jaccard >= threshold),
 n_copies (rows with the same text, itself included).
 
 Defined cases: a null text counts as empty; texts without words have no links but are copies of equal
 ones; a text of less than n words has one window of all its words; null ids don't become a class_id
-unless all of the class are null; repeated rows each keep their row; an empty table gives no row.
+unless all of the class are null; repeated rows each keep their row; very long texts are read whole;
+ties for the head of a class go to the least doc_id, then digest; an empty table gives no row; columns
+other than doc_id (a whole number) and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import broadcast_if_small, ship, stored
-from .graph import components
+from ..cluster import broadcast_if_small, ship, stored
+from .graph import is_small, sized_components, with_totals
 from .groups import grouped
 from .memory import enter
 from .words import mix, shingles, slices, words_of
@@ -39,6 +45,8 @@ THRESHOLD = 0.8
 RECALL = 0.999
 #: A block holds about this many windows and at most about this many texts.
 BLOCK_WINDOWS, BLOCK_TEXTS = 400_000, 1_000
+#: Clusters of more blocks are compared bucket by bucket.
+MOST_PARTS = 8
 DENSE_FROM = 16
 
 
@@ -92,8 +100,11 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.unhex(F.md5(text)).alias("digest"), text.alias("text")).mapInArrow(sign, "doc_id long, digest binary, windows long, bands array<long>")
 
 
-def _compare(texts: pa.Array, side: np.ndarray, within: bool, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each text and the least text of its component, in one block or between two."""
+def _compare(texts: pa.Array, bands: np.ndarray, band: int, side: np.ndarray, within: bool, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each text and the least text of its component, in one block or between two.
+
+    bands: one line of band hashes a text. Links have a band in common: any (band -1), or this one as the first.
+    """
     hashes, bounds = shingles(words_of(texts), n)
     count = len(bounds) - 1
     owner = np.repeat(np.arange(count), np.diff(bounds))
@@ -130,6 +141,12 @@ def _compare(texts: pa.Array, side: np.ndarray, within: bool, n: int, threshold:
     np.fill_diagonal(linked, False)
     if not within:
         linked &= side[:, None] != side[None, :]
+    one, two = np.nonzero(linked)
+    for i in range(0, len(one), 50_000):
+        a, b = one[i : i + 50_000], two[i : i + 50_000]
+        common_bands = bands[a] == bands[b]
+        counted = common_bands.any(axis=1) if band < 0 else ~common_bands[:, :band].any(axis=1)
+        linked[a[~counted], b[~counted]] = False
     return linked.sum(axis=1).astype(np.int64), _roots(linked)
 
 
@@ -161,28 +178,23 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
     buckets = nodes.select("digest", F.explode("bands").alias("h"))
     leads = buckets.groupBy("h").agg(F.min("digest").alias("lead"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("h", "lead")
-    stars = buckets.join(leads, "h").filter("digest <> lead").select(F.col("digest").alias("a"), F.col("lead").alias("b"))
-    clusters = components(stars)
-
-    sized = nodes.select("digest", "windows", "first").join(clusters.withColumnRenamed("node", "digest"), "digest")
-    parts = F.greatest(F.ceil(F.sum("windows") / BLOCK_WINDOWS), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("parts")
-    shapes = clusters.withColumnRenamed("node", "digest").join(nodes.select("digest", "windows"), "digest").groupBy("root").agg(parts)
-    members = sized.join(shapes, "root").select("digest", "root", "parts", F.col("first.doc_id").alias("own"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-    members = broadcast_if_small(stored(members, "members"), 96)
+    leads = broadcast_if_small(stored(leads, "leads"), row_bytes=48)  # stored, so that both sides of a shuffle join can be split
+    clusters, number = sized_components(buckets.join(leads, "h").filter("digest <> lead").select(F.col("digest").alias("a"), F.col("lead").alias("b")))
+    members = stored(_members(nodes, clusters, number, bands), "members")
+    members = broadcast_if_small(members, row_bytes=2 * bands * 8 + 96 + 48 * bands)
 
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    met = texts.join(members, "digest").filter(F.col("doc_id").eqNullSafe(F.col("own")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "text")
-    met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "digest")
+    met = texts.join(members, "digest").filter(F.col("doc_id").eqNullSafe(F.col("own"))).withColumn("ask", F.explode("asks"))
+    met = met.select("digest", "text", "bands", "ask.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "bands", "text")
+    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("ngram")
         ready: list[pa.RecordBatch] = []
         waiting = 0
-        for group in grouped(batches, ["root", "i", "j"]):
+        for group in grouped(batches, ["key", "i", "j"]):
             group = group.combine_chunks()
             digests = group.column("digest").combine_chunks()
             if group.num_rows > 1:  # a row that is there twice counts once
@@ -193,7 +205,8 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
                     digests = group.column("digest").combine_chunks()
             side = group.column("block").to_numpy()
             within = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-            links, least = _compare(group.column("text"), side, within, n, threshold)
+            held = np.asarray(group.column("bands").combine_chunks().flatten()).reshape(group.num_rows, -1)
+            links, least = _compare(group.column("text"), held, group.column("band")[0].as_py(), side, within, n, threshold)
             ready.append(pa.RecordBatch.from_arrays([digests, digests.take(pa.array(least)), pa.array(links)], ["a", "b", "links"]))
             waiting += len(links)
             if waiting > 5000:
@@ -203,15 +216,39 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
             yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
 
     confirmed = stored(met.mapInArrow(verify, "a binary, b binary, links long"), "confirmed")
-    linked = components(confirmed.select("a", "b")).withColumnRenamed("node", "digest")
+    linked, number = sized_components(confirmed.select("a", "b"))
+    headed = nodes.select("digest", "first").join(linked.withColumnRenamed("node", "digest"), "digest")
+    headed = with_totals(headed if is_small(number) else stored(headed, "linked"), "root", "digest", number, head=(F.min(F.struct("first", "digest")), F.min("head"))).select("digest", "head")
     counts = confirmed.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("n_links"))
-    known = nodes.select("digest", "first", "n_copies").join(linked, "digest", "left").join(counts, "digest", "left")
-    known = known.withColumn("root", F.coalesce("root", "digest"))
-    heads = known.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("head"))
-    classes = known.join(heads, "root").select("digest", F.col("head.first.doc_id").alias("class_id"), F.col("head.digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    known = nodes.select("digest", "first", "n_copies").join(headed, "digest", "left").join(counts, "digest", "left").withColumn("head", F.coalesce("head", F.struct("first", "digest")))
+    classes = known.select("digest", F.col("head.first.doc_id").alias("class_id"), F.col("head.digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    classes = stored(classes, "digest-classes")  # a text of very many copies then is a partition that Spark can split
     return signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "class_id", "class_digest", "n_links", "n_copies")
 
 
+def _parts() -> Column:
+    return F.greatest(F.ceil(F.col("windows_in") / BLOCK_WINDOWS), F.ceil(F.col("texts_in") / BLOCK_TEXTS)).cast("int")
+
+
+def _members(nodes: DataFrame, clusters: DataFrame, number: int, bands: int) -> DataFrame:
+    """(digest, own, bands, asks): the texts of clusters with the groups they are in; asks: of (key, band, parts, block)."""
+    totals = {"windows_in": (F.sum("windows"), F.sum("windows_in")), "texts_in": (F.count(F.lit(1)), F.sum("texts_in"))}
+    sized = nodes.select("digest", "windows", "bands", F.col("first.doc_id").alias("own")).join(clusters.withColumnRenamed("node", "digest"), "digest")
+    sized = with_totals(sized if is_small(number) else stored(sized, "sized"), "root", "digest", number, **totals).withColumn("parts", _parts())
+    sized = stored(sized.drop("windows_in", "texts_in"), "clusters")
+    block = F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")
+    ask = F.struct("key", "band", "parts", block.alias("block"))
+    whole = sized.filter(F.col("parts") <= MOST_PARTS).withColumn("key", F.col("root")).withColumn("band", F.lit(-1))
+    whole = whole.select("digest", "own", "bands", F.array(ask).alias("asks"))
+    large = sized.filter(F.col("parts") > MOST_PARTS)
+    if not (number := large.count()):
+        return whole
+    apart = large.select("digest", "windows", F.posexplode("bands").alias("band", "h")).withColumn("key", F.encode(F.concat_ws(":", F.lpad(F.hex("h"), 16, "0"), "band"), "utf-8"))
+    apart = with_totals(apart, "key", "digest", bands * number, **totals).filter("texts_in > 1").withColumn("parts", _parts())
+    apart = apart.groupBy("digest").agg(F.collect_list(ask).alias("asks"))  # one entry a band at most
+    return whole.unionByName(large.select("digest", "own", "bands").join(apart, "digest"))
+
+
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs that head their class, one per class, with all their columns."""
     classes = stored(jaccard_classes(docs, n, threshold, recall).select("doc_id", "digest", "class_id", "class_digest"), "classes")
@@ -220,7 +257,7 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     names = docs.columns
     keyed = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     marks = heads.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__key"))
-    kept = keyed.join(broadcast_if_small(marks, 64), (F.col("__digest") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    kept = keyed.join(broadcast_if_small(marks, row_bytes=64), (F.col("__digest") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
     if heads.filter("held > 1").limit(1).count():  # repeated rows only then cost a shuffle
         kept = kept.dropDuplicates(["doc_id", "__digest"])
     return kept.select(*names)

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import files
-from .cluster import scratch, ship, stored
+from .. import files
+from ..cluster import scratch, ship, stored
 from .memory import enter
 from .tokens import default_vocabulary, encoder
 from .words import slices

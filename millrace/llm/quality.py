@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import broadcast_if_small, stored
+from ..cluster import broadcast_if_small, stored
 
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOL = "[#*$%&|<>]"
@@ -91,7 +91,7 @@ def frequent_lines(docs: DataFrame, least_docs: int = 5, share: float = 0.05) ->
 
 def judge(docs: DataFrame, least_docs: int = 5, share: float = 0.05, left: float = 0.3) -> DataFrame:
     """Per document: the base measures, base_failed, removed_chars and kept."""
-    frequent = broadcast_if_small(stored(frequent_lines(docs, least_docs, share).withColumn("frequent", F.lit(True)), "lines"), 64)
+    frequent = broadcast_if_small(stored(frequent_lines(docs, least_docs, share).withColumn("frequent", F.lit(True)), "lines"), "host")
     base = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     lines = measures(docs).select(*base, "host", F.explode_outer("keyed").alias("line")).select(*base, "host", F.col("line.key").alias("key"), F.col("line.chars").alias("chars"))
     judged = lines.join(frequent, ["host", "key"], "left").groupBy(*base).agg(F.sum(F.when(F.col("frequent"), F.col("chars")).otherwise(0)).cast("long").alias("removed_chars"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import broadcast_if_small, ship, stored
+from ..cluster import broadcast_if_small, ship, stored
 from .groups import grouped
 from .memory import enter
 from .words import slices, windows, words_of
@@ -185,12 +185,12 @@ def _links(docs: DataFrame, k: int, w: int) -> DataFrame:
     else:  # hot seeds in parts of neighbouring doc_ids; what earlier parts hold is joined to each part, so links are the same
         cuts = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / SALTS for i in range(1, SALTS)], 1000)).first()[0]
         part = F.aggregate(F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int"))
-        parted = seeds.join(broadcast_if_small(hot, 32), "seed", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0))
+        parted = seeds.join(broadcast_if_small(hot, row_bytes=32), "seed", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0))
         near = linked(parted, "seed", "part")
         ends = parted.filter("hot").groupBy("seed", "part").agg(first.alias("f"), last.alias("l"))
         before = Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         ends = stored(ends.select("seed", "part", F.min("f").over(before).alias("f"), F.max("l").over(before).alias("l")).filter("f is not null"), "hot-ends")
-        rows = near.join(broadcast_if_small(ends, 64), ["seed", "part"], "left").withColumn("first", F.coalesce("f", "first")).withColumn("last", F.coalesce("last", "l"))
+        rows = near.join(broadcast_if_small(ends, row_bytes=64), ["seed", "part"], "left").withColumn("first", F.coalesce("f", "first")).withColumn("last", F.coalesce("last", "l"))
     rows = rows.filter("first is not null").withColumn("last", F.struct(F.col("last.doc_id").alias("doc_id"), (-F.col("last.back")).alias("place")))
     rows = rows.select("doc_id", "place", F.explode(F.array_distinct(F.array("first", "last"))).alias("from"))
     return rows.select("doc_id", F.col("from.doc_id").alias("src"), "place", F.col("from.place").alias("src_place"))
@@ -344,7 +344,7 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs with the passages cut out of `text` (and n_chars counted anew, where it is there); documents left without a word go."""
     ship(docs.sparkSession)
     spans = passages.groupBy(F.col("doc_id").alias("__own")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
-    spans = broadcast_if_small(stored(spans, "spans"), 96)
+    spans = broadcast_if_small(stored(spans, "spans"), row_bytes=96)
     met = docs.join(spans, F.col("doc_id") == F.col("__own"), "left").drop("__own")
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

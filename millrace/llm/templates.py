@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import broadcast_if_small, ship, stored
+from ..cluster import broadcast_if_small, ship, stored
 from .groups import grouped
 from .memory import enter
 from .words import Words, mix, slices, windows, words_of
@@ -210,7 +210,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, coverage: float = COVER
     while size < min(wanted, MOST_BITS):
         size *= 2
     found = _window_rows(docs, "doc_id", n, bit_table(known, size))
-    side = broadcast_if_small(known.select("h", F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots")), 48 + 16 * n)
+    side = broadcast_if_small(known.select("h", F.col("row").alias("item_row"), F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("total").alias("item_windows"), F.col("slots").alias("item_slots")), row_bytes=48 + 16 * n)
     met = found.join(side, "h").select("row", F.col("id").alias("doc_id"), F.col("place").alias("doc_place"), "item_row", "item_id", "item_place", "item_windows", "slots", "item_slots")
     met = met.repartition("row", "item_row").sortWithinPartitions("row", "item_row", "item_place")
     names = ["doc_id", "item_id", "n_windows", "item_windows", "coverage", "n_slots", "slot_consistency", "exact"]
@@ -256,4 +256,4 @@ def without_leaks(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The rows of docs whose text has no benchmark passage, with all their columns."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     bad = stored(leaks(docs.select(key.alias("doc_id"), "text"), items, n).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.withColumn("__key", key).join(broadcast_if_small(bad, 32), F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+    return docs.withColumn("__key", key).join(broadcast_if_small(bad, row_bytes=32), F.col("__key") == F.col("__leak"), "left_anti").drop("__key")

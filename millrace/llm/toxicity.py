@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import ship, stored
+from ..cluster import ship, stored
 from .memory import enter, held
 from .words import Words, prefixes, slices, words_of
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import broadcast_if_small
+from ..cluster import broadcast_if_small
 
 PREFIX_HEX = 8
 #: The rules of the query: verdict, host, path.
@@ -35,7 +35,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     keyed = keyed.withColumn("labels", F.size(F.split("host", "[.]"))).withColumn("chars", F.length("path"))
     shapes = [(x["labels"], x["chars"]) for x in keyed.select("labels", "chars").distinct().collect()]  # label counts times path lengths
     ruled = keyed.select(F.sha2("rule", 256).alias("rule_digest"), F.struct(F.length("rule").alias("size"), (F.col("verdict") == "block").alias("block"), "rule", "verdict").alias("hit"))
-    ruled = broadcast_if_small(ruled.withColumn("prefix", F.substring("rule_digest", 1, PREFIX_HEX)), 512)
+    ruled = broadcast_if_small(ruled.withColumn("prefix", F.substring("rule_digest", 1, PREFIX_HEX)), "hit.rule", row_bytes=192)
 
     at = F.instr("url", "://")
     rest = F.when(at > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")

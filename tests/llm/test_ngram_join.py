@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from millrace.llm import graph
 from millrace.llm import ngram_join as J
 from millrace.llm.graph import components
 
@@ -49,8 +50,10 @@ def corpus(seed=4):
     return texts
 
 
-@pytest.mark.parametrize("windows,most", [(400_000, 1_000), (300, 4)])
-def test_classes_and_links_by_brute_force(spark, monkeypatch, windows, most):
+@pytest.mark.parametrize("windows,most,parts", [(400_000, 1_000, 8), (300, 4, 8), (300, 4, 0)])
+def test_classes_and_links_by_brute_force(spark, monkeypatch, windows, most, parts):
+    monkeypatch.setattr(J, "MOST_PARTS", parts)
+    monkeypatch.setattr(graph, "BROADCAST_LIMIT", 24 << 20 if parts else 0)
     monkeypatch.setattr(J, "BLOCK_WINDOWS", windows)
     monkeypatch.setattr(J, "BLOCK_TEXTS", most)
     texts = corpus()
@@ -87,7 +90,9 @@ def test_bands_reach_the_recall():
     assert J.choose_bands(1.0, 0.999)[0] == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [24 << 20, 0])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(graph, "BROADCAST_LIMIT", limit)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
     parent = list(range(500))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from millrace.llm import planes as P
-from millrace.llm.cluster import scratch
+from millrace.cluster import scratch
 from millrace.llm.tokens import default_vocabulary, encoder, separable
 
 
