@@ -2,12 +2,15 @@
 
 A word is a run of characters other than blank and U+0009 to U+000D; a line is what stands between
 line feeds. Lines are normalised (lower case, runs of white space as one blank, trimmed) and hashed.
-A line's frequency is the number of distinct texts of its host (`source`) that hold it, so exact
-copies count once. Lines in more than max(least_docs, share * distinct texts of the host) are
-boilerplate; a document is depleted if less than `left` of its word characters stand outside such lines.
-
-Defined cases: a null text is an empty one (no words: base_failed); a null source is a host of its own;
-repeated rows and null ids each keep their row; an empty table gives no row.
+A line's frequency is the number of distinct documents (doc_ids) of its host (`source`) that hold it. Lines in
+more than max(least_docs, share * distinct documents of the host) are boilerplate; a document is
+depleted if less than `left` of its word characters stand outside such lines.
+
+Defined cases: a null text is an empty one (no words: base_failed); a null source is a host of its own, apart
+from the empty source; a row without an id is a document of its own; rows that repeat an id are one
+document where documents are counted, and each keep their row; very long texts are measured whole; a
+line at a limit stays (ties aren't above it); an empty table gives no row; columns other than doc_id, text
+and source aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _host() -> Column:
+    """The source as a host; its first character tells a null from a name."""
+    return F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source")))
+
+
 def _lines(text: Column) -> Column:
     """Lines that hold a word, as (line, chars): chars are the code points in its words."""
     chars = lambda x: F.length(x) - F.regexp_count(x, F.lit(BLANK))
@@ -53,10 +61,10 @@ def _covered(hashes: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """Per row: row (an internal number), doc_id, host, text_key, the base measures, and lines as (key, chars) pairs."""
+    """Per row: row (an internal number), doc_id, host, the base measures, and lines as (key, chars) pairs."""
     text = F.coalesce("text", F.lit(""))
     split = (
-        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("source", F.lit("")).alias("host"), text.alias("t"))
+        docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _host().alias("host"), text.alias("t"))
         .withColumn("words", F.array_remove(F.split("t", BLANK + "+"), ""))
         .withColumn("keys", F.transform("words", lambda x: F.xxhash64(x)))
         .withColumn("lines", _lines(F.col("t")))
@@ -68,7 +76,6 @@ def measures(docs: DataFrame) -> DataFrame:
         "row",
         "doc_id",
         "host",
-        F.xxhash64("t", F.length("t")).alias("text_key"),
         n.cast("long").alias("n_words"),
         F.aggregate("lines", F.lit(0), lambda n, s: n + s["chars"]).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
@@ -79,13 +86,15 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, least_docs: int = 5, share: float = 0.05) -> DataFrame:
-    """(host, key, n): lines of more distinct texts than their host's limit. Counts are combined before each shuffle."""
+    """(host, key, n): lines of more distinct documents than their host's limit. Counts are combined before each shuffle."""
     text = F.coalesce("text", F.lit(""))
     keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), _key))
-    own = docs.select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(text, F.length(text)).alias("text_key"), keys.alias("keys"))
-    lines = own.select("host", "text_key", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count_distinct("text_key").alias("n"))
-    hosts = own.groupBy("host").agg(F.count_distinct("text_key").alias("texts"))
-    over = F.col("n") > F.greatest(F.lit(float(least_docs)), F.col("texts") * share)
+    # A row without an id is a document of its own.
+    own = docs.select(_host().alias("host"), "doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"), keys.alias("keys"))
+    document = F.struct("doc_id", "row")
+    lines = own.select("host", "doc_id", "row", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count_distinct(document).alias("n"))
+    hosts = own.groupBy("host").agg(F.count_distinct(document).alias("documents"))
+    over = F.col("n") > F.greatest(F.lit(float(least_docs)), F.col("documents") * share)
     return lines.filter(F.col("n") > least_docs).join(hosts, "host").filter(over).select("host", "key", "n")
 
 
@@ -101,16 +110,16 @@ def judge(docs: DataFrame, least_docs: int = 5, share: float = 0.05, left: float
 
 
 ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || source, '-') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 win AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS x FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, sum(least(8, i - p))::BIGINT AS n FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -100) AS p FROM dup) GROUP BY r),
-ln AS (SELECT r, host, t, x FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-k AS (SELECT r, host, t, x, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS key, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM ln),
+ln AS (SELECT r, host, doc, x FROM (SELECT r, host, coalesce('i' || doc_id, 'r' || r) AS doc, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+k AS (SELECT r, host, doc, x, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) AS key, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM ln),
 dl AS (SELECT r, (count(*) - count(DISTINCT x))::BIGINT AS n FROM ln GROUP BY r),
-hosts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
-f AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT t) AS n FROM k GROUP BY host, key) JOIN hosts USING (host) WHERE n > greatest(5, texts * 0.05)),
+hosts AS (SELECT host, count(DISTINCT coalesce('i' || doc_id, 'r' || r)) AS documents FROM d GROUP BY host),
+f AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT doc) AS n FROM k GROUP BY host, key) JOIN hosts USING (host) WHERE n > greatest(5, documents * 0.05)),
 rm AS (SELECT r, sum(chars)::BIGINT AS n FROM k JOIN f USING (host, key) GROUP BY r),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(rm.n, 0) AS removed_chars
