@@ -3,28 +3,36 @@
 1. Each page's containers are scored by the text of the blocks right inside them (half of it counts for
    the container above), less what stands in links. From the best one the page climbs to the smallest
    container around it that holds nearly all of its text outside links, and votes for that one's path,
-   a path being tags with their classes from the root, digits generalised.
+   a path being tags with their classes from the root, digits generalised (carried as a hash).
 2. Votes are summed per (host, path) in Spark, combined before the shuffle, and each host's winner is
    the path with most votes.
-3. Pages are extracted again: the elements on the winning path, or, where they hold less than a fair share
-   of a page's text (or there are none), its own container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments
-   are left out at both steps, by tag, role and class; but an element whose class alone speaks against it
-   stays where it holds nearly all of a page's text, or most of it with a heading.
+3. Pages are extracted again: all elements on the winning path, or, where they hold less than a fair
+   share of a page's text (or there are none), its own container.
+
+Left out at both steps: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+comments, by tag, role and class. Tags decide by themselves (form and header as classes do). A class, id or
+role that speaks against an element needs more: headings stay, words as in `with-sidebar` don't count, an
+element with nearly all of a page's text (or most of it, with a heading) stays, and of words that say
+little (WEAK) only those outside articles on elements with little text or with more in links than outside.
 
 Blocks are lines; white space (line breaks included) in a block becomes one blank; character references are
-decoded. Rows: page_id, url, text, n_chars.
+decoded. What is left out inside a block (a button, a script, a hidden span) doesn't end it. Rows: page_id, url, text, n_chars.
 
 Defined cases: a null or empty page has an empty text; a null url or one without `://` belongs to the empty
 host; broken markup is read as it comes (unclosed elements end with their parent, a cut tag is dropped);
-repeated rows and null ids each keep their row; an empty table gives no row.
+very long pages are read whole, in time and memory that grow with their length at any depth; of paths with
+equal votes the least hash wins, of containers with equal scores the first; repeated rows and null ids each
+keep their row; an empty table gives no row; columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,53 +43,79 @@ from .memory import enter
 from .words import slices
 
 # HTML elements by what they do here.
-BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th caption address summary".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = HEADINGS | set("p li dt dd pre blockquote figcaption td th caption address summary".split())
 CONTAINERS = set("html body div article main section center table tbody thead tfoot tr ul ol dl figure details fieldset".split())
-LEFT_OUT = set("nav header footer aside form button select textarea iframe svg canvas object template dialog head menu noscript video audio".split())
+LEFT_OUT = set("nav footer aside dialog head menu".split())
 WRAPPERS = {"form", "header"}
+INLINE_OUT = set("button select textarea iframe svg canvas object template noscript video audio datalist".split())
 RAW = set("script style title xmp".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES_P = BLOCKS | CONTAINERS | LEFT_OUT
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
-SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-# Class, id and role words of what isn't main text.
-NOT_MAIN = set(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus respond replies reply widget toolbar login search pagination pager skip copyright legal disclaimer complementary contentinfo dialog alertdialog hidden".split()
+IN_HEAD = RAW | INLINE_OUT | {"meta", "link", "base"}
+OPENS = BLOCKS | CONTAINERS | LEFT_OUT | WRAPPERS
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "tbody", "thead"}, "tfoot": {"tr", "tbody", "thead"}}
+ROWS = {"tr", "tbody", "thead", "tfoot"}
+# Class, id and role words of what isn't main text, and words before them that say the contrary.
+STRONG = set(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr popup newsletter subscribe subscription share sharing related recommended recommendations comment comments disqus respond replies reply pagination pager complementary contentinfo".split()
 )
+WEAK = set("header notice notices alert modal overlay signup social widget toolbar login search skip copyright legal disclaimer dialog alertdialog hidden".split())
+CONTRARY = set("with has no without hide in over before after".split())
 GOOD = {"article": 2.0, "main": 1.5}
-#: Shares of a page's text outside links: what a container has to hold of the whole, and a host's path of that.
-WHOLE, FAIR = 0.9, 1 / 3
+#: Shares of a page's text outside links: what a container has to hold of the whole, a host's path of that, an element that stays although its class speaks against it (alone, or with a heading), and one that a weak word lets go.
+WHOLE, FAIR, NEARLY_ALL, MOST, LITTLE = 0.9, 1 / 3, 0.9, 0.5, 0.2
 HEADS = {"article", "main", "h1"}
 
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|</[a-zA-Z]?[^>]*(?:>|\Z)", re.S)
+_NAME = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+_OTHER = r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
+#: Quotes count after an equals sign only. Should no tag end be found so up to the end of the page, quotes don't count from there on.
+_TAG = re.compile(rf"{_OTHER}|{_NAME}((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>", re.S)
+_PLAIN = re.compile(rf"{_OTHER}|{_NAME}([^>]*)(?:>|\Z)", re.S)
+_OPEN = re.compile(r"<[!?/a-zA-Z]")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+STAYS, MAYBE, GOES, GONE = range(4)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
+    """An open element. verdict: STAYS, MAYBE (a weak word speaks against it), GOES (a strong one does) or GONE; quiet: left out without ending the block around it."""
+
     tag: str
-    path: str
-    parent: Node | None
-    dropped: bool
-    by_class: int | None = None
-    score: float = 0.0
-    mass: int = 0
-    lines: list[str] = field(default_factory=list)
-
-
-def _attributes(tag: str, raw: str, strict: bool) -> tuple[str, bool]:
-    """The classes with digits generalised, and whether the element isn't main text (by tag alone unless strict)."""
-    classes, out = "", tag in LEFT_OUT and (strict or tag not in WRAPPERS)
+    path: bytes
+    parent: int
+    verdict: int = STAYS
+    quiet: bool = False
+    depth: int = 0
+
+
+def _speaks(value: str) -> int:
+    """STAYS, MAYBE or GOES by the words of a class, id or role."""
+    found = STAYS
+    for token in value.lower().split():
+        words = [x for x in re.split(r"[^a-z]+", token) if x]
+        for i, x in enumerate(words):
+            if i and words[i - 1] in CONTRARY:
+                continue
+            found = max(found, GOES if x in STRONG else MAYBE if x in WEAK else STAYS)
+    return found
+
+
+def _attributes(tag: str, raw: str) -> tuple[str, int]:
+    """The classes with digits generalised, and the verdict of an element's tag and attributes."""
+    classes, verdict = "", GONE if tag in LEFT_OUT or tag in INLINE_OUT else GOES if tag in WRAPPERS else STAYS
     if raw and not raw.isspace():
         for name, *values in _ATTR.findall(raw):
             name, value = name.lower(), "".join(values)
-            if name == "class":
-                classes = "." + ".".join(sorted(re.sub(r"\d+", "0", value).split())) if value.strip() else ""
-            if strict and name in ("class", "id", "role") and tag not in ("html", "body"):
-                out |= any(x in NOT_MAIN for x in re.split(r"[^a-z]+", value.lower()))
-            out |= (name == "hidden" and tag not in ("html", "body")) or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and bool(_HIDDEN_STYLE.search(value)))
-    return classes, out
+            if name == "class" and value.strip():
+                classes = "." + ".".join(sorted(re.sub(r"\d+", "0", value).split()))
+            if tag in ("html", "body"):
+                continue
+            if name in ("class", "id", "role") and tag not in HEADINGS:
+                verdict = max(verdict, _speaks(value))
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)):
+                verdict = GONE
+    return classes, verdict
 
 
 def _clean(pieces: list[str]) -> str:
@@ -90,161 +124,212 @@ def _clean(pieces: list[str]) -> str:
 
 
 class Page:
-    """One pass over a page: containers with their scores, and the lines of main text with the chain of nodes above each."""
-
-    def __init__(self, page: str, strict: bool = True, kept: frozenset[int] = frozenset()):
-        """kept: places of tags that stay although their classes (or form, header) speak against them."""
-        self.strict, self.kept, self.place = strict, kept, 0
-        self.size = 0
-        self.lost: dict[int, int] = {}
-        self.headed: set[int] = set()
-        self.root = Node("", "", None, False)
-        self.nodes: list[Node] = []
-        self.every: list[Node] = []
-        self.lines: list[tuple[Node, str]] = []
-        self.stack = [self.root]
+    """One pass over a page: its elements in the order they open, and its lines with their elements; then which elements stay, and what they hold."""
+
+    def __init__(self, page: str):
+        self.nodes = [Node("", b"", 0)]
+        self.found: list[tuple[int, str, int, int]] = []  # element, line, characters outside links and in links
+        self.stack = [0]
+        self.open: dict[str, list[int]] = defaultdict(list)  # by tag: places in the stack
+        self.barriers = [0]  # places in the stack of elements that a block's end tag doesn't reach beyond
         self.pieces: list[str] = []
         self.linked = 0
         self.in_link = False
-        at = 0
-        while True:
-            m = _TAG.search(page, at)
-            self.text(page[at : m.start() if m else len(page)])
-            if not m:
-                break
+        at, pattern = 0, _TAG
+        while m := _OPEN.search(page, at):
+            self.text(page[at : m.start()])
+            at = m.start()
+            if page[at + 1] == "/" and not ("a" <= page[at + 2 : at + 3].lower() <= "z"):  # an end tag without a name
+                at = page.find(">", at) + 1 or len(page)
+                continue
+            m = pattern.match(page, at)
+            if m is None:
+                pattern = _PLAIN
+                m = pattern.match(page, at)
             at = m.end()
-            close, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not tag or (m[2] is None and not page[m.start() : at].endswith(">")):
+            tag = m[2]
+            if not tag or not page.endswith(">", 0, at):
                 continue
             tag = tag.lower()
-            if close:
+            if m[1]:
                 self.end(tag)
             elif tag in RAW:
-                self.flush()
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else len(page)
             else:
-                self.place = m.start()
-                self.start(tag, raw)
+                self.start(tag, m[3])
+        self.text(page[at:])
+        self.pop(1)
         self.flush()
-        for node in reversed(self.every):  # children come after their parents
-            node.parent.mass += node.mass
+        self.judge()
 
     def text(self, piece: str) -> None:
-        top = self.stack[-1]
-        if top.by_class is not None and not self.in_link:
-            self.lost[top.by_class] = self.lost.get(top.by_class, 0) + len(piece.strip())
-        if piece and not top.dropped:
+        if piece and self.nodes[self.stack[-1]].verdict != GONE:
             self.pieces.append(piece)
             if self.in_link:
                 self.linked += len(piece)
 
     def flush(self) -> None:
-        """End the current line; it belongs to the innermost block or container."""
+        """End the current line; it belongs to the innermost element."""
         if self.pieces:
             line = _clean(self.pieces)
             if line:
-                node = self.stack[-1]
-                self.lines.append((node, line))
-                self.size += max(0, len(line) - self.linked)
-                node.mass += max(0, len(line) - self.linked)
-                weight = max(0, len(line) - 2 * self.linked)
-                above = node.parent if node.tag in BLOCKS and node.parent else node
-                above.score += weight
-                if above.parent:
-                    above.parent.score += weight / 2
+                self.found.append((self.stack[-1], line, max(0, len(line) - self.linked), self.linked))
         self.pieces, self.linked = [], 0
 
+    def innermost(self, tags: set[str]) -> int:
+        return max((places[-1] for t in tags if (places := self.open.get(t))), default=0)
+
     def start(self, tag: str, raw: str) -> None:
-        if tag == "br" or tag in VOID:
-            if tag == "hr":
+        top = self.nodes[self.stack[-1]]
+        if top.tag == "head" and tag not in IN_HEAD:  # an unclosed head
+            self.pop(len(self.stack) - 1)
+        if tag in VOID:
+            if tag == "hr" and not top.quiet:
                 self.flush()
-            else:
-                self.pieces += [" "] if tag == "br" else []
+            elif tag == "br" and top.verdict != GONE:
+                self.pieces.append(" ")
             return
         if tag == "a":
             self.in_link = True
             return
-        if tag not in CLOSES_P:
-            _, out = _attributes(tag, raw, self.strict and self.place not in self.kept) if raw.strip() else ("", False)
-            if not out:
-                return
-        elif self.stack[-1].tag == "p":
-            self.pop(len(self.stack) - 1)
-        self.flush()
+        if tag not in OPENS:
+            last = self.open.get(tag)
+            if last and self.nodes[self.stack[last[-1]]].quiet:
+                self.nodes[self.stack[last[-1]]].depth += 1
+            elif (tag in INLINE_OUT or raw.strip()) and _attributes(tag, raw)[1] >= GOES:
+                self.push(Node(tag, top.path, self.stack[-1], GONE, True))
+            return
+        p = self.open.get("p")
+        if p and p[-1] > self.barriers[-1]:
+            self.pop(p[-1])
         if tag in SIBLINGS:
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag in SCOPES.get(tag, set()) or self.stack[i].tag in CONTAINERS - {"tr", "tbody", "thead", "tfoot"}:
-                    break
-                if self.stack[i].tag in SIBLINGS[tag]:
-                    self.pop(i)
-                    break
-        classes, out = _attributes(tag, raw, self.strict and self.place not in self.kept)
-        top = self.stack[-1]
-        node = Node(tag, f"{top.path}>{tag}{classes}", top, out or top.dropped)
-        if node.dropped and self.strict and (not top.dropped or top.by_class is not None) and not _attributes(tag, raw, False)[1]:
-            node.by_class = self.place if top.by_class is None else top.by_class
-            if tag in HEADS:
-                self.headed.add(node.by_class)
-        self.stack.append(node)
-        if not node.dropped:
-            self.every.append(node)
-        if not node.dropped and tag in CONTAINERS:
-            self.nodes.append(node)
+            at, scope = self.innermost(SIBLINGS[tag]), self.innermost({"table"} if tag in ROWS or tag in ("td", "th") else {"ul", "ol", "dl"})
+            if at > scope and (tag in ROWS or tag in ("td", "th") or at >= self.barriers[-1]):
+                self.pop(at)
+        top = self.nodes[self.stack[-1]]
+        classes, verdict = _attributes(tag, raw)
+        if top.verdict == GONE:
+            verdict = GONE
+        if not top.quiet:
+            self.flush()
+        path = hashlib.blake2b(top.path + f">{tag}{classes}".encode("utf-8", "replace"), digest_size=8).digest()
+        self.push(Node(tag, path, self.stack[-1], verdict, top.quiet))
+
+    def push(self, node: Node) -> None:
+        self.open[node.tag].append(len(self.stack))
+        if node.tag not in BLOCKS and not (node.quiet and node.tag not in OPENS):
+            self.barriers.append(len(self.stack))
+        self.stack.append(len(self.nodes))
+        self.nodes.append(node)
 
     def end(self, tag: str) -> None:
         if tag == "a":
             self.in_link = False
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self.pop(i)
-                return
-            if self.stack[i].tag in CONTAINERS | LEFT_OUT and tag in BLOCKS:
-                return
+        places = self.open.get(tag)
+        if not places or (tag in BLOCKS and self.barriers[-1] > places[-1]):
+            return
+        node = self.nodes[self.stack[places[-1]]]
+        if node.depth:
+            node.depth -= 1
+        else:
+            self.pop(places[-1])
 
     def pop(self, i: int) -> None:
-        self.flush()
-        self.in_link = False
-        del self.stack[i:]
-
-    def best(self) -> Node:
+        """End the elements from place i of the stack on."""
+        while len(self.stack) > i and self.nodes[self.stack[-1]].quiet:
+            self.drop()
+        if len(self.stack) > i:
+            self.flush()
+            self.in_link = False
+            while len(self.stack) > i:
+                self.drop()
+
+    def drop(self) -> None:
+        node = self.nodes[self.stack.pop()]
+        self.open[node.tag].pop()
+        if self.barriers[-1] == len(self.stack):
+            self.barriers.pop()
+
+    def judge(self) -> None:
+        """Settle the elements that classes speak against; sum up scores and masses (text outside links) of those that stay."""
+        n = len(self.nodes)
+        plain, linked, headed, inside = [0] * n, [0] * n, [False] * n, [False] * n
+        for at, _, out, link in self.found:
+            plain[at] += out
+            linked[at] += link
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            node = self.nodes[i]
+            plain[node.parent] += plain[i]
+            linked[node.parent] += linked[i]
+            headed[i] = headed[i] or node.tag in HEADS
+            headed[node.parent] = headed[node.parent] or headed[i]
+        whole = plain[0]
+        self.gone = [False] * n
+        for i in range(1, n):
+            node = self.nodes[i]
+            inside[i] = inside[node.parent] or node.tag in ("article", "main")
+            out = node.verdict == GONE or node.verdict == GOES
+            if node.verdict == MAYBE:
+                out = not inside[i] and (plain[i] < LITTLE * whole or linked[i] > plain[i])
+            if out and node.verdict != GONE:
+                out = not (plain[i] > NEARLY_ALL * whole or (headed[i] and plain[i] > MOST * whole))
+            self.gone[i] = self.gone[node.parent] or out
+        if all(self.gone[at] for at, *_ in self.found):  # nothing is left: what tags alone leave
+            self.gone = [False] * n
+            for i in range(1, n):
+                self.gone[i] = self.gone[self.nodes[i].parent] or self.nodes[i].verdict == GONE
+        self.lines = [(at, line) for at, line, _, _ in self.found if not self.gone[at]]
+        self.score, self.mass = [0.0] * n, [0] * n
+        for at, _, out, link in self.found:
+            if self.gone[at]:
+                continue
+            self.mass[at] += out
+            weight = max(0, out - link)
+            above = self.nodes[at].parent if self.nodes[at].tag in BLOCKS else at
+            self.score[above] += weight
+            if above:
+                self.score[self.nodes[above].parent] += weight / 2
+        for i in range(n - 1, 0, -1):
+            self.mass[self.nodes[i].parent] += self.mass[i]
+        self.boxes = [i for i in range(n) if not self.gone[i] and self.nodes[i].tag in CONTAINERS]
+
+    def best(self) -> int:
         """The container with the highest score (of equal ones the first), or the one above it that holds nearly all text."""
-        found = max(self.nodes, key=lambda n: n.score * GOOD.get(n.tag, 1.0), default=self.root)
-        while found.parent and found.mass < WHOLE * self.root.mass:
-            found = found.parent
+        found = max(self.boxes, key=lambda i: self.score[i] * GOOD.get(self.nodes[i].tag, 1.0), default=0)
+        while found and self.mass[found] < WHOLE * self.mass[0]:
+            found = self.nodes[found].parent
         return found
 
-    def main_text(self, path: str | None) -> str:
-        """The lines inside the elements on the path, or inside the page's best container where they hold less than a fair share of its text."""
-        own = self.best()
-        wanted = [n for n in self.nodes if n.path == path] if path else []
-        if sum(n.mass for n in wanted) < FAIR * own.mass:
-            wanted = []
-        inside = {id(n) for n in wanted or [own]}
-        out = []
-        for node, line in self.lines:
-            at: Node | None = node
-            while at is not None and id(at) not in inside:
-                at = at.parent
-            if at is not None:
-                out.append(line)
-        return "\n".join(out)
+    def vote(self) -> int | None:
+        """The hashed path of the page's container; none for a page without text outside links."""
+        found = self.best()
+        return int.from_bytes(self.nodes[found].path, "big", signed=True) if self.mass[found] else None
+
+    def within(self, chosen: list[int]) -> list[bool]:
+        """For each element whether it is a chosen one or inside one."""
+        inside = [False] * len(self.nodes)
+        for i in chosen:
+            inside[i] = True
+        for i in range(1, len(self.nodes)):
+            inside[i] = inside[i] or inside[self.nodes[i].parent]
+        return inside
+
+    def main_text(self, path: int | None = None) -> str:
+        """The lines inside the elements on the path, or inside the page's own container where they hold less than a fair share of its text."""
+        own, wanted = self.best(), []
+        if path is not None:
+            key = path.to_bytes(8, "big", signed=True)
+            wanted = [i for i in self.boxes if self.nodes[i].path == key]
+            inside = self.within(wanted)
+            if sum(self.mass[i] for i in wanted if not i or not inside[self.nodes[i].parent]) < FAIR * self.mass[own]:
+                wanted = []
+        inside = self.within(wanted or [own])
+        return "\n".join(line for at, line in self.lines if inside[at])
 
 
 def read(page: str) -> Page:
-    """The page; elements left out by class, or as form or header, that hold nearly all text outside links, or most of it with a heading, stay."""
-    kept: set[int] = set()
-    while True:
-        found = Page(page, kept=frozenset(kept))
-        whole = found.size + sum(found.lost.values())
-        more = {x for x, n in found.lost.items() if n > 0.9 * whole or (x in found.headed and n > 0.5 * whole)} - kept
-        if not more:
-            break
-        kept |= more
-    if not found.lines:
-        again = Page(page, strict=False)
-        return again if again.lines else found
-    return found
+    return Page(page)
 
 
 def host_of(url):
@@ -254,19 +339,19 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): each host's winning path; of equal ones the first in order."""
+    """(host, path, votes): the hash of each host's winning path; of equal ones the least."""
     ship(pages.sparkSession)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("html")
         for batch in batches:
             for piece in slices(batch, "html"):
-                best = [read(x).best() for x in piece.column("html").to_pylist()]
-                rows = [i for i, n in enumerate(best) if n.mass > 0]
+                paths = [read(x).vote() for x in piece.column("html").to_pylist()]
+                rows = [i for i, x in enumerate(paths) if x is not None]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([piece.column("host").take(pa.array(rows)), pa.array([best[i].path for i in rows])], ["host", "path"])
+                    yield pa.RecordBatch.from_arrays([piece.column("host").take(pa.array(rows)), pa.array([paths[i] for i in rows], type=pa.int64())], ["host", "path"])
 
-    votes = pages.select(host_of("url").alias("host"), "html").filter("html is not null").mapInArrow(vote, "host string, path string").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
+    votes = pages.select(host_of("url").alias("host"), "html").filter("html is not null").mapInArrow(vote, "host string, path long").groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"))
     first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
     return votes.withColumn("n", first).filter("n = 1").select("host", "path", "votes")
 
@@ -275,7 +360,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     winners = stored(host_paths(pages), "host-paths").select("host", "path")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.coalesce("url", F.lit(""))).alias("host"))
-    met = rows.join(broadcast_if_small(winners, "host", "path"), "host", "left").select("page_id", "url", "html", "path")
+    met = rows.join(broadcast_if_small(winners, "host"), "host", "left").select("page_id", "url", "html", "path")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

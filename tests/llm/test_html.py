@@ -1,6 +1,14 @@
+import html
+import os
+import random
+import re
+import time
+import tracemalloc
+
 import pytest
 
 from millrace.llm import html_text as H
+from millrace.llm import queries
 
 
 @pytest.mark.parametrize(
@@ -64,3 +72,87 @@ def test_text_around_the_longest_part_stays(tag, item):
     page = f"<html><body><div><p>{'before ' * 30}</p><{tag}>{items}</{tag.split()[0]}><div class=c><p>{'after ' * 30}</p></div></div></body></html>"
     text = H.read(page).main_text(None)
     assert text.count("before") == text.count("after") == text.count("entry") == 30
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>one <button>Share</button> two</p><p>x</p></article>", "one two\nx"),
+        ("<article><p>one <svg><path d='M0'/><text>no</text></svg> two</p></article>", "one two"),
+        ("<article><p>one <span hidden>a <span>b</span> c</span> two</p></article>", "one two"),
+        ("<article><p>one <span class=ad>buy</span> two</p></article>", "one two"),
+        ("<article><p>one <script>var x = '<p>';</script> two<span>!</span></p></article>", "one two!"),
+        ("<article><p>one <span hidden>x</p><p>two</p></article>", "one\ntwo"),
+        ('<article><h2 class="section-header">Head</h2><p>text</p><div class="legal"><p>The terms of this law.</p></div></article>', "Head\ntext\nThe terms of this law."),
+        ('<body><div class="content with-sidebar"><p>The article has a good many words here.</p></div><div>stray</div></body>', "The article has a good many words here.\nstray"),
+        ("<body><div class=a><p>" + "word " * 30 + "</p></div><div class=b><p>" + "term " * 29 + "</p></div></body>", ("word " * 30).strip() + "\n" + ("term " * 29).strip()),
+        ("<head><title>t</title><p>an unclosed head</p>", "an unclosed head"),
+        ("<article><p>a <a href='x>y'>link</a> and <a title=it's>more</a></p><p>it's</p></article>", "a link and more\nit's"),
+        ('<article><p>a</p><img alt="no end><p>b</p></article>', "a\nb"),
+        ("<article><p>x</p></ ><!----><p>y</p><! doctype><p>z</p></>", "x\ny\nz"),
+        ("<article><table><tr><td><h2>a</h2>b<td>c<tr><td>d</table><p>e</p></article>", "a\nb\nc\nd\ne"),
+        ("<div id=page><form><p>All of the page stands in a form.</p><button>Go</button></form></div>", "All of the page stands in a form."),
+    ],
+)
+def test_left_outs_and_containers(page, text):
+    assert H.read(page).main_text() == text
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<p>x", "<span hidden>x", "<li>x", "<td>x", "<b>x</i>", "<blockquote>x", "<h1>x<li>", "<a title='x>", "<p a=\">\" ", "x</div>", "<!-- x "])
+def test_time_and_memory_grow_with_the_length(unit):
+    def cost(n):
+        start = time.process_time()
+        H.read("<article>" + unit * n + "<p>end").main_text()
+        return time.process_time() - start
+
+    cost(2_000)
+    few, many = cost(10_000), cost(100_000)
+    assert many < 30 * max(few, 0.02)
+    tracemalloc.start()
+    H.read("<article>" + unit * 100_000 + "<p>end").main_text()
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def made(rng, depth=0):
+    """A random well-formed element as (markup, lines): the lines it adds to the text around it, block by block."""
+    kind = rng.choice(["p", "p", "p", "ul", "div", "section", "gone", "h2"] if depth < 4 else ["p", "h2"])
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta &amp; more", "x &lt; y", "caf&eacute;"])
+    if kind in ("p", "h2"):
+        words = [word() for _ in range(rng.randint(1, 12))]
+        inner = "".join(f"<b>{w}</b> " if rng.random() < 0.2 else f"{w}<span class=ad>buy</span>\n" if rng.random() < 0.1 else f"{w} " for w in words)
+        return f"<{kind}>{inner}</{kind}>", [html.unescape(" ".join(words))]
+    if kind == "ul":
+        items = [word() for _ in range(rng.randint(1, 4))]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", [html.unescape(x) for x in items]
+    if kind == "gone":
+        tag = rng.choice(["nav", "footer", "aside", "div class='ad'", "div role=navigation", "script", "style"])
+        return f"<{tag}>gone {word()}</{tag.split()[0]}>", []
+    parts = [made(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    return f"<{kind}>" + "".join(x for x, _ in parts) + f"</{kind}>", [y for _, x in parts for y in x]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_whole_articles_by_the_tree_they_are_made_from(seed):
+    rng = random.Random(seed)
+    parts = [made(rng) for _ in range(rng.randint(1, 12))]
+    page = f"<html><head><title>no</title></head><body><nav><a href=/>menu</a></nav><article>{''.join(x for x, _ in parts)}</article><footer>foot</footer></body></html>"
+    assert H.read(page).main_text() == "\n".join(y for _, x in parts for y in x)
+
+
+def plainly(page):
+    """The article of a test page by patterns alone."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1|li|ul)\b[^>]*>", re.sub(r"<(script|style)\b.*?</\1>", "", inner, flags=re.S))
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\b[^>]*>", " ", x))).split()) for x in blocks]
+    return "\n".join(x for x in texts if x)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_the_query_by_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    found = queries.op9_html_extraction(spark, folder).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        assert r.text == plainly(pages[r.page_id]) and r.n_chars == len(r.text)
