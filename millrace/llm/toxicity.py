@@ -15,9 +15,11 @@ of them, chosen by a hash of doc_id; labels, lang, source and doc_id aren't inpu
 Per row: doc_id, held_out, score, predicted (1 from 0.7 on), n_restored (disguised words read as marked ones).
 
 Defined cases: null and empty texts get the base score; null ids count as held out (their remainder is
-unknown) and are scored; repeated rows each keep their row; without labels of both kinds every score is the
-share of toxic rows, 0.5 added to both kinds; very long texts are read in whole, disguised chunks of any
-length in pieces of MOST_UNITS units that overlap by half, begun after a sign where there is one.
+unknown) and are scored; repeated rows each keep their row; an id with several labels is toxic if one of
+them says so; without labels of both kinds every score is the share of toxic rows, 0.5 added to both
+kinds; an empty table of documents gives no row; very long texts are read in whole, disguised chunks of any
+length in pieces of MOST_UNITS units that overlap by half, begun after a sign where there is one; readings
+of equal cost go to the first in order; columns other than doc_id (a whole number) and text aren't read.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ CUT = 0.7
 MOST_UNITS = 48
 GAP = "\x1f"  # between letters set apart
 MOST_KNOWN = 100_000
-LEAST_ROWS, LEAST_ROOT_G, LEAST_SHARE, MOST_WORDS = 4, 4.5, 0.5, 20_000
+LEAST_ROWS, LEAST_ROOT_G, LEAST_SHARE = 4, 4.5, 0.5
 PREFIXES = (4, 5, 6, 7)
 STEPS, RATE, PENALTY = 400, 0.1, 1e-4
 SURE = 0.85
@@ -315,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     """The character model over all docs and the word table from at most about most_labelled rows that aren't held out."""
     ship(docs.sparkSession)
     costs = character_model(docs)
-    marks = labels.filter(~held_out() & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["label_id"])
+    marks = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = stored(marks, "labels")
     share = min(1.0, most_labelled / max(1, marks.count()))
     chosen = marks.filter(F.pmod(F.xxhash64(F.lit(3), "label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -331,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
     rest = (F.col("a") + F.col("b")) * (b_all / n)
     g = 2 * (F.col("a") * F.log(F.col("a") / expect) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / rest)).otherwise(0.0))
     strong = counted.filter((F.col("a") >= LEAST_ROWS) & (F.col("a") >= LEAST_SHARE * (F.col("a") + F.col("b"))) & (F.col("a") > expect)).withColumn("g", g)
-    found = strong.filter(F.col("g") >= LEAST_ROOT_G**2).orderBy(F.desc("g"), "word").limit(MOST_WORDS).collect()  # a table of bounded size
+    found = strong.filter(F.col("g") >= LEAST_ROOT_G**2).select("word", "a", "b").collect()  # words of at least LEAST_ROWS of at most about most_labelled rows
     known = sorted((x["word"] % (1 << 64), _least_share(x["a"], x["a"] + x["b"])) for x in found)
     marks = np.array([w for w, _ in known], dtype=np.uint64)
     sure = np.array([p if p >= SURE else 0.0 for _, p in known])

@@ -1,12 +1,15 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from millrace.llm import toxicity as T
-from millrace.llm.words import words_of
+from millrace.llm.words import prefixes, words_of
 
 BAD = ["stupid", "worthless", "idiot", "pathetic"]
 SCHEMA = "doc_id long, text string, key string, row int, score string"
@@ -116,3 +119,57 @@ def test_long_disguises_are_read(spark, model, text):
     clean = "the an er on in ly " * 5
     found = {r.doc_id: r for r in T.score(spark.createDataFrame([(1, f"{clean}{text} {clean}")], "doc_id long, text string"), model).collect()}
     assert found[1].predicted == 1
+
+
+def features(text, decoder):
+    """Hashes of the words, readings and beginnings of a text, one by one."""
+    found = re.findall(r"[0-9a-z]+", text.lower())
+    read = [x for chunk in T.disguised(words_of(pa.array([text])))[0] for x in decoder.words(chunk)]
+    out = Counter()
+    for w in found + read:
+        own = words_of(pa.array([w]))
+        out[int(own.hashes[0])] += 1
+        for k in (4, 5, 6, 7):
+            if len(w) > k:
+                out[int(prefixes(own, (k,))[0][0])] += 1
+    return out, len(found)
+
+
+def test_marks_by_brute_force(model):
+    docs, marks = rows()
+    decoder, toxic, clean = T.Decoder(model.costs), Counter(), Counter()
+    kind = {i: t for i, _, t in marks if zlib.crc32(str(i).encode()) % 3 != 1}
+    for i, text, *_ in docs:
+        if i in kind:
+            (toxic if kind[i] else clean).update(set(features(text, decoder)[0]))
+    n_toxic, n = sum(kind.values()), len(kind)
+    want = set()
+    for x, a in toxic.items():
+        b = clean[x]
+        g = 2 * (a * math.log(a / ((a + b) * n_toxic / n)) + (b * math.log(b / ((a + b) * (n - n_toxic) / n)) if b else 0))
+        if a >= 4 and a >= 0.5 * (a + b) and a > (a + b) * n_toxic / n and g >= 4.5**2:
+            want.add(x)
+    assert set(model.marks.tolist()) == want
+
+
+def test_scores_by_brute_force(spark, model):
+    docs, _ = rows(120, seed=8)
+    texts = [t for _, t, *_ in docs] + ["you are 1d10t and p@th3tic", "", "i d i o t", "the s.t.u.p.i.d an-er 5tup1d stuuupid"]
+    decoder, at = T.Decoder(model.costs), {int(h): i for i, h in enumerate(model.marks)}
+    found = T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in found:
+        counts, words = features(texts[r.doc_id], decoder)
+        held = {at[h]: n for h, n in counts.items() if h in at}
+        odds = model.base + sum(model.weights[i] for i in held) + model.weights[-1] * math.log1p(1000 * sum(held.values()) / max(words, 100))
+        want = max([1 / (1 + math.exp(-odds)), *(model.sure[i] for i in held)])
+        assert r.score == pytest.approx(want, abs=1e-9)
+
+
+def test_labels_that_disagree_make_a_row_toxic(spark):
+    docs, marks = rows()
+    twice = marks + [(i, 1, 1 - t) for i, _, t in marks[:50]]
+    given = spark.createDataFrame(docs, SCHEMA)
+    once = [(i, q, 1 if i < 50 else t) for i, q, t in marks]
+    kind = "doc_id long, quality int, toxic int"
+    one, two = (T.fit(given, spark.createDataFrame(x, kind)) for x in (twice, once))
+    assert np.array_equal(one.marks, two.marks) and np.allclose(one.weights, two.weights)
