@@ -12,18 +12,22 @@
 4. The words around each chain are fetched from both documents and aligned: equal runs, resynchronised
    after edits, extended to both sides while the alignment gains. Where it stops before the chain's end
    (a gap of other words), it starts anew at the chain's next link outside, so a chain may give several stretches.
-5. Aligned stretches of a document that touch are joined; those of `least_words` or more are passages.
+5. Aligned stretches of a document that overlap are joined; those of `least_words` or more are passages.
 
 Rows: doc_id, start_word, end_word (exclusive), n_words, src_doc_id, src_start_word, src_end_word,
 matched_words. src is an earlier document (smaller doc_id) with the longest part of the passage.
 
 Defined cases: null and empty texts and those below k + w - 1 words have no seeds; rows without a doc_id
-take no part; rows that repeat a doc_id are the same document; repeats within one document aren't
-reported; an empty table gives no row.
+take no part; rows that repeat a doc_id are the same document, and where their texts differ the one with
+the least hash stands for it and the others take no part; repeats within one document aren't reported;
+very long texts are read whole; of equal stretches the source with the least doc_id is told; an empty
+table gives no row; columns other than doc_id (a whole number) and text aren't read, and all are kept by
+`without_passages`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +46,12 @@ SEED_WEIGHT, GAP_COST = 8.0, 0.25
 LEAST_SEEDS = 2
 LEAST_PART = 8
 LEAST_WORDS = 45
+#: Words that two stretches have in common if they are one passage; stretches that only touch are two.
+OVERLAP = 4
 MARGIN = 32
 RESYNC = 32
-HOT_SEED, SALTS, HOT_SAMPLE = 50_000, 64, 1 / 64
+HOT_SEED, HOT_SAMPLE, PART_ROWS = 50_000, 1 / 64, 1_000_000
+LEAST_SALTS, MOST_SALTS = 64, 1024
 ASKS = 256
 #: How far the source places of single links in one request may lie apart.
 SPREAD = 256
@@ -173,7 +180,7 @@ def _links(docs: DataFrame, k: int, w: int) -> DataFrame:
     """(doc_id, src, place, src_place): each occurrence of a seed with those in the first and the last earlier document that has it."""
     seeds = _seeds(docs, k, w)
     sample = _seeds(docs.sample(HOT_SAMPLE, seed=5), k, w).groupBy("seed").count()
-    hot = stored(sample.filter(F.col("count") >= HOT_SEED * HOT_SAMPLE).select("seed", F.lit(True).alias("hot")), "hot-seeds")
+    hot = stored(sample.filter(F.col("count") >= HOT_SEED * HOT_SAMPLE).select("seed", "count", F.lit(True).alias("hot")), "hot-seeds")
     first, last = F.min(F.struct("doc_id", "place")), F.max(F.struct("doc_id", (-F.col("place")).alias("back")))
 
     def linked(rows: DataFrame, *keys: str) -> DataFrame:
@@ -183,9 +190,10 @@ def _links(docs: DataFrame, k: int, w: int) -> DataFrame:
     if not hot.limit(1).count():
         rows = linked(seeds, "seed")
     else:  # hot seeds in parts of neighbouring doc_ids; what earlier parts hold is joined to each part, so links are the same
-        cuts = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / SALTS for i in range(1, SALTS)], 1000)).first()[0]
-        part = F.aggregate(F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int"))
-        parted = seeds.join(broadcast_if_small(hot, row_bytes=32), "seed", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0))
+        salts = min(MOST_SALTS, max(LEAST_SALTS, math.ceil(hot.agg(F.max("count")).first()[0] / HOT_SAMPLE / PART_ROWS)))
+        cuts = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / salts for i in range(1, salts)], 10 * salts)).first()[0]
+        part = F.aggregate(F.lit(sorted(set(cuts))), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int"))
+        parted = seeds.join(broadcast_if_small(hot.select("seed", "hot"), row_bytes=32), "seed", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0))
         near = linked(parted, "seed", "part")
         ends = parted.filter("hot").groupBy("seed", "part").agg(first.alias("f"), last.alias("l"))
         before = Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -325,14 +333,26 @@ def _aligned(docs: DataFrame, chains: DataFrame, k: int) -> DataFrame:
     return words.mapInArrow(align, "doc_id long, lo long, hi long, src long, src_lo long, src_hi long, matched long")
 
 
+def _owned(docs: DataFrame) -> DataFrame:
+    """docs with `__own`: the doc_id, or null in rows whose text doesn't stand for it."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    hashes = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.min(key).alias("__least"), F.max(key).alias("__most"))
+    twice = stored(hashes.filter("__least <> __most").select("__twice", "__least"), "twice")
+    if not twice.limit(1).count():
+        return docs.withColumn("__own", F.col("doc_id"))
+    met = docs.join(broadcast_if_small(twice), F.col("doc_id") == F.col("__twice"), "left")
+    return met.withColumn("__own", F.when(F.col("__twice").isNull() | (key == F.col("__least")), F.col("doc_id"))).drop("__twice", "__least")
+
+
 def repeated_passages(docs: DataFrame, k: int = K, w: int = W, least_words: int = LEAST_WORDS) -> DataFrame:
     """Fuzzy passages of documents (doc_id, text) that an earlier document has too."""
     ship(docs.sparkSession)
+    docs = _owned(docs.select("doc_id", "text")).select(F.col("__own").alias("doc_id"), "text")
     chains = stored(_chains(_links(docs, k, w), k, w), "chains")
     parts = _aligned(docs, chains, k)
     by_place = Window.partitionBy("doc_id").orderBy("lo", "hi")
     reach = F.max("hi").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    joined = parts.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("lo") - 1).cast("int"))
+    joined = parts.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("lo") + OVERLAP).cast("int"))
     joined = joined.withColumn("passage", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
     longest = F.max(F.struct((F.col("hi") - F.col("lo")).alias("size"), (-F.col("src")).alias("order"), "src", "src_lo", "src_hi", "matched")).alias("best")
     whole = joined.groupBy("doc_id", "passage").agg(F.min("lo").alias("start_word"), F.max("hi").alias("end_word"), longest)
@@ -343,11 +363,11 @@ def repeated_passages(docs: DataFrame, k: int = K, w: int = W, least_words: int
 def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """docs with the passages cut out of `text` (and n_chars counted anew, where it is there); documents left without a word go."""
     ship(docs.sparkSession)
-    spans = passages.groupBy(F.col("doc_id").alias("__own")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
-    spans = broadcast_if_small(stored(spans, "spans"), row_bytes=96)
-    met = docs.join(spans, F.col("doc_id") == F.col("__own"), "left").drop("__own")
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    spans = passages.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
+    spans = broadcast_if_small(stored(spans, "spans"), row_bytes=96)
+    met = _owned(docs).join(spans, F.col("__own") == F.col("__of"), "left").drop("__own", "__of")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substrings")

@@ -63,7 +63,7 @@ def planted(seed=3, edits=0.03):
 def test_planted_passages_are_found_and_clean_rows_left_alone(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT_SEED", hot)
     monkeypatch.setattr(S, "HOT_SAMPLE", 1.0 if hot == 1 else S.HOT_SAMPLE)
-    monkeypatch.setattr(S, "SALTS", 2)
+    monkeypatch.setattr(S, "LEAST_SALTS", 2)
     rows, spans = planted()
     docs = spark.createDataFrame([(i, t, 1, 2, "s", 3) for i, t in rows], SCHEMA)
     found = {r.doc_id: r for r in S.repeated_passages(docs).collect()}
@@ -137,5 +137,59 @@ def test_links_are_the_same_at_every_size(spark, monkeypatch):
     plain = sorted(map(tuple, S._links(docs, S.K, S.W).collect()))
     monkeypatch.setattr(S, "HOT_SEED", 20)
     monkeypatch.setattr(S, "HOT_SAMPLE", 1.0)
-    monkeypatch.setattr(S, "SALTS", 4)
+    monkeypatch.setattr(S, "LEAST_SALTS", 4)
     assert plain and sorted(map(tuple, S._links(docs, S.K, S.W).collect())) == plain
+
+
+def covered(rows, size):
+    """Per row the words in windows of `size` words that an earlier document has too, by exact sets."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        words = (text or "").split()
+        for i in range(len(words) - size + 1):
+            window = tuple(words[i : i + size])
+            if seen.setdefault(window, doc_id) < doc_id:
+                out.setdefault(doc_id, set()).update(range(i, i + size))
+    return out
+
+
+def recombined(rng, n):
+    """Documents of fillers and of passages and sentences that others have, in any order."""
+    fresh = lambda k: [f"f{rng.randrange(10**9)}" for _ in range(k)]
+    shared = [fresh(rng.randint(12, 90)) for _ in range(n // 4)]
+    return [(i, " ".join(sum((x for _ in range(rng.randint(1, 5)) for x in (fresh(rng.randint(0, 40)), rng.choice(shared))), []))) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 50_000), (2, 50_000), (3, 1)])
+def test_every_repeated_run_of_50_words_is_covered(spark, monkeypatch, seed, hot):
+    rows = recombined(random.Random(seed), 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, S.repeated_passages(docs).collect()))
+    monkeypatch.setattr(S, "HOT_SEED", hot)
+    if hot == 1:
+        monkeypatch.setattr(S, "HOT_SAMPLE", 1.0)
+    found = sorted(map(tuple, S.repeated_passages(docs.repartition(7)).collect()))
+    assert found == plain  # neither hot seeds nor parts change a row
+    got = {}
+    for r in found:
+        got.setdefault(r[0], set()).update(range(r[1], r[2]))
+    want, near = covered(rows, 50), covered(rows, 8)
+    assert want and all(len(x & got.get(i, set())) >= 0.99 * len(x) for i, x in want.items())
+    assert sum(len(x & near[i]) for i, x in got.items()) >= 0.95 * sum(map(len, got.values()))  # the rest are edits within passages
+
+
+def test_stretches_that_only_touch_are_no_passage(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, f"x1 x2 x3 {one} x4 x5 x6"), (2, f"y1 y2 y3 {two} y4 y5 y6"), (3, f"z1 z2 {one} {two} z3 z4")]
+    assert S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_one_id_that_differ(spark):
+    words = lambda x, n=80: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, words("a")), (2, words("b")), (2, words("c")), (3, words("b")), (4, words("c")), (5, words("a")), (5, words("d"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = S.repeated_passages(docs)
+    by_doc = {r.doc_id for r in found.collect()}
+    assert len(by_doc & {3, 4}) == 1 and by_doc <= {3, 4, 5}  # one of the texts stands for 2
+    kept = [r.text for r in S.without_passages(docs, found).collect()]
+    assert words("d") in kept and kept.count(words("b")) >= 1 and kept.count(words("c")) >= 1
