@@ -7,9 +7,11 @@ than `most_open` windows are open, and when the task ends, the emptiest windows
 gaps of the fullest ones, cutting documents there. The single window left at the end is cut into
 windows of a power of two, which need no padding.
 
-Memory: at most `most_open` windows of ids a task. No shuffle: tasks pack the rows of their own input
-split. Defined cases: a null or empty text is the end id alone; repeated rows and null ids are
-packed like others; an empty table gives no row.
+Memory: at most `most_open` windows of ids a task (1,024 unless said otherwise, 16 MB); beyond them the emptiest
+are poured, so nothing is dropped. No shuffle: tasks pack the rows of their own input split. Defined cases: a
+null or empty text is the end id alone; repeated rows and null ids are packed like others; a very long text
+is cut into whole windows, its rest placed like a document; an empty table gives no row; columns other than
+doc_id (a whole number) and text aren't read.
 """
 
 from __future__ import annotations

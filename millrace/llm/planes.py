@@ -11,7 +11,9 @@ Plane p of a block has bit p ("bit") or byte p ("byte") of each id, so planes th
 or change little compress to almost nothing. Planes above the highest used one aren't stored.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; repeated rows
-each keep their own entry, ordered by text among equal ids; an empty table gives no file and no row.
+each keep their own entry, ordered by a hash of the text among equal ids, then as they come; a file holds
+about FILE_BYTES of text at most, whatever number of rows have one id; very long texts are encoded whole and
+span blocks; an empty table gives no file and no row; columns other than doc_id (a whole number) and text aren't read.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from .words import slices
 MAGIC = b"MRPLANE1"
 BLOCK = 1 << 16
 END_ID = 2
+FILE_BYTES = 256 << 20
 
 
 def split_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -148,12 +151,18 @@ class Reader:
 def write_planes(docs: DataFrame, folder: str, vocabulary: str | None = None, kind: str = "byte", block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
     """Write the ids of documents (doc_id, text) as plane files below folder; return the committed files as (part, path, docs, ids), part ascending with doc_id.
 
-    A range shuffle on doc_id gives each task a run of ids; a task that is run again writes a file of
+    A range shuffle on doc_id gives each task a run of ids; equal ids are told apart by a hash of the text
+    and a row number, so that they need not meet in one task. A task that is run again writes a file of
     another name, and only the one whose row reaches the result counts.
     """
     ship(docs.sparkSession)
     path = vocabulary or default_vocabulary()
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = -(-total // FILE_BYTES)
+    many = parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (rows.repartitionByRange(parts, *order) if many else rows.repartitionByRange(*order)).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("tokens")

@@ -6,23 +6,44 @@ order of its hashes (what arrives from a shuffle has no order), shuffles it by F
 seeded generator and writes it. The buckets one after the other are the shuffled stream; shard s is
 its s-th equal slice, so shards differ by one row at most (law `rows`).
 
+A bucket takes its size from the executors' memory. More than MOST_BUCKETS of them are scattered in two
+levels, first into groups of buckets and then group by group, so no shuffle has more than that many parts.
+The rows of a bucket and their order are the same either way.
+
 Defined cases: a null text has no bytes and stays null; null ids and repeated rows are rows like others;
-with fewer rows than shards some shards are empty; an empty table gives no row.
+a very long text is one row, whole, and its bucket larger by it; equal hashes are ordered by doc_id;
+with fewer rows than shards some shards are empty; an empty table gives no row; columns other than doc_id
+and text aren't read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import scratch, ship
+from ..cluster import broadcast_if_small, scratch, ship
 from .memory import enter
 
-BUCKET_BYTES = 32 << 20
+LEAST_BUCKET, MOST_BUCKET = 32 << 20, 256 << 20
+#: A bucket is held as arrow arrays next to its shuffled copy, beside what other tasks of the executor hold.
+MEMORY_SHARE = 64
+MOST_BUCKETS = 8192
+
+
+def bucket_size(spark: SparkSession) -> int:
+    """Bytes of a bucket: a share of an executor's memory per core."""
+    conf = spark.sparkContext.getConf()
+    memory = conf.get("spark.executor.memory", conf.get("spark.driver.memory", "1g")).lower()
+    scale = {"k": 10, "m": 20, "g": 30, "t": 40}
+    digits, unit = memory.rstrip("kmgtb"), memory.rstrip("b")[-1]
+    size = int(digits) << scale.get(unit, 0)
+    cores = spark.sparkContext.defaultParallelism if spark.sparkContext.master.startswith("local") else int(conf.get("spark.executor.cores", "1"))
+    return min(MOST_BUCKET, max(LEAST_BUCKET, size // cores // MEMORY_SHARE))
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -34,16 +55,15 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
-def shuffled_buckets(docs: DataFrame, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffled_buckets(docs: DataFrame, seed: int = 7, bucket_bytes: int | None = None) -> DataFrame:
     """Both passes over (doc_id, text): the written rows as bucket, place, doc_id, text."""
     spark = docs.sparkSession
     ship(spark)
     own = docs.select("doc_id", "text")
     total = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-total // bucket_bytes))
+    buckets = max(1, -(-total // (bucket_bytes or bucket_size(spark))))
     key = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), F.col("doc_id"))
     dealt = own.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.lit(buckets)).cast("int"))
-    dealt = dealt.repartitionById(buckets, F.col("bucket"))
 
     def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("sharding")
@@ -60,11 +80,21 @@ def shuffled_buckets(docs: DataFrame, seed: int = 7, bucket_bytes: int = BUCKET_
 
     path = scratch(spark, "shuffled")
     schema = f"bucket int, place long, doc_id {own.schema['doc_id'].dataType.simpleString()}, text string"
-    dealt.mapInArrow(shuffle, schema).write.parquet(path)
+    if buckets <= MOST_BUCKETS:
+        dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(shuffle, schema).write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+    each = math.isqrt(buckets - 1) + 1
+    groups, first = -(-buckets // each), scratch(spark, "groups")
+    grouped = dealt.withColumn("group", F.expr(f"cast(bucket div {each} as int)"))
+    grouped.repartitionById(groups, F.col("group")).write.partitionBy("group").parquet(first)
+    whole = spark.read.schema(grouped.schema).parquet(first)
+    for g in range(groups):  # each a shuffle of its own
+        own = whole.filter(F.col("group") == g).drop("group")
+        own.repartitionById(each, F.col("bucket") - g * each).mapInArrow(shuffle, schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes: int | None = None) -> DataFrame:
     """All documents in shuffled shards: doc_id, text, shard, slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     rows = shuffled_buckets(docs, seed, bucket_bytes)
@@ -72,7 +102,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 7, bucket_bytes: int =
     for x in rows.groupBy("bucket").count().orderBy("bucket").collect():  # one row per bucket of bucket_bytes
         starts.append((x["bucket"], base))
         base += x["count"]
-    at = F.broadcast(spark.createDataFrame(starts, "bucket int, base long"))
+    at = broadcast_if_small(spark.createDataFrame(starts, "bucket int, base long"), row_bytes=32)
     place = F.col("base") + F.col("place")
     n = max(base, 1)
     return (

@@ -18,7 +18,9 @@ Rows, one per contaminated (document, item): doc_id, item_id, n_windows, item_wi
 slot_consistency, exact (all slot values are the item's own).
 
 Defined cases: null and empty texts have no windows; a text or item of less than n tokens has one window
-of all its tokens; repeated rows and null ids are judged as rows of their own; empty tables give no row.
+of all its tokens; repeated rows and null ids are judged as rows of their own; very long texts are read
+whole; of occurrences with equally many windows the exact, then the most consistent one is told; empty
+tables give no row; columns other than the ids (whole numbers) and text aren't read, and all are kept by `without_leaks`.
 """
 
 from __future__ import annotations

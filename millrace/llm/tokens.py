@@ -25,12 +25,22 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def separable(path: str) -> bool:
-    """True if the file's normalisers act on single characters or blank runs and its splitter drops blanks."""
+def _specification(path: str) -> tuple[dict, list[dict]]:
+    """The vocabulary file and its normalisers."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     norm = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
-    norms = norm["normalizers"] if norm["type"] == "Sequence" else [norm]
+    return spec, norm["normalizers"] if norm["type"] == "Sequence" else [norm]
+
+
+def lowers(path: str) -> bool:
+    """True if the file's normalisers fold texts to lower case, so that folding them before changes no id."""
+    return any(n["type"] == "Lowercase" for n in _specification(path)[1])
+
+
+def separable(path: str) -> bool:
+    """True if the file's normalisers act on single characters or blank runs and its splitter drops blanks."""
+    spec, norms = _specification(path)
     blank = [n for n in norms if n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " "]
     plain = all(n["type"] in ("NFC", "NFKC", "NFD", "NFKD", "Lowercase") or n in blank for n in norms)
     pre = spec.get("pre_tokenizer") or {}
@@ -47,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_chunk = separable(path)
+        self.by_chunk, self.lowers = separable(path), lowers(path)
         signs = [(x, self.tokenizer.encode(x, add_special_tokens=False).ids) for x in "¤§¶|"]
         self.sign, self.sign_id = next(((x, ids[0]) for x, ids in signs if len(ids) == 1), ("", 0))
         self.between = f" {self.sign} " if self.sign else ""
@@ -122,9 +132,9 @@ class Encoder:
             bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
             return np.fromiter((x for ids in lists for x in ids), dtype=np.uint32, count=int(bounds[-1])), bounds
         # Two changes that leave the ids alone and make chunks recur: a blank between an ASCII letter and a
-        # following point or comma, where the splitter cuts anyway, and lower case where no special token can arise.
+        # following point or comma, where the splitter cuts anyway, and lower case where the vocabulary folds it and no special token can arise.
         texts = pc.replace_substring_regex(texts, pattern="([A-Za-z])([.,])", replacement=r"\1 \2")
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        if self.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py():
             texts = pc.ascii_lower(texts)
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), pattern=" ")  # empty chunks have no ids
         flat = lists.flatten().dictionary_encode()

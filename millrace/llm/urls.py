@@ -5,9 +5,12 @@ path>, for the label counts and path lengths that rules have. Expressions meet r
 the first 32 bits of their SHA-256; the whole digest confirms a match. The longest matching rule
 decides; of rules for the same expression, `block` does. URLs without a match get the default.
 
+Rules beyond a broadcast are joined by shuffle, where Spark splits the rows of a rule that very many pages meet.
+
 Defined cases: a null url or one without `://` has an empty host and path and gets the default verdict;
-a path that is empty fits no rule whose path is `/`; repeated rows and null ids each keep their row; an
-empty table of pages or rules gives no row, or the default alone.
+a path that is empty fits no rule whose path is `/`; repeated rows and null ids each keep their row; very
+long urls are judged whole; rules of equal length for one url are one expression, for which `block` wins; an
+empty table of pages or rules gives no row, or the default alone; columns other than page_id and url aren't read.
 """
 
 from __future__ import annotations

@@ -36,3 +36,24 @@ def test_one_hot_row_spreads(spark):
     docs = spark.createDataFrame([(1, "same text")] * 2000 + [(None, None)], "doc_id long, text string")
     counts = S.shuffled_buckets(docs, bucket_bytes=5000).groupBy("bucket").count().collect()
     assert len(counts) == 11 and max(r["count"] for r in counts) < 300
+
+
+def test_two_levels_give_what_one_gives(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(600)], "doc_id long, text string").coalesce(2)
+    plain = sorted(map(tuple, S.shuffled_buckets(docs, bucket_bytes=1200).collect()))
+    monkeypatch.setattr(S, "MOST_BUCKETS", 3)
+    assert len({r[0] for r in plain}) > 9 and sorted(map(tuple, S.shuffled_buckets(docs, bucket_bytes=1200).collect())) == plain
+
+
+def test_very_long_texts_and_the_contract(spark, tmp_path):
+    import zlib
+
+    from millrace.llm import queries
+
+    long = "wörd " * 200_000
+    rows = [(1, long), (2, None), (3, ""), (None, "x"), (4, "naïve"), (4, "naïve")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op8_sharding(spark, str(tmp_path)).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((i, size(t), zlib.crc32((t or "").encode())) for i, t in rows)
+    assert {(r.law, r.grown_shard) for r in found} == {("rows", None)}
