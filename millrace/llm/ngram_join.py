@@ -181,11 +181,12 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     leads = broadcast_if_small(stored(leads, "leads"), row_bytes=48)  # stored, so that both sides of a shuffle join can be split
     clusters, number = sized_components(buckets.join(leads, "h").filter("digest <> lead").select(F.col("digest").alias("a"), F.col("lead").alias("b")))
     members = stored(_members(nodes, clusters, number, bands), "members")
-    members = broadcast_if_small(members, row_bytes=2 * bands * 8 + 96 + 48 * bands)
+    marks = members.select(F.col("digest").alias("key"), "own")  # texts that are compared with none are left where they are, while the marks are few enough
 
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    met = texts.join(members, "digest").filter(F.col("doc_id").eqNullSafe(F.col("own"))).withColumn("ask", F.explode("asks"))
+    kept = texts.join(broadcast_if_small(marks, row_bytes=48), (F.col("digest") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    met = kept.join(members.hint("merge"), "digest").withColumn("ask", F.explode("asks"))
     met = met.select("digest", "text", "bands", "ask.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "bands", "text")
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
