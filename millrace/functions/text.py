@@ -37,7 +37,23 @@ def strip(x: Column) -> Column:
 
 
 def is_blank(x: Column) -> Column:
-    return x.isNull() | (strip(x) == "")
+    """Null, empty or white space only; the search ends at the first other character."""
+    return x.isNull() | ~x.rlike(rf"(?U)[^{STRIPPED}]")
+
+
+def shortened(x: Column, most: int = 200) -> Column:
+    """At most so many characters, with three points behind a longer text."""
+    return F.when(F.length(x) <= most, x).otherwise(F.concat(F.substring(x, 1, most), F.lit("...")))
+
+
+def byte_size(n: Column) -> Column:
+    """A number of bytes for reading, with one decimal: the first of B, KB, MB, GB, TB below 1024, else PB."""
+    units = ["B", "KB", "MB", "GB", "TB"]
+    shown = lambda i: F.format_string(f"%.1f {(units + ['PB'])[i]}", F.bround(n.cast("double") / F.lit(float(1024**i)), 1))
+    out = F.when(n < 1024, shown(0))
+    for i in range(1, len(units)):
+        out = out.when(n < 1024 ** (i + 1), shown(i))
+    return out.otherwise(shown(len(units)))
 
 
 def normalize(x: Column, compose: bool = True) -> Column:

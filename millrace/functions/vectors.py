@@ -31,7 +31,13 @@ def lexical_score(query_tokens: Column, text_tokens: Column) -> Column:
     """Coverage of the distinct query tokens and their saturated frequency by text length; at most 1."""
     query = F.array_distinct(query_tokens)
     matched = F.array_intersect(query, text_tokens)
-    counts = F.aggregate(matched, F.lit(0), lambda s, t: s + F.least(F.size(F.filter(text_tokens, lambda x: x == t)), F.lit(3)))
+
+    def again(k: int) -> Column:
+        """Tokens that are there more than k times."""
+        return F.transform(F.array(F.array_sort(text_tokens)), lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i + k) == x, F.lit(False))))[0]
+
+    # Of each matched token three at most count: it is there, there again, and once more.
+    counts = F.size(matched) + F.size(F.array_intersect(matched, again(1))) + F.size(F.array_intersect(matched, again(2)))
     length = 1.0 + F.log1p(F.size(text_tokens) / 50.0)
     score = 0.7 * (F.size(matched) / F.size(query)) + 0.3 * ((counts / length) / (F.size(query) * 2.0))
     return F.when((F.size(query) == 0) | (F.size(matched) == 0), 0.0).otherwise(F.least(F.lit(1.0), score))

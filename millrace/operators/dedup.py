@@ -1,14 +1,17 @@
 """Two-level deduplication of passages with an explicit order column `ord`.
 
-Winners are found by aggregation (partial before the shuffle) and joined back, so a text that a
-third of all rows share is combined on the map side instead of being sorted in one task.
+Winners are whole rows found by aggregation, which is combined before the shuffle: a text that a third
+of all rows share leaves one row a task, and no input is read twice.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import broadcast_if_small, stored
 from ..functions.ids import fingerprint
 
 
@@ -18,8 +21,12 @@ def fingerprint_of() -> Column:
 
 def by_identity(rows: DataFrame) -> DataFrame:
     """The first row of each document_id."""
-    first = rows.groupBy("document_id").agg(F.min("ord").alias("ord"))
-    return rows.join(first, ["document_id", "ord"], "left_semi")
+    return _winners(rows, F.col("document_id"), F.col("ord")).select("row.*")
+
+
+def _winners(rows: DataFrame, key: Column, order: Column) -> DataFrame:
+    """Per key the row that is least in order, and the least `ord`."""
+    return rows.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("row"), F.min("ord").alias("place"))
 
 
 def content_groups(rows: DataFrame) -> DataFrame:
@@ -36,9 +43,8 @@ def content_groups(rows: DataFrame) -> DataFrame:
 
 def by_content(rows: DataFrame, prefer_selected: bool = True) -> DataFrame:
     """One row per fingerprint: the first selected one if wanted and there, else the first; `place` is the group's first order."""
-    kept = F.coalesce("first_selected", "first_ord") if prefer_selected else F.col("first_ord")
-    winners = content_groups(rows).select("fp", kept.alias("ord"), F.col("first_ord").alias("place"))
-    return rows.withColumn("fp", fingerprint_of()).join(winners, ["fp", "ord"]).drop("fp")
+    order = F.struct(~F.col("is_selected"), F.col("ord")) if prefer_selected else F.col("ord")
+    return _winners(rows, fingerprint_of(), order).select("row.*", "place")
 
 
 def conflicts(rows: DataFrame, prefer_selected: bool = True) -> DataFrame:
@@ -54,6 +60,69 @@ def conflicts(rows: DataFrame, prefer_selected: bool = True) -> DataFrame:
     return groups.filter("n > 1").select("fp", "n", number.cast("long").alias("conflicts"))
 
 
+@dataclass
+class IncrementalDedup:
+    """Deduplication over batches: a row is dropped if its id is that of a row kept before it, or else its content.
+
+    What is kept stays kept; a later selected row of the same content only turns the content's flag. The
+    state is two tables, kept ids and contents with their flags, each written anew by a batch; `ord` orders rows within a batch.
+    """
+
+    prefer_selected: bool = True
+    ids: DataFrame | None = None
+    contents: DataFrame | None = None
+    statistics: dict[str, int] = field(default_factory=lambda: {"processed": 0, "kept": 0, "identity_duplicates": 0, "content_duplicates": 0, "conflicts": 0})
+
+    def process(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch that are kept, with all their columns."""
+        rows = stored(batch.select("document_id", fingerprint_of().alias("fp"), "ord", F.coalesce("is_selected", F.lit(False)).alias("flag")), "dedup-batch")
+        spark = batch.sparkSession
+        ids = self.ids if self.ids is not None else spark.createDataFrame([], "document_id string")
+        contents = self.contents if self.contents is not None else spark.createDataFrame([], "fp string, flag boolean")
+        open_rows = rows.join(ids, "document_id", "left_anti").join(contents, "fp", "left_anti")
+        kept, size = None, 0
+        while True:  # rows that come first both by id and by content are kept and rule others out; the rest goes on
+            first_id = open_rows.groupBy("document_id").agg(F.min("ord").alias("by_id"))
+            first_fp = open_rows.groupBy("fp").agg(F.min("ord").alias("by_fp"))
+            now = stored(open_rows.join(first_id, "document_id").join(first_fp, "fp").filter("ord = by_id AND ord = by_fp").select("document_id", "fp", "ord", "flag"), "dedup-kept")
+            number = now.count()
+            if not number:
+                break
+            kept, size = now if kept is None else kept.unionAll(now), size + number
+            open_rows = stored(open_rows.join(now.select("document_id"), "document_id", "left_anti").join(now.select("fp"), "fp", "left_anti"), "dedup-open")
+        kept = kept if kept is not None else rows.limit(0).select("document_id", "fp", "ord", "flag")
+        self._count(rows, ids, contents, kept, size)
+        winners = broadcast_if_small(kept.select("document_id", "ord"), row_bytes=128)
+        return batch.join(winners, ["document_id", "ord"], "left_semi")
+
+    def _count(self, rows: DataFrame, ids: DataFrame, contents: DataFrame, kept: DataFrame, size: int) -> None:
+        known = ids.select("document_id", F.lit(None).cast("long").alias("since")).unionAll(kept.select("document_id", F.col("ord").cast("long")))
+        dropped = rows.join(kept.select("document_id", "ord"), ["document_id", "ord"], "left_anti")
+        again = known.withColumnRenamed("document_id", "known_id")
+        twice = F.col("known_id").isNotNull() & (F.col("since").isNull() | (F.col("since") < F.col("ord")))
+        content = stored(dropped.join(again, F.col("document_id") == F.col("known_id"), "left").withColumn("twice", F.coalesce(twice, F.lit(False))).filter("NOT twice").select("fp", "ord", "flag"), "dedup-content")
+        held = contents.unionAll(kept.select("fp", "flag"))
+        first = F.min(F.when(F.col("flag"), F.col("ord"))).alias("first_selected")
+        groups = content.groupBy("fp").agg(first).withColumnRenamed("fp", "group")
+        state = stored(held.join(groups, F.col("fp") == F.col("group"), "left").select("fp", "flag", "first_selected"), "dedup-state")
+        met = content.withColumnRenamed("flag", "own").join(state, "fp")
+        if self.prefer_selected:
+            differs = F.when(F.col("flag") | (F.col("ord") > F.col("first_selected")), ~F.col("own")).otherwise(F.col("own"))
+        else:
+            differs = F.col("own") != F.col("flag")
+        found = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("conflicts")).first()
+        total = rows.count()
+        for name, n in (("processed", total), ("kept", size), ("identity_duplicates", total - size - found["n"]), ("content_duplicates", found["n"]), ("conflicts", found["conflicts"])):
+            self.statistics[name] += n
+        flag = F.col("flag") | F.col("first_selected").isNotNull() if self.prefer_selected else F.col("flag")
+        self.contents = stored(state.select("fp", flag.alias("flag")), "dedup-contents")
+        self.ids = stored(ids.unionAll(kept.select("document_id")), "dedup-ids")
+
+    def reset(self) -> None:
+        self.ids = self.contents = None
+        self.statistics = dict.fromkeys(self.statistics, 0)
+
+
 def incremental(rows: DataFrame) -> DataFrame:
-    """What a run over batches keeps: always the first row of an id and of a fingerprint, flags can't be retracted."""
-    return by_content(by_identity(rows), prefer_selected=False)
+    """What a run over batches keeps of one batch: flags can't be retracted, so always the first row."""
+    return IncrementalDedup().process(rows)

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import math
 import random
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from typing import Any
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..cluster import ship
+from ..functions import params
 
 # Words and lengths of the offline generator, audio stubs, transcription.
 ANSWER_WORDS = "goa beach temple tourism fort church market answer grounded retrieval evidence citation गोवा समुद्र मंदिर पर्यटन किला बाजार उत्तर साक्ष्य".split()
@@ -47,52 +58,137 @@ def hash_embedder(dimension: int = 64) -> Embedder:
     return embed
 
 
-def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk_id", text: str = "chunk_text", batch_size: int = 32, fail_fast: bool = False) -> DataFrame:
-    """(key, embedding, error) in micro-batches. A batch that fails, or gives a wrong number, length or a value that isn't finite, is an error: raised, or told in every row of the batch."""
+def masked_mean(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of token vectors (text, token, dimension) where the mask (text, token) is set; a text without a token gives zeros."""
+    weight = mask[:, :, None].astype(hidden.dtype)
+    return (hidden * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+
+
+_models: dict[str, Any] = {}
+
+
+def model_embedder(name: str, load: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]], prefix: str = "passage: ", unit: bool = True) -> Embedder:
+    """Embedder of a model that is loaded at first use in each worker and kept there under its name.
+
+    load gives a function from texts to (token vectors, mask); they are pooled by the masked mean and made unit
+    vectors. prefix: models of the E5 family want `passage: ` before passages and `query: ` before queries.
+    """
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if name not in _models:
+            _models[name] = load()
+        pooled = masked_mean(*_models[name]([prefix + x for x in texts]))
+        if unit:
+            pooled = pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)
+        return pooled.tolist()
+
+    return embed
+
+
+def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk_id", text: str = "chunk_text", batch_size: int = 32, fail_fast: bool = False, on_error: Callable[[dict], None] | None = None) -> DataFrame:
+    """(key, embedding, error, batch) in micro-batches of batch_size rows, whatever Arrow batches they come in.
+
+    A batch that fails, or gives a wrong number, length or a value that isn't a finite number, is an error:
+    raised, or told in every row of the batch. batch: its number, unique in the run. on_error gets
+    {batch, keys, error} on the worker; what it raises is ignored.
+    """
     ship(rows.sparkSession)
     if batch_size <= 0 or dimension <= 0:
         raise ValueError("batch size and dimension have to be positive")
 
+    def number(x: object) -> bool:
+        return isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
+
+    def one(part: pd.DataFrame, batch: int) -> pd.DataFrame:
+        vectors, error = None, None
+        try:
+            if any(not isinstance(x, str) or not x.strip() for x in part[text]):
+                raise ValueError("blank text")
+            vectors = embedder(part[text].tolist())
+            if len(vectors) != len(part):
+                raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+            if any(len(v) != dimension or not all(map(number, v)) for v in vectors):
+                raise ValueError("a vector has a wrong length or a value that isn't a finite number")
+        except Exception as e:
+            if fail_fast:
+                raise
+            vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"
+            if on_error is not None:
+                try:
+                    on_error({"batch": batch, "keys": part[key].tolist(), "error": error})
+                except Exception:  # noqa: S110 - the callback's own failure doesn't count
+                    pass
+        return pd.DataFrame({key: part[key].tolist(), "embedding": vectors, "error": [error] * len(part), "batch": [batch] * len(part)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, waiting = TaskContext.get().partitionId() << 33, None
         for frame in frames:
-            for i in range(0, len(frame), batch_size):
-                part = frame.iloc[i : i + batch_size]
-                vectors, error = None, None
-                try:
-                    if any(not isinstance(x, str) or not x.strip() for x in part[text]):
-                        raise ValueError("blank text")
-                    vectors = embedder(part[text].tolist())
-                    if len(vectors) != len(part):
-                        raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
-                    if any(len(v) != dimension or not all(map(math.isfinite, v)) for v in vectors):
-                        raise ValueError("a vector has a wrong length or a value that isn't finite")
-                except Exception as e:
-                    if fail_fast:
-                        raise
-                    vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({key: part[key].tolist(), "embedding": vectors, "error": [error] * len(part)})
+            waiting = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
+            while len(waiting) >= batch_size:
+                yield one(waiting.iloc[:batch_size], batch)
+                waiting, batch = waiting.iloc[batch_size:], batch + 1
+        if waiting is not None and len(waiting):
+            yield one(waiting, batch)
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>, error string")
+    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>, error string, batch long")
+
+
+def failures(embedded: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(batch, keys, error) of the batches of embed() that failed."""
+    return embedded.filter("error IS NOT NULL").groupBy("batch").agg(F.sort_array(F.collect_list(key)).alias("keys"), F.first("error").alias("error"))
 
 
-def generate(rows: DataFrame, key: str, prompt: str, most_words: int = 256) -> DataFrame:
-    """Offline generation: (key, text, prompt_tokens, completion_tokens, total_tokens)."""
+def _called(rows: DataFrame, key: str, given: str, columns: dict[str, str], make: Callable[[], Callable[[Any], dict]]) -> DataFrame:
+    """(key, columns, error): call one row at a time; make builds the call in the task. What a call raises is told in its row."""
     ship(rows.sparkSession)
+    names = list(columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = make()
         for frame in frames:
-            texts = []
-            for x in frame[prompt]:
-                rng = _seeded(x)
-                n = max(1, min(rng.randint(LEAST_WORDS, MOST_WORDS), most_words))
-                texts.append(" ".join(rng.choice(ANSWER_WORDS) for _ in range(n)))
-            asked = [len(x.split()) for x in frame[prompt]]
-            made = [len(x.split()) for x in texts]
-            yield pd.DataFrame({key: frame[key], "text": texts, "prompt_tokens": asked, "completion_tokens": made, "total_tokens": [a + b for a, b in zip(asked, made, strict=True)]})
+            out, errors = [], []
+            for x in frame[given]:
+                try:
+                    out.append(call(x))
+                    errors.append(None)
+                except Exception as e:
+                    out.append({})
+                    errors.append(f"{type(e).__name__}: {e}")
+            made = {n: pd.Series([r.get(n) for r in out], dtype=object) for n in names}
+            yield pd.DataFrame({key: frame[key].to_numpy(), **made, "error": pd.Series(errors, dtype=object)})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.filter(f"trim({prompt}) <> ''").select(key, prompt).mapInPandas(run, f"{key} {kind}, text string, prompt_tokens long, completion_tokens long, total_tokens long")
+    return rows.select(key, given).mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} {t}" for n, t in columns.items()) + ", error string")
+
+
+LLM_COLUMNS = {"text": "string", "prompt_tokens": "long", "completion_tokens": "long", "total_tokens": "long"}
+
+
+def usage(prompt: str, text: str) -> dict:
+    """An answer with its numbers of white space words."""
+    asked, made = len(prompt.split()), len(text.split())
+    return {"text": text, "prompt_tokens": asked, "completion_tokens": made, "total_tokens": asked + made}
+
+
+def offline_answer(prompt: str, most_words: int = 256) -> str:
+    """The offline generator's words for a prompt."""
+    rng = _seeded(prompt)
+    n = max(1, min(rng.randint(LEAST_WORDS, MOST_WORDS), most_words))
+    return " ".join(rng.choice(ANSWER_WORDS) for _ in range(n))
+
+
+def generate(rows: DataFrame, key: str, prompt: str, most_words: int = 256, make: Callable[[], Callable[[str], str]] | None = None, temperature: float = 0.7, top_p: float = 1.0) -> DataFrame:
+    """(key, text, prompt_tokens, completion_tokens, total_tokens, error) of prompts that aren't blank, by the offline generator or by what make gives in each task (an adapter, a Harness)."""
+    params.max_tokens(most_words)
+    params.temperature(temperature)
+    params.top_p(top_p)
+
+    def start() -> Callable[[str], dict]:
+        call = make() if make else lambda x: offline_answer(x, most_words)
+        return lambda x: usage(x, params.text(call(x), 1 << 30, "answer"))
+
+    return _called(rows.filter(f"trim({prompt}) <> ''"), key, prompt, LLM_COLUMNS, start)
 
 
 def with_resilience(call: Callable[[str], str], provider_errors: tuple[type[Exception], ...], fallback: str, retries: int = 2, base: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] | None = None) -> Callable[[str], tuple[str, int, bool]]:
@@ -133,30 +229,145 @@ class CircuitBreaker:
             self.tripped |= self.count >= self.failures
 
 
-def transcribe(rows: DataFrame, key: str, audio: str, canned: dict[bytes, str] | None = None, language: str = "en") -> DataFrame:
-    """Offline speech to text: (key, text, language, duration_seconds, confidence)."""
-    ship(rows.sparkSession)
-    known = canned or {}
+class ProviderError(Exception):
+    """A provider that fails in a way that may pass."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            n = len(frame)
-            yield pd.DataFrame({key: frame[key], "text": [known.get(bytes(x), TRANSCRIPTION) for x in frame[audio]], "language": [language] * n, "duration_seconds": [1.5] * n, "confidence": [0.95] * n})
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.filter(f"octet_length({audio}) > 0").select(key, audio).mapInPandas(run, f"{key} {kind}, text string, language string, duration_seconds double, confidence double")
+FALLBACK = "The service can't answer at the moment. Please try again later."
 
 
-def synthesize(rows: DataFrame, key: str, text: str, format: str = "mp3", most_chars: int = 4096) -> DataFrame:
-    """Offline text to speech: (key, audio, format, character_count); blank and too long texts are left out."""
-    ship(rows.sparkSession)
-    if format not in AUDIO_STUBS:
-        raise ValueError(f"unsupported format {format!r}")
+@dataclass
+class Harness:
+    """call behind retries, a circuit breaker and a fallback answer.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            n = len(frame)
-            yield pd.DataFrame({key: frame[key], "audio": [AUDIO_STUBS[format]] * n, "format": [format] * n, "character_count": [len(x.strip()) for x in frame[text]]})
+    While the breaker is open the fallback is given at once. Provider errors are tried again after a growing
+    pause; any other error isn't. A prompt whose tries are used up counts as one failure of the breaker.
+    """
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.filter(f"trim({text}) <> '' AND length({text}) <= {most_chars}").select(key, text).mapInPandas(run, f"{key} {kind}, audio binary, format string, character_count long")
+    call: Callable[[str], str]
+    breaker: CircuitBreaker
+    provider_errors: tuple[type[Exception], ...] = (ProviderError,)
+    fallback: str = FALLBACK
+    retries: int = 3
+    base: float = 0.2
+    most: float = 2.0
+    sleep: Callable[[float], None] = time.sleep
+    tries: int = field(default=0, init=False)
+
+    def __post_init__(self) -> None:
+        if self.retries < 0 or self.base < 0:
+            raise ValueError("retries and pauses can't be negative")
+
+    def __call__(self, prompt: str) -> str:
+        if self.breaker.state == "open":
+            return self.fallback
+        for attempt in range(self.retries + 1):
+            self.tries += 1
+            try:
+                answer = self.call(prompt)
+                self.breaker.record(True)
+                return answer
+            except self.provider_errors:
+                if attempt < self.retries:
+                    self.sleep(min(self.most, self.base * 2**attempt))
+            except Exception:
+                break
+        self.breaker.record(False)
+        return self.fallback
+
+
+def _post(url: str, body: bytes, kind: str, headers: dict[str, str], timeout: float, secret: str | None) -> bytes:
+    request = urllib.request.Request(url, body, {"Content-Type": kind, **headers})  # noqa: S310
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+            return answer.read()
+    except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+        told = str(e)
+        raise ProviderError(told.replace(secret, "[REDACTED]") if secret else told) from None
+
+
+@dataclass(frozen=True)
+class HttpProvider:
+    """A provider behind HTTP: where it is and how a key is sent. Objects of it go to the workers, and no connection is made before a call."""
+
+    base_url: str
+    model: str
+    key: str | None = None
+    key_header: str = "Authorization"
+    key_format: str = "Bearer {}"
+    timeout: float = 60.0
+
+    def headers(self) -> dict[str, str]:
+        return {self.key_header: self.key_format.format(self.key)} if self.key else {}
+
+    def post_json(self, path: str, body: dict) -> Any:
+        return json.loads(self.post(path, json.dumps(body).encode(), "application/json"))
+
+    def post(self, path: str, body: bytes, kind: str) -> bytes:
+        return _post(self.base_url.rstrip("/") + path, body, kind, self.headers(), self.timeout, self.key)
+
+    def chat(self, system: str | None = None, temperature: float = 0.7, top_p: float = 1.0, max_tokens: int = 256) -> Callable[[str], str]:
+        """Answers by a chat completion endpoint."""
+        settings = {"model": self.model, "temperature": params.temperature(temperature), "top_p": params.top_p(top_p), "max_tokens": params.max_tokens(max_tokens)}
+
+        def call(prompt: str) -> str:
+            messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": params.text(prompt, 1 << 30, "prompt")}]
+            found = self.post_json("/chat/completions", settings | {"messages": messages})
+            try:
+                return found["choices"][0]["message"]["content"]
+            except (KeyError, IndexError, TypeError):
+                raise ProviderError("the answer has no text") from None
+
+        return call
+
+    def transcribe(self, path: str = "/audio/transcriptions", language: str | None = None) -> Callable[[bytes], dict]:
+        """Speech to text by an upload form."""
+        code = params.language(language)
+
+        def call(audio: bytes) -> dict:
+            mark = hashlib.sha256(bytes(audio)).hexdigest()
+            fields = {"model": self.model} | ({"language": code} if code else {})
+            parts = [f'--{mark}\r\nContent-Disposition: form-data; name="{k}"\r\n\r\n{v}\r\n'.encode() for k, v in fields.items()]
+            parts += [f'--{mark}\r\nContent-Disposition: form-data; name="file"; filename="audio"\r\nContent-Type: application/octet-stream\r\n\r\n'.encode(), bytes(audio), f"\r\n--{mark}--\r\n".encode()]
+            found = json.loads(self.post(path, b"".join(parts), f"multipart/form-data; boundary={mark}"))
+            text = found.get("text") or found.get("transcript")
+            if not text or not text.strip():
+                raise ProviderError("the transcription is blank")
+            return {"text": text, "language": found.get("language") or found.get("language_code") or code, "duration_seconds": found.get("duration"), "confidence": found.get("confidence")}
+
+        return call
+
+    def speak(self, path: str = "/audio/speech", voice: str = "alloy", output: str = "mp3", speed: float = 1.0) -> Callable[[str], bytes]:
+        """Text to speech; the answer is the audio, or JSON with it in base64."""
+        settings = {"model": self.model, "voice": params.voice(voice), "response_format": params.output_format(output), "speed": params.speed(speed)}
+
+        def call(text: str) -> bytes:
+            raw = self.post(path, json.dumps(settings | {"input": params.text(text)}).encode(), "application/json")
+            if raw[:1] == b"{":
+                raw = base64.b64decode(json.loads(raw)["audios"][0])
+            if not raw:
+                raise ProviderError("the audio is empty")
+            return raw
+
+        return call
+
+
+STT_COLUMNS = {"text": "string", "language": "string", "duration_seconds": "double", "confidence": "double"}
+
+
+def transcribe(rows: DataFrame, key: str, audio: str, canned: dict[bytes, str] | None = None, language: str = "en", call: Callable[[bytes], dict] | None = None) -> DataFrame:
+    """(key, text, language, duration_seconds, confidence, error) of audio that isn't empty, offline or by a call (HttpProvider.transcribe)."""
+    known, code = canned or {}, params.language(language)
+    offline = lambda x: {"text": known.get(bytes(x), TRANSCRIPTION), "language": code, "duration_seconds": 1.5, "confidence": 0.95}
+    return _called(rows.filter(f"octet_length({audio}) > 0"), key, audio, STT_COLUMNS, lambda: call or offline)
+
+
+def synthesize(rows: DataFrame, key: str, text: str, format: str = "mp3", most_chars: int = params.MOST_TEXT, voice: str = "alloy", speed: float = 1.0, call: Callable[[str], bytes] | None = None) -> DataFrame:
+    """(key, audio, format, character_count, error), offline or by a call (HttpProvider.speak); blank and too long texts are left out."""
+    name = params.output_format(format)
+    params.voice(voice)
+    params.speed(speed)
+    speak = call or (lambda x: AUDIO_STUBS[name])
+    made = lambda x: {"audio": speak(x), "format": name, "character_count": len(x.strip())}
+    columns = {"audio": "binary", "format": "string", "character_count": "long"}
+    return _called(rows.filter(f"trim({text}) <> '' AND length({text}) <= {most_chars}"), key, text, columns, lambda: made)

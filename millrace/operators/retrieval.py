@@ -1,20 +1,25 @@
-"""Exact top-k, resolution, reranking, prompts and citations over batches of queries."""
+"""Exact top-k, resolution, reranking, prompts and citations over batches of queries, and the whole of retrieval."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import broadcast_if_small, ship, stored
+from ..functions import guard
 from ..functions.text import lexical_tokens, strip
 from ..functions.vectors import dot, hybrid_score, lexical_score
 
-#: Query vectors scored in one pass over the store; more of them take further passes.
-QUERY_BLOCK = 4096
+#: Queries of a block, and vectors scored against it at a time; queries beyond one block go through a table of blocks.
+QUERY_BLOCK, STORE_BLOCK = 4096, 2048
+#: Hits of all blocks that a task holds before it hands them on.
+MOST_HELD = 4_000_000
 # Layout of prompts.
 SYSTEM_PROMPT = "Answer only from the reference passages below. If they don't hold the answer, say so. Reply in the language of the question, briefly and with facts only."
 NO_EVIDENCE = "\n\n(No background evidence available. State that no context was found.)"
@@ -28,69 +33,217 @@ def check_top_k(k: int) -> int:
 
 
 def top_k(store: DataFrame, query: list[float], k: int) -> DataFrame:
-    """The k vectors of a store (position, embedding) with the largest inner product; ties by position."""
+    """The k vectors of a store (position, embedding) with the largest inner product; ties by position. An empty store is an error."""
     check_top_k(k)
+    if store.isEmpty():
+        raise ValueError("the store is empty")
     scored = store.select("*", dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
     return scored.orderBy(F.desc("score"), "position").limit(k)
 
 
+class _Best:
+    """The k best hits so far of a block of queries; of equal scores those with the least position."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.matrix, self.k = ids, vectors.T, k
+        self.score, self.place = np.zeros((0, len(ids))), np.zeros((0, len(ids)), dtype=np.int64)
+
+    def add(self, positions: np.ndarray, vectors: np.ndarray) -> None:
+        for i in range(0, len(positions), STORE_BLOCK):
+            part = positions[i : i + STORE_BLOCK]
+            score = np.concatenate((self.score, vectors[i : i + STORE_BLOCK] @ self.matrix))
+            place = np.concatenate((self.place, np.broadcast_to(part[:, None], (len(part), len(self.ids)))))
+            if len(score) > self.k:
+                at = np.argpartition(-score, self.k - 1, axis=0)[: self.k]
+                least = np.take_along_axis(score, at, axis=0).min(axis=0)
+                tied = np.flatnonzero((score >= least).sum(axis=0) > self.k)
+                if len(tied):
+                    at[:, tied] = np.lexsort((place[:, tied], -score[:, tied]), axis=0)[: self.k]
+                score, place = np.take_along_axis(score, at, axis=0), np.take_along_axis(place, at, axis=0)
+            self.score, self.place = score, place
+
+    def rows(self) -> pa.RecordBatch:
+        n = len(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(self.ids, n)), pa.array(self.place.reshape(-1)), pa.array(self.score.reshape(-1))], ["query_id", "position", "score"])
+
+
+def _arrays(batch: pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column(key).to_numpy().astype(np.int64), np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
+
+
+def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, embedding) as rows of at most `size` ids and vectors in bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, size):
+                ids, vectors = _arrays(batch.slice(i, size), key)
+                yield pa.RecordBatch.from_pydict({f"{key}s": [ids.tobytes()], f"{key}_vectors": [vectors.tobytes()]})
+
+    return rows.mapInArrow(pack, f"{key}s binary, {key}_vectors binary")
+
+
 def batched_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, position, score, rank from 0) for queries (query_id, embedding) against a store (position, embedding).
 
-    Queries come in blocks of QUERY_BLOCK to every part of the store; each part keeps k of its own vectors
-    a query, and only those are shuffled and ranked.
+    Each task keeps the k best of its own vectors a query, and only those are shuffled and ranked. Up to
+    QUERY_BLOCK queries go out with the task; more are a table of blocks, which meets the store's blocks (by
+    broadcast while its size allows that) and never passes the driver.
     """
     check_top_k(k)
     ship(store.sparkSession)
-    whole: DataFrame | None = None
-    held: list = []
-
-    def block(rows: list) -> DataFrame:
-        ids = [r["query_id"] for r in rows]
-        matrix = np.array([r["embedding"] for r in rows], dtype=np.float64).T
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("query_id IS NOT NULL AND embedding IS NOT NULL")
+    vectors = store.select(F.col("position").cast("long").alias("position"), "embedding").filter("embedding IS NOT NULL")
+    schema = "query_id long, position long, score double"
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(few) <= QUERY_BLOCK:
+        ids, matrix = np.array([r["query_id"] for r in few], dtype=np.int64), np.array([r["embedding"] for r in few], dtype=np.float64)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(ids, matrix, k) if len(ids) else None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                vectors = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-                positions = batch.column("position").to_numpy()
-                order = np.argsort(positions, kind="stable")
-                positions, found = positions[order], (vectors @ matrix)[order]
-                best = np.argsort(-found, axis=0, kind="stable")[:k]
-                number = best.shape[0]
-                columns = [pa.array(np.tile(np.array(ids, dtype=np.int64), number)), pa.array(positions[best].reshape(-1)), pa.array(np.take_along_axis(found, best, axis=0).reshape(-1))]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "position", "score"])
-
-        return store.select("position", "embedding").mapInArrow(score, "query_id long, position long, score double")
-
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == QUERY_BLOCK:
-            whole, held = (block(held) if whole is None else whole.unionAll(block(held))), []
-    if held or whole is None:
-        last = block(held) if held else store.sparkSession.createDataFrame([], "query_id long, position long, score double")
-        whole = last if whole is None else whole.unionAll(last)
-    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "position")) - 1)
-    return ranked.filter(F.col("rank") < k)
-
-
-def resolve(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Hits with their chunks, in their order; hits without one are dropped."""
-    return hits.join(chunks, key)
+                if best and batch.num_rows:
+                    best.add(*_arrays(batch, "position"))
+            if best:
+                yield best.rows()
+
+        found = vectors.mapInArrow(score, schema)
+    else:
+        asked = stored(asked, "queries")
+        number = asked.count()
+        blocks = stored(_blocks(asked.repartition(-(-number // QUERY_BLOCK)), "query_id", QUERY_BLOCK), "query-blocks")
+        met = _blocks(vectors, "position", STORE_BLOCK).crossJoin(broadcast_if_small(blocks, "query_ids", "query_id_vectors"))  # a stated query set against all rows, in blocks
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[bytes, _Best] = {}
+            for batch in batches:
+                for places, theirs, ids, ours in zip(*(batch.column(i) for i in range(4)), strict=True):
+                    name = ids.as_py()
+                    if name not in held:
+                        if sum(len(b.ids) for b in held.values()) * k > MOST_HELD:
+                            yield from (b.rows() for b in held.values())
+                            held = {}
+                        own = np.frombuffer(name, dtype=np.int64)
+                        held[name] = _Best(own, np.frombuffer(ours.as_py()).reshape(len(own), -1), k)
+                    positions = np.frombuffer(places.as_py(), dtype=np.int64)
+                    held[name].add(positions, np.frombuffer(theirs.as_py()).reshape(len(positions), -1))
+            yield from (b.rows() for b in held.values())
+
+        found = met.mapInArrow(meet, schema)
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "position"))
+    return found.withColumn("rank", number).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def latest(chunks: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per key: of several the last one in order."""
+    names = [c for c in chunks.columns if c != key]
+    return chunks.groupBy(key).agg(F.max_by(F.struct(*names), F.struct(*order)).alias("row")).select(key, "row.*")
+
+
+def resolve(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id", order: tuple[str, ...] = ()) -> DataFrame:
+    """Hits with their chunks, in their order; hits without one are dropped. order: columns by which the last of chunks with one key counts."""
+    return hits.join(latest(chunks, key, *order) if order else chunks, key)
+
+
+def resolve_ids(chunks: DataFrame, ids: list, key: str = "chunk_id", order: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of a list of ids with `request`, their place in it: unknown ids are left out, repeated ones repeat. An empty list is an error."""
+    if not ids:
+        raise ValueError("no ids to resolve")
+    asked = chunks.sparkSession.createDataFrame(list(enumerate(ids)), f"request int, {key} {chunks.schema[key].dataType.simpleString()}")
+    return resolve(broadcast_if_small(asked, key), chunks, key, order)
 
 
 def missing(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return hits.join(chunks, key, "left_anti")
 
 
+def pass_through(candidates: DataFrame, k: int) -> DataFrame:
+    """The first k candidates of each query, in their order."""
+    return candidates.filter(F.col("rank") < check_top_k(k)).withColumn("new_rank", F.col("rank"))
+
+
+def pool_size(k: int, candidates: int | None = None, reranked: bool = True) -> int:
+    """How many hits to fetch for k results: k, or with a reranker what is asked for, at least three a result and ten in all by default."""
+    return check_top_k(k) if not reranked else check_top_k(candidates) if candidates is not None else max(3 * check_top_k(k), 10)
+
+
+Reranker = Callable[[DataFrame, int], DataFrame]
+
+
+@dataclass(frozen=True)
+class Retrieved:
+    """rows: query_id, query, allowed, verdict, evidence (array of rank, chunk_id, document_id, score, text), missing (array of ids); latencies: milliseconds of each stage for the whole batch."""
+
+    rows: DataFrame
+    latencies: dict[str, float]
+
+
+@dataclass
+class Retriever:
+    """Guardrail, embedding, search, resolution, reranking over a batch of queries.
+
+    store (position, chunk_id, embedding), chunks (chunk_id, document_id, chunk_text), embed: from rows (query_id, query) to
+    (query_id, embedding), not needed where queries bring theirs. Rejected queries reach none of the later stages
+    and come back without evidence.
+    """
+
+    store: DataFrame
+    chunks: DataFrame
+    embed: Callable[[DataFrame], DataFrame] | None = None
+    reranker: Reranker | None = None
+    k: int = 5
+
+    def retrieve(self, asked: DataFrame, k: int | None = None, candidates: int | None = None, timed: bool = False) -> Retrieved:
+        """timed: each stage is run and stored by itself, and its time told; else all is one plan."""
+        k = check_top_k(self.k if k is None else k)
+        size, latencies = pool_size(k, candidates, self.reranker is not None), {}
+
+        def stage(name: str, df: DataFrame) -> DataFrame:
+            if not timed:
+                return df
+            start = time.perf_counter()
+            df = stored(df, f"retrieve-{name}")
+            latencies[f"{name}_ms"] = (time.perf_counter() - start) * 1000
+            return df
+
+        judged = stage("guardrail", asked.withColumn("verdict", guard.verdict(F.col("query"))))
+        passed = judged.filter("verdict = 'pass'").drop("verdict")
+        if self.embed is not None:
+            passed = passed.select("query_id", "query").join(self.embed(passed.select("query_id", "query")).select("query_id", "embedding"), "query_id")
+        passed = stage("embedding", passed.select("query_id", "query", "embedding"))
+        hits = batched_top_k(self.store, passed, size).join(self.store.select("position", "chunk_id"), "position")
+        hits = stage("search", hits)
+        met = hits.join(self.chunks.select("chunk_id", "document_id", F.col("chunk_text").alias("text"), F.lit(True).alias("there")), "chunk_id", "left")
+        met = stage("resolution", met)
+        absent = met.filter("there IS NULL").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("absent"))
+        found = met.filter("there").drop("there").join(passed.select("query_id", "query"), "query_id")
+        best = stage("rerank", (self.reranker or _first)(found, k))
+        one = F.struct(F.col("new_rank").alias("rank"), "chunk_id", "document_id", F.col("score").alias("score"), "text")
+        evidence = best.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("evidence"))  # k a query
+        rows = judged.select("query_id", "query", "verdict").join(evidence, "query_id", "left").join(absent, "query_id", "left")
+        none = F.array().cast("array<string>")
+        rows = rows.select("query_id", "query", (F.col("verdict") == "pass").alias("allowed"), "verdict", "evidence", F.coalesce(F.transform("absent", lambda x: x["chunk_id"]), none).alias("missing"))
+        return Retrieved(rows, latencies)
+
+
+def _first(candidates: DataFrame, k: int) -> DataFrame:
+    """The first k resolved candidates of each query."""
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return candidates.withColumn("new_rank", number).filter(F.col("new_rank") <= k).withColumn("new_rank", F.col("new_rank") - 1)
+
+
 def rerank(candidates: DataFrame, k: int, semantic_weight: float = 0.6, lexical_weight: float = 0.4, rrf_k: int = 60) -> DataFrame:
     """Candidates (query_id, query, rank, score, text) by hybrid score, k a query; new_rank from 0."""
     tokens = candidates.withColumn("q_tokens", lexical_tokens(F.col("query"))).withColumn("t_tokens", lexical_tokens(F.col("text")))
     scored = tokens.withColumn("lexical", lexical_score(F.col("q_tokens"), F.col("t_tokens"))).drop("q_tokens", "t_tokens")
     scored = scored.withColumn("hybrid", hybrid_score(F.col("score"), F.col("lexical"), F.col("rank"), semantic_weight, lexical_weight, rrf_k))
     order = Window.partitionBy("query_id").orderBy(F.desc("hybrid"), "rank")
-    return scored.withColumn("new_rank", F.row_number().over(order) - 1).filter(F.col("new_rank") < check_top_k(k))
+    return scored.withColumn("new_rank", F.row_number().over(order)).filter(F.col("new_rank") <= check_top_k(k)).withColumn("new_rank", F.col("new_rank") - 1)
+
+
+def system_prompt(custom: str | None = None) -> str:
+    """A caller's own system prompt, or the usual one where it is blank."""
+    return custom if custom and custom.strip() else SYSTEM_PROMPT
 
 
 def rag_prompt(query: Column, evidence: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics
+from ..cluster import scratch
+from ..operators import analytics, serving
 from ..sources.tables import table
+from ..sources.vector_store import VectorStore
 from ..streaming import live
 from . import views
 from .registry import PASSAGES, query
@@ -34,7 +36,7 @@ def latency_sla(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type AS stage, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.7), 6) AS p70, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS p100, quantile_cont(value, 0.5) <= 200 AS within_budget FROM events GROUP BY event_type")
 def bench_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    found = analytics.percentiles(views.samples(spark, d), [0.5, 0.7, 0.9, 0.95, 1.0], ["p50", "p70", "p90", "p95", "p100"])
+    found = analytics.all_percentiles(views.samples(spark, d), [0.5, 0.7, 0.9, 0.95, 1.0], ["p50", "p70", "p90", "p95", "p100"])
     return found.withColumn("within_budget", F.col("p50") <= analytics.BUDGET_MS)
 
 
@@ -85,7 +87,7 @@ def stream_latency(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT key, in_a_row, state FROM (SELECT key, in_a_row::BIGINT AS in_a_row, CASE WHEN in_a_row >= 3 THEN 'open' ELSE 'closed' END AS state, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS z FROM (SELECT key, seq, sum((NOT ok)::INT) OVER (PARTITION BY key, g ORDER BY seq) AS in_a_row FROM (SELECT event_type AS key, event_id AS seq, value < 300 AS ok, sum((value < 300)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM events))) WHERE z = 1")
 def stream_breaker(spark: SparkSession, d: str) -> DataFrame:
     rows = _stream(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), (F.col("value") < 300).alias("ok"))
-    out = live.drain(spark, live.breaker(rows), "stream-breaker", "update")
+    out = live.drain(spark, live.breaker(rows, recovery=None), "stream-breaker", "update")
     return out.groupBy("key").agg(F.max_by(F.struct("in_a_row", "state"), "batch").alias("x")).select("key", "x.in_a_row", "x.state")
 
 
@@ -97,3 +99,33 @@ def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s")
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
     return live.sessions(table(spark, d, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query(f"WITH {LATEST}, q AS (SELECT stage, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.7), 6) AS p70, round(quantile_cont(ms, 1.0), 6) AS p100 FROM s GROUP BY stage), a AS (SELECT event_type AS stage, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type) SELECT * FROM a JOIN q USING (stage)")
+def latency_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every stage with its eight statistics in one answer."""
+    return serving.latency_report(views.samples(spark, d), "ts", "event_id")
+
+
+@query("WITH s AS (SELECT event_type AS stage, value AS ms FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 500) SELECT stage, count(*) AS n, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.7), 6) AS p70, round(max(ms), 6) AS p100 FROM s GROUP BY stage")
+def stream_recent(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each stage's last 500 samples, kept as state."""
+    rows = _stream(spark, d, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), F.col("value").alias("ms"))
+    out = live.drain(spark, live.recent_percentiles(rows), "stream-recent", "update")
+    last = out.groupBy("stage").agg(F.max_by(F.struct("n", "p50", "p70", "p100"), "batch").alias("x"))
+    return last.select("stage", "x.n", *[F.round(f"x.{c}", 6).alias(c) for c in ("p50", "p70", "p100")])
+
+
+@query("SELECT 2 * count(*) AS vectors, 2 * count(*) - 1 AS last, count(*) AS chunks FROM embeddings")
+def stream_index_append(spark: SparkSession, d: str) -> DataFrame:
+    """A store that a stream of vectors is appended to, with their chunks."""
+    made = VectorStore(spark, scratch(spark, "streamed"))
+    made.save(views.store(spark, d).drop("position", "label"), "chunk_id", dimension=64)
+    rows = _stream(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("text").alias("chunk_text"))
+    live.append_to_index(rows, made, "chunk_id", chunks=["chunk_id", "chunk_text"])
+    return made.load(64).agg(F.count(F.lit(1)).alias("vectors"), F.max("position").alias("last")).withColumn("chunks", F.lit(made.chunks().count()).cast("long"))
+
+
+@query("SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE FOR i IN [0, 1, 2, 3]]) AS start, event_type, value FROM events) GROUP BY 1, 2")
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    return live.sliding(table(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import audio, ids
-from ..functions.text import is_blank
+from ..functions.text import byte_size, is_blank, shortened
 from ..functions.vectors import is_valid
 from ..operators import dedup, ingest, profiling, validate
-from ..sources import tables
+from ..sources import datasets, tables
 from ..sources.tables import table
 from ..sources.vector_store import VectorStore, integrity
 from . import views
@@ -277,13 +277,15 @@ def split_health(spark: SparkSession, d: str) -> DataFrame:
     return profiling.split_health(table(spark, d, "documents"), "source", "text", "doc_id")
 
 
-@query("SELECT unnest(['text', 'source']) AS field, unnest([min(length(text)), min(length(source))]) AS least, unnest([max(length(text)), max(length(source))]) AS most, unnest([round(avg(length(text)), 4), round(avg(length(source)), 4)]) AS mean FROM documents")
+@query("SELECT unnest(['text', 'source', 'n_chars']) AS field, unnest([count(*) FILTER (text IS NULL OR text = ''), count(*) FILTER (source IS NULL OR source = ''), count(*) FILTER (n_chars IS NULL)]) AS missing, unnest([min(length(text)), min(length(source)), NULL]) AS least, unnest([max(length(text)), max(length(source)), NULL]) AS most, unnest([round(avg(length(text)), 4), round(avg(length(source)), 4), NULL]) AS mean FROM documents")
 def sample_profile(spark: SparkSession, d: str) -> DataFrame:
-    fields = ["text", "source"]
-    made = [f(F.length(c)).alias(f"{c}_{f.__name__}") for c in fields for f in (F.min, F.max, F.avg)]
-    row = table(spark, d, "documents").agg(*made)
-    pairs = [F.struct(F.lit(c).alias("field"), F.col(f"{c}_min").cast("long").alias("least"), F.col(f"{c}_max").cast("long").alias("most"), F.round(F.col(f"{c}_avg"), 4).alias("mean")) for c in fields]
-    return row.select(F.inline(F.array(*pairs)))
+    return profiling.sample_profile(table(spark, d, "documents"), "text", "source", "n_chars")
+
+
+@query("SELECT * FROM (VALUES ('query_id', 'string', 0), ('query', 'string', 0), ('Eng_Query', 'string', 0), ('source_lang', 'string', 0), ('target_lang', 'string', 0), ('passages', 'struct<Translated_passages:array<string>,English_passages:array<string>,is_selected:array<string>>', 0), ('passages.Translated_passages', 'array<string>', 1), ('passages.English_passages', 'array<string>', 1), ('passages.is_selected', 'array<string>', 1)) AS t(path, type, depth)")
+def schema_description(spark: SparkSession, d: str) -> DataFrame:
+    found = profiling.describe(views.records(spark, d).schema)
+    return spark.createDataFrame([(p, t, n) for p, t, _, n in found], "path string, type string, depth int")
 
 
 @query()
@@ -304,3 +306,82 @@ def limit_passages(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY user_id, event_id) - 1 AS position, event_id FROM events")
 def vector_positions(spark: SparkSession, d: str) -> DataFrame:
     return tables.with_positions(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id").select("position", "event_id")
+
+
+@query("SELECT (SELECT count(*) FROM lineitem) AS rows, 11 AS columns, true AS grouped")
+def file_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and columns of a table from the footers of its files."""
+    path = tables.scratch(spark, "files")
+    table(spark, d, "lineitem").repartition(3).write.parquet(path)
+    found = datasets.file_metadata(spark, path)
+    return found.agg(F.sum("rows").alias("rows"), F.max(F.size("columns")).alias("columns"), (F.sum("row_groups") >= F.count(F.lit(1))).alias("grouped"))
+
+
+@query("SELECT item_id AS id, 'en' AS lang, 'benchmark' AS category, text AS query FROM benchmark")
+def query_set(spark: SparkSession, d: str) -> DataFrame:
+    """A query set written as one JSON array and read again."""
+    path = tables.scratch(spark, "query-set")
+    one = F.struct(F.col("item_id").alias("id"), F.lit("en").alias("lang"), F.lit("benchmark").alias("category"), F.col("text").alias("query"))
+    table(spark, d, "benchmark").agg(F.to_json(F.collect_list(one)).alias("value")).write.text(path)
+    return datasets.read_queries(spark, path)
+
+
+@query("SELECT doc_id, text, true AS placed FROM documents")
+def jsonl_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """JSON lines with the byte each begins at."""
+    path = tables.scratch(spark, "lines")
+    tables.write_jsonl(table(spark, d, "documents").select("doc_id", "text"), path)
+    return datasets.jsonl_chunks(spark, path, "doc_id bigint, text string").select("doc_id", "text", (F.col("offset") >= 0).alias("placed"))
+
+
+@query("SELECT 'train' AS split, 'hi' AS language, count(*) FILTER (page_id % 2 = 0) AS n FROM pages UNION ALL SELECT 'validation', 'hi', count(*) FILTER (page_id % 2 = 1) FROM pages")
+def dataset_splits(spark: SparkSession, d: str) -> DataFrame:
+    """A dataset folder's splits, found by the names of its files."""
+    root, rows = tables.scratch(spark, "splits"), table(spark, d, "pages").select("page_id")
+    rows.filter("page_id % 2 = 0").write.parquet(f"{root}/train/hi-train.parquet")
+    rows.filter("page_id % 2 = 1").write.parquet(f"{root}/validation/hi-val.parquet")
+    counted = None
+    for split in datasets.list_splits(spark, root):
+        one = datasets.load_split(spark, root, split).agg(F.count(F.lit(1)).alias("n")).select(F.lit(split).alias("split"), F.lit("hi").alias("language"), "n")
+        counted = one if counted is None else counted.unionAll(one)
+    return counted
+
+
+@query("SELECT (p // 500)::BIGINT AS batch, count(*) AS n, min(doc_id) AS least, max(doc_id) AS most FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) GROUP BY 1")
+def parquet_batches(spark: SparkSession, d: str) -> DataFrame:
+    """All rows in batches of exactly 500, the last one shorter."""
+    whole = None
+    for i, one in enumerate(datasets.batches(table(spark, d, "documents").select("doc_id"), "doc_id", size=500)):
+        facts = one.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumn("batch", F.lit(i).cast("long"))
+        whole = facts if whole is None else whole.unionAll(facts)
+    return whole
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 200) || '...' END AS shown, CASE WHEN strlen(text) * 40 < 1024 THEN printf('%.1f B', strlen(text) * 40.0) WHEN strlen(text) * 40 < 1048576 THEN printf('%.1f KB', strlen(text) * 40.0 / 1024) ELSE printf('%.1f MB', strlen(text) * 40.0 / 1048576) END AS size FROM documents")
+def display_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", shortened(F.col("text")).alias("shown"), byte_size(F.octet_length("text") * 40).alias("size"))
+
+
+@query("SELECT unnest(['saved', 'appended', 'rolled back']) AS state, unnest([n, 2 * n, n]) AS vectors, unnest([n - 1, 2 * n - 1, n - 1]) AS last, 64::BIGINT AS dimension FROM (SELECT count(*) AS n FROM embeddings)")
+def store_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """A store's manifest and rows after saving, appending and going back."""
+    made, whole = VectorStore(spark, tables.scratch(spark, "lifecycle")), None
+    vectors = views.store(spark, d).drop("position")
+    for state, step in (("saved", lambda: made.save(vectors, "chunk_id", dimension=64)), ("appended", lambda: made.append(vectors, "chunk_id")), ("rolled back", made.rollback)):
+        step()
+        facts = made.validate(64)
+        one = made.vectors().agg(F.lit(state).alias("state"), F.lit(facts["count"]).cast("long").alias("vectors"), F.max("position").alias("last"), F.lit(facts["dimension"]).cast("long").alias("dimension"))
+        whole = one if whole is None else whole.unionAll(one)
+    return whole
+
+
+@query(f"""WITH {PASSAGES}, k AS (SELECT {FP} AS fp, * FROM p), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY fp ORDER BY ord % 3, ord) = 1),
+r AS (SELECT k.fp, k.ord, k.is_selected, f.is_selected AS f0, min(CASE WHEN k.is_selected AND k.ord <> f.ord THEN (k.ord % 3) * 1000000000 + k.ord END) OVER (PARTITION BY k.fp) AS s, (k.ord % 3) * 1000000000 + k.ord AS place, k.ord <> f.ord AS twice FROM k JOIN f USING (fp))
+SELECT f.ord, f.is_selected, (SELECT count(*) FROM r WHERE twice) AS content_duplicates, (SELECT count(*) FROM r WHERE twice AND CASE WHEN f0 OR place > s THEN NOT is_selected ELSE is_selected END) AS conflicts FROM f""")
+def dedup_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches one after the other: what each keeps, and the counters at the end."""
+    run, rows, kept = dedup.IncrementalDedup(), views.passages(spark, d), None
+    for i in range(3):
+        one = run.process(rows.filter(F.col("ord") % 3 == i)).select("ord", "is_selected")
+        kept = one if kept is None else kept.unionAll(one)
+    return kept.select("*", *[F.lit(run.statistics[c]).cast("long").alias(c) for c in ("content_duplicates", "conflicts")])

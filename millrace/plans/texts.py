@@ -129,7 +129,7 @@ def chunk_token(spark: SparkSession, d: str) -> DataFrame:
 
 RULED = f"""{TEXTS}, r AS (SELECT *, CASE WHEN length(text) <= 500 THEN 'passage' WHEN len([s FOR s IN string_split_regex(text, '[.?!।]+') IF length(trim(s)) > 500]) > 0 THEN 'token'
  WHEN length(text) <= 2000 AND greatest(1, length(regexp_replace(text, '[^.?!।]', '', 'g'))) >= 2 THEN 'sentence' WHEN length(text) <= 2000 THEN 'passage' ELSE 'token' END AS rule FROM x),
-rp AS (SELECT * FROM r WHERE rule = 'passage'), rs AS (SELECT * FROM r WHERE rule = 'sentence'), rt AS (SELECT * FROM r WHERE rule = 'token'),
+rp AS (SELECT * FROM r WHERE rule = 'passage' AND trim(text) <> ''), rs AS (SELECT * FROM r WHERE rule = 'sentence'), rt AS (SELECT * FROM r WHERE rule = 'token'),
 c AS ({CUT["passage"].format(x="rp")} UNION ALL {CUT["sentence"].format(x="rs")} UNION ALL {CUT["token"].format(x="rt")})"""
 
 
@@ -163,10 +163,37 @@ def chunk_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_quality({k: v.format(x="x") for k, v in CUT.items()} | {"adaptive": "SELECT * FROM c"}))
 def chunk_strategy_compare(spark: SparkSession, d: str) -> DataFrame:
-    rows, engine = views.texts(spark, d), chunking.ChunkingEngine()
-    parts = [engine.chunk(rows, s) for s in ("passage", "sentence", "token", "adaptive")]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    return chunking.quality(whole, rows, _selected(spark, d))
+    rows = views.texts(spark, d)
+    return chunking.quality(chunking.chunk_all(rows), rows, _selected(spark, d))
+
+
+@query(f"WITH {TEXTS}, c AS ({CUT['sentence'].format(x='x')}) SELECT 'sentence' AS strategy, count(*) AS chunks, true AS ok FROM c UNION ALL SELECT 'broken', 0, false")
+def chunk_compare(spark: SparkSession, d: str) -> DataFrame:
+    """A comparison goes on where a strategy fails, which is told as a row of zeros."""
+
+    def broken(rows: DataFrame) -> DataFrame:
+        return chunking.passage_chunks(rows).withColumn("chunk_text", F.raise_error(F.lit("no")).cast("string"))
+
+    engine = chunking.ChunkingEngine()
+    engine.register("broken", broken)
+    found = chunking.compare(views.texts(spark, d), _selected(spark, d), engine, ["sentence", "broken"])
+    return found.select("strategy", F.col("chunks").cast("long").alias("chunks"), F.col("error").isNull().alias("ok"))
+
+
+@query()
+def chunk_tokenizer(spark: SparkSession, d: str) -> DataFrame:
+    """Token chunks by a tokenizer of its own instead of white space."""
+    return _shown(chunking.token_chunks(views.texts(spark, d), 64, 16, Characters()))
+
+
+class Characters:
+    """A tokenizer whose tokens are code points."""
+
+    def encode(self, text: str) -> list[int]:
+        return list(map(ord, text))
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(map(chr, ids))
 
 
 #: Literal queries that break each rule, beside the users' own.

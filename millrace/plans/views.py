@@ -55,10 +55,10 @@ def store(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 100 as a query, with the first words of its document as text."""
-    text = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("query"))
+    """Every vector whose id is divisible by 100 as a query, with the benchmark's items as texts, one after the other."""
+    text = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
     vectors = table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.join(text, F.col("query_id") == F.col("doc_id"), "left").select("query_id", "embedding", F.coalesce("query", F.lit("")).alias("query"))
+    return vectors.join(text, F.expr("query_id div 100") == F.col("item_id"), "left").select("query_id", "embedding", F.coalesce("query", F.lit("")).alias("query"))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

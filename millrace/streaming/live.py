@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..cluster import scratch, ship
+from ..cluster import scratch, ship, stored
 from ..operators.dedup import fingerprint_of
+from ..sources.vector_store import VectorStore
 
 
 def dedup(passages: DataFrame) -> DataFrame:
@@ -23,19 +25,80 @@ def latency(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stage").agg(F.count("ms").alias("n"), F.sum("ms").alias("total"), F.min("ms").alias("least"), F.max("ms").alias("most"))
 
 
-def breaker(outcomes: DataFrame, failures: int = 3) -> DataFrame:
-    """State per key of (key, seq, ok) after each micro-batch."""
-    ship(outcomes.sparkSession)
+def breaker_step(failures: int, recovery: float | None) -> Callable:
+    """What a breaker does with a key's outcomes of a batch, or when its time is over: the state after that."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
+        count, opened = state.get if state.exists else (0, False)
+        if state.hasTimedOut:  # open for `recovery` seconds without an outcome
+            state.update((count, opened))
+            yield pd.DataFrame({"key": [key[0]], "in_a_row": [count], "state": ["half_open"]})
+            return
         rows = pd.concat(list(frames)).sort_values("seq")
         for ok in rows["ok"]:
             count = 0 if ok else count + 1
-        state.update((int(count),))
-        yield pd.DataFrame({"key": [key[0]], "in_a_row": [int(count)], "state": ["open" if count >= failures else "closed"]})
+            opened = not ok and (opened or count >= failures)
+        state.update((int(count), bool(opened)))
+        if opened and recovery is not None:
+            state.setTimeoutDuration(max(1, int(recovery * 1000)))
+        yield pd.DataFrame({"key": [key[0]], "in_a_row": [int(count)], "state": ["open" if opened else "closed"]})
+
+    return step
+
+
+def breaker(outcomes: DataFrame, failures: int = 3, recovery: float | None = 30.0) -> DataFrame:
+    """State per key of (key, seq, ok) after each micro-batch; an open one is half open once `recovery` seconds passed without an outcome.
+
+    The timer keeps a query going, so runs over what is there now (drain) pass None: no recovery.
+    """
+    ship(outcomes.sparkSession)
+    step = breaker_step(failures, recovery)
+    timeout = GroupStateTimeout.NoTimeout if recovery is None else GroupStateTimeout.ProcessingTimeTimeout
+    return outcomes.groupBy("key").applyInPandasWithState(step, "key string, in_a_row long, state string", "count long, opened boolean", "update", timeout)
+
+
+def recent_step(last: int) -> Callable:
+    """Percentiles of a stage's last samples after a batch; the samples are the state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values("seq")
+        held = (held + rows["ms"].tolist())[-last:]
+        state.update((held,))
+        p50, p70, p100 = np.percentile(held, [50, 70, 100])
+        yield pd.DataFrame({"stage": [key[0]], "n": [len(held)], "p50": [p50], "p70": [p70], "p100": [p100]})
+
+    return step
+
+
+def recent_percentiles(samples: DataFrame, last: int = 500) -> DataFrame:
+    """P50, P70 and P100 of the last samples per stage of (stage, seq, ms), after each micro-batch."""
+    ship(samples.sparkSession)
+    kept = samples.filter("ms IS NOT NULL").select("stage", "seq", "ms")
+    return kept.groupBy("stage").applyInPandasWithState(recent_step(last), "stage string, n long, p50 double, p70 double, p100 double", "values array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def append_to_index(vectors: DataFrame, store: VectorStore, *order: str, chunks: list[str] | None = None) -> None:
+    """Append a stream of vectors (chunk_id, embedding, further columns) to a store that is there, a micro-batch at a time; `chunks` names the columns of its chunk table. Runs over what is there now.
+
+    A batch that is run again after a failure is appended once: its number is part of the manifest.
+    """
+    spark = vectors.sparkSession
+
+    def put(df: DataFrame, number: int) -> None:
+        own = stored(df, "batch")
+        if own.isEmpty() or number in store.manifest().get("batches", []):
+            return
+        names = chunks or []
+        store.append(own.drop(*[c for c in names if c != "chunk_id"]), *order, chunks=own.select(*names) if names else None, batch=number)
+
+    query = vectors.writeStream.option("checkpointLocation", scratch(spark, "append-marks")).foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+
 
-    return outcomes.groupBy("key").applyInPandasWithState(step, "key string, in_a_row long, state string", "count long", "update", GroupStateTimeout.NoTimeout)
+def sliding(events: DataFrame, size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums of (ts, event_type, value) per overlapping window and type, with a watermark."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
