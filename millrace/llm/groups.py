@@ -1,4 +1,4 @@
-"""Sorted rows of a task as groups, whatever the Arrow batches they come in."""
+"""Sorted rows of a task as groups, whatever the Arrow batches they come in; names for columns beside those of a caller."""
 
 from __future__ import annotations
 
@@ -33,3 +33,14 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         held.append(rows.slice(cuts[-1]))
     if held:
         yield pa.concat_tables(held)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import broadcast_if_small, ship, stored
 from .graph import is_small, sized_components, with_totals
-from .groups import grouped
+from .groups import grouped, unused
 from .memory import enter
 from .words import mix, shingles, slices, words_of
 
@@ -256,9 +256,10 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     heads = classes.filter((F.col("digest") == F.col("class_digest")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("held"))
     heads = stored(heads, "heads")
     names = docs.columns
-    keyed = docs.withColumn("__digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    marks = heads.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__key"))
-    kept = keyed.join(broadcast_if_small(marks, row_bytes=64), (F.col("__digest") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    own, doc, key = unused(names, "own", "doc", "key")
+    keyed = docs.withColumn(own, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    marks = heads.select(F.col("doc_id").alias(doc), F.col("digest").alias(key))
+    kept = keyed.join(broadcast_if_small(marks, row_bytes=64), (F.col(own) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_semi")
     if heads.filter("held > 1").limit(1).count():  # repeated rows only then cost a shuffle
-        kept = kept.dropDuplicates(["doc_id", "__digest"])
+        kept = kept.dropDuplicates(["doc_id", own])
     return kept.select(*names)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cluster import broadcast_if_small, ship, stored
-from .groups import grouped
+from .groups import grouped, unused
 from .memory import enter
 from .words import slices, windows, words_of
 
@@ -333,21 +333,22 @@ def _aligned(docs: DataFrame, chains: DataFrame, k: int) -> DataFrame:
     return words.mapInArrow(align, "doc_id long, lo long, hi long, src long, src_lo long, src_hi long, matched long")
 
 
-def _owned(docs: DataFrame) -> DataFrame:
-    """docs with `__own`: the doc_id, or null in rows whose text doesn't stand for it."""
+def _owned(docs: DataFrame, own: str) -> DataFrame:
+    """docs with a column of this name: the doc_id, or null in rows whose text doesn't stand for it."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    hashes = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.min(key).alias("__least"), F.max(key).alias("__most"))
-    twice = stored(hashes.filter("__least <> __most").select("__twice", "__least"), "twice")
+    hashes = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(key).alias("least"), F.max(key).alias("most"))
+    at, least = unused([*docs.columns, own], "at", "least")
+    twice = stored(hashes.filter("least <> most").select(F.col("doc_id").alias(at), F.col("least").alias(least)), "twice")
     if not twice.limit(1).count():
-        return docs.withColumn("__own", F.col("doc_id"))
-    met = docs.join(broadcast_if_small(twice), F.col("doc_id") == F.col("__twice"), "left")
-    return met.withColumn("__own", F.when(F.col("__twice").isNull() | (key == F.col("__least")), F.col("doc_id"))).drop("__twice", "__least")
+        return docs.withColumn(own, F.col("doc_id"))
+    met = docs.join(broadcast_if_small(twice), F.col("doc_id") == F.col(at), "left")
+    return met.withColumn(own, F.when(F.col(at).isNull() | (key == F.col(least)), F.col("doc_id"))).drop(at, least)
 
 
 def repeated_passages(docs: DataFrame, k: int = K, w: int = W, least_words: int = LEAST_WORDS) -> DataFrame:
     """Fuzzy passages of documents (doc_id, text) that an earlier document has too."""
     ship(docs.sparkSession)
-    docs = _owned(docs.select("doc_id", "text")).select(F.col("__own").alias("doc_id"), "text")
+    docs = _owned(docs.select("doc_id", "text"), "own").select(F.col("own").alias("doc_id"), "text")
     chains = stored(_chains(_links(docs, k, w), k, w), "chains")
     parts = _aligned(docs, chains, k)
     by_place = Window.partitionBy("doc_id").orderBy("lo", "hi")
@@ -365,9 +366,10 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    spans = passages.groupBy(F.col("doc_id").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
+    own, of, held = unused(names, "own", "of", "spans")
+    spans = passages.groupBy(F.col("doc_id").alias(of)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(held))
     spans = broadcast_if_small(stored(spans, "spans"), row_bytes=96)
-    met = _owned(docs).join(spans, F.col("__own") == F.col("__of"), "left").drop("__own", "__of")
+    met = _owned(docs, own).join(spans, F.col(own) == F.col(of), "left").drop(own, of)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("substrings")
@@ -375,7 +377,7 @@ def without_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             for piece in slices(batch, "text"):
                 words = words_of(piece.column("text"))
                 texts, keep = piece.column("text").to_pylist(), []
-                for t, spans in enumerate(piece.column("__spans").to_pylist()):
+                for t, spans in enumerate(piece.column(held).to_pylist()):
                     if spans:
                         raw, at, first = words.data[words.text_at[t] : words.text_at[t + 1]].tobytes(), words.text_at[t], words.first[t]
                         left, last, count = [], 0, words.first[t + 1] - first

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import broadcast_if_small, ship, stored
-from .groups import grouped
+from .groups import grouped, unused
 from .memory import enter
 from .words import Words, mix, slices, windows, words_of
 
@@ -257,5 +257,6 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = N, coverage: float = COVER
 def without_leaks(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """The rows of docs whose text has no benchmark passage, with all their columns."""
     key = F.xxhash64(F.coalesce("text", F.lit("")))
-    bad = stored(leaks(docs.select(key.alias("doc_id"), "text"), items, n).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.withColumn("__key", key).join(broadcast_if_small(bad, row_bytes=32), F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+    mark, leak = unused(docs.columns, "mark", "leak")
+    bad = stored(leaks(docs.select(key.alias("doc_id"), "text"), items, n).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.withColumn(mark, key).join(broadcast_if_small(bad, row_bytes=32), F.col(mark) == F.col(leak), "left_anti").drop(mark)

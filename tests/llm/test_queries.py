@@ -53,3 +53,36 @@ def test_pipeline_keeps_clean_rows_and_catches_planted_ones(spark, tmp_path):
     assert set(seen["decontamination"]) == clean | {303, 304, 306}
     packed = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(seen["decontamination"])
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, own long, of string, spans int, at long, least string, mark int, leak string, doc int, key string, digest string, row int, host string, bands int"
+
+
+@pytest.mark.parametrize("case", ["no documents", "no labels", "no benchmark", "clashing names", "only nulls"])
+def test_pipeline_of_odd_tables(spark, tmp_path, case):
+    import corpus_pipeline as P
+
+    base = [(i, f"some words of text number {i} " + " ".join(f"w{i}x{j}" for j in range(70)), "en", "s", 7) for i in range(12)] + [(3, None, None, None, None), (None, "no id here", None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    if case == "clashing names":
+        base, schema = [(*r, 1, "x", 2, 3, "y", 4, "z", 5, "k", "d", 6, "h", 8) for r in base], CLASHING
+    if case == "only nulls":
+        base = [(None,) * 5] * 3
+    save = lambda data, kind, name: spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([] if case == "no documents" else base, schema, "documents")
+    save([] if case == "no labels" else [(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int", "labels")
+    save([] if case == "no benchmark" else [(0, "a question that nobody asks of any text here at all")], "item_id long, text string", "benchmark")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = P.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == names
+    packed = P.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in docs.collect()}
+    assert {r.doc_id for r in packed} == kept
+    if case == "no documents":
+        assert not packed
+    elif case == "only nulls":
+        assert kept == {None}
+    else:
+        assert kept >= set(range(12)) or case != "no labels"
