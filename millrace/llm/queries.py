@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, html_text, ngram_join, packing, planes, quality, sharding, substrings, templates, toxicity, urls
+from . import conversations, html_text, near_vectors, ngram_join, packing, planes, quality, sharding, substrings, templates, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.structure_report(conversations.damage(_table(spark, sf_dir, "conversations")))
 
@@ -79,10 +83,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_url_filters": urls.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op12_embedding_near_dedup": near_vectors.ORACLE,
 }
