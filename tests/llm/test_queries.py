@@ -11,13 +11,13 @@ FOLDER = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-@pytest.mark.parametrize("name", ["op4_url_filters", "op10_quality_rules", "op12_embedding_near_dedup"])
+@pytest.mark.parametrize("name", ["op4_url_filters", "op10_quality_rules", "op11_hard_negatives", "op12_embedding_near_dedup"])
 def test_query_matches_its_sql(spark, name):
     assert of_spark(entry.queries()[name](spark, FOLDER)) == of_sql(connect(FOLDER), entry.oracle_sql()[name])
 
 
 def test_all_are_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in entry.queries()) == 1
     assert "pipeline" in entry.queries()
 
