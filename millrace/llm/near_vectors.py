@@ -34,7 +34,7 @@ from .vectors import by_length, one_per_id, rows_of
 COSINE = 0.93
 #: The sample that centroids are fitted on, rows and bytes at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 8192, 16 << 20
-#: Rows that a cell should have; cells at most; rows of a block.
+#: Rows of the largest label that a cell should have; cells at most; rows of a block.
 CELL_ROWS, MOST_CELLS, BLOCK_ROWS = 2048, 1024, 1024
 ROUNDS = 8
 #: Angles are widened by this much, so that rounding loses nothing.
@@ -100,12 +100,13 @@ def spanned(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 
 def _cells(vectors: DataFrame, cell_rows: int) -> dict[int, np.ndarray]:
     """Centroids by length of the vectors."""
-    seen = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("size")).first()
+    by_label = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("size"))
+    seen = by_label.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max("size").alias("size")).first()
     if not seen["n"]:
         return {}
     most = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * max(1, seen["size"]))))
     sample = vectors.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow()["embedding"]
-    number = max(1, min(MOST_CELLS, seen["n"] // cell_rows))
+    number = max(1, min(MOST_CELLS, seen["most"] // cell_rows))
     half, found = math.acos(COSINE) / 2, {}
     for _, matrix in by_length(sample):
         points = unit(matrix)
