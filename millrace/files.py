@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from urllib.parse import unquote, urlparse
 
 
@@ -31,3 +32,30 @@ def read(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     return store.open_input_file(path)
+
+
+def publish(uri: str, write) -> None:
+    """A new file that appears whole: write(file) to a hidden one beside it, then a rename."""
+    folder, name = uri.rsplit("/", 1)
+    hidden = f"{folder}/_{uuid.uuid4().hex}-{name}"
+    with create(hidden) as out:
+        write(out)
+    if (path := _local(uri)) is not None:
+        os.replace(_local(hidden), path)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.move(fs.FileSystem.from_uri(hidden)[1], path)
+
+
+def listed(uri: str) -> list[str]:
+    """The files of a folder that aren't hidden; none where there is no such folder."""
+    if (path := _local(uri)) is not None:
+        names = sorted(os.listdir(path)) if os.path.isdir(path) else []
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.is_file)
+    return [f"{uri}/{n}" for n in names if n[0] not in "._"]

@@ -60,7 +60,7 @@ def normalize(x: Column, compose: bool = True) -> Column:
     """Null as empty; NFC; tab, line feed and carriage return as blanks; runs of blanks as one; stripped."""
     whole = F.coalesce(x, F.lit(""))
     whole = nfc(whole) if compose else whole
-    return strip(F.regexp_replace(F.translate(whole, "\t\n\r", "   "), " +", " "))
+    return strip(F.regexp_replace(F.translate(whole, "\t\n\r", "   "), "  +", " "))
 
 
 def normalize_optional(x: Column, compose: bool = True) -> Column:
@@ -85,10 +85,8 @@ def lexical_tokens(x: Column) -> Column:
 
 def substantive_tokens(x: Column) -> Column:
     """Distinct words without stop words, of two characters or more; digits of any length."""
-    words = F.regexp_extract_all(F.lower(x), F.lit("[a-zA-Z0-9ऀ-ൿ]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(words, lambda w: (~F.array_contains(stop, w) & (F.length(w) > 1)) | w.rlike(r"^\p{Nd}+$"))
-    return F.array_distinct(kept)
+    words = F.regexp_extract_all(F.lower(x), F.lit("[a-zA-Z0-9ऀ-ൿ]{2,}|[\\p{Nd}&&[0-9ऀ-ൿ]]"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def numbers(x: Column) -> Column:

@@ -1,23 +1,75 @@
-"""Grounding: claims of an answer against its evidence."""
+"""Grounding: claims of an answer against its evidence, as joins of words within an answer."""
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..cluster import ship
+from ..cluster import ship, stored
+from ..functions.similarity import Evidence
 from ..functions.text import claims, normalize, numbers, substantive_tokens
 
 SUPPORT = 0.55
 OVERLAP_WEIGHT = 0.7
+WORD, NUMBER = 0, 1
 
 
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+def _tokens(words: Column, figures: Column) -> Column:
+    as_kind = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"))
+    return F.concat(F.transform(words, as_kind(WORD)), F.transform(figures, as_kind(NUMBER)))
+
+
+def _matches(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(answer_id, claim_no, ev, hits, missing): words that a claim shares with a piece of evidence, and whether it has a number that none has.
+
+    Words and numbers of claims meet those of the answer's evidence, so a claim costs its own words and not its evidence's length.
+    """
+    own = asked.select("answer_id", "claim_no", F.explode(_tokens(F.col("words"), F.col("numbers"))).alias("t")).select("answer_id", "claim_no", "t.*")
+    low = F.col("text")
+    its = held.select("answer_id", "ev", F.explode(_tokens(substantive_tokens(low), numbers(low))).alias("t")).select("answer_id", "ev", "t.*", F.lit(True).alias("there"))
+    met = own.join(its, ["answer_id", "kind", "token"], "left").repartition("answer_id", "claim_no")
+    return met.groupBy("answer_id", "claim_no", "ev").agg(F.count_if((F.col("kind") == WORD) & F.col("there")).alias("hits"), F.max((F.col("kind") == NUMBER) & F.col("there").isNull()).alias("missing"))
+
+
+def _inside(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(answer_id, claim_no, inside) of claims without words: whether a piece of evidence holds the whole claim. Equal claims of an answer are looked for once."""
+    wordless = asked.filter(F.size("words") == 0).groupBy("answer_id", F.lower("claim").alias("low")).agg(F.collect_list("claim_no").alias("numbers"))
+    met = wordless.join(held.select("answer_id", F.lower("text").alias("e_low")), "answer_id")
+    told = met.groupBy("answer_id", "low").agg(F.max(F.contains("e_low", "low")).alias("inside"), F.first("numbers").alias("numbers"))
+    return told.select("answer_id", F.explode("numbers").alias("claim_no"), "inside")
+
+
+def _pair_scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Score of each claim of a row against its evidence, which is indexed once. A claim that can't reach its least known best keeps the part its words give."""
+    for frame in frames:
+        out = []
+        for answer, text, asked in zip(frame["answer_id"], frame["e_low"], frame["asked"], strict=True):
+            index = Evidence(text)
+            for x in asked:
+                words = OVERLAP_WEIGHT * x["overlap"]
+                if words + (1 - OVERLAP_WEIGHT) * index.bound(x["low"]) >= x["least"] - 1e-12:
+                    words += (1 - OVERLAP_WEIGHT) * index.ratio(x["low"])
+                out.append((answer, x["claim_no"], words))
+        yield pd.DataFrame(out, columns=["answer_id", "claim_no", "pair"])
+
+
+def _similar(asked: DataFrame, held: DataFrame, counted: DataFrame) -> DataFrame:
+    """(answer_id, claim_no, best) by words and characters, for claims with words and without a number that no evidence has."""
+    ship(asked.sparkSession)
+    failed = counted.filter("missing").select("answer_id", "claim_no").distinct()
+    judged = asked.filter(F.size("words") > 0).join(failed, ["answer_id", "claim_no"], "left_anti")
+    pairs = judged.join(held.filter(F.size(substantive_tokens(F.col("text"))) > 0).select("answer_id", "ev"), "answer_id")
+    pairs = pairs.join(counted.filter("ev IS NOT NULL").select("answer_id", "claim_no", "ev", "hits"), ["answer_id", "claim_no", "ev"], "left")
+    overlap = F.coalesce("hits", F.lit(0)) / F.size("words")
+    pairs = pairs.withColumn("overlap", overlap).withColumn("least", F.max(OVERLAP_WEIGHT * F.col("overlap")).over(Window.partitionBy("answer_id", "claim_no")))
+    grouped = pairs.groupBy("answer_id", "ev").agg(F.collect_list(F.struct("claim_no", F.lower("claim").alias("low"), "overlap", "least")).alias("asked"))  # the claims of one answer
+    met = grouped.join(held.select("answer_id", "ev", F.lower("text").alias("e_low")), ["answer_id", "ev"])
+    kinds = dict(asked.dtypes)
+    scored = met.select("answer_id", "e_low", "asked").mapInPandas(_pair_scores, f"answer_id {kinds['answer_id']}, claim_no int, pair double")
+    return scored.groupBy("answer_id", "claim_no").agg(F.max("pair").alias("best"))
 
 
 def claim_scores(answers: DataFrame, evidence: DataFrame, sequence: bool = True) -> DataFrame:
@@ -26,27 +78,21 @@ def claim_scores(answers: DataFrame, evidence: DataFrame, sequence: bool = True)
     Words are compared with each piece of evidence, numbers with all of it. sequence=False leaves out
     the character similarity, and the word overlap alone is the score.
     """
-    texts = evidence.select("answer_id", normalize(F.col("text"), False).alias("text")).filter("text <> ''")
     asked = answers.select("answer_id", F.posexplode(claims(F.col("answer"))).alias("claim_no", "claim"))
-    asked = asked.withColumn("words", substantive_tokens(F.col("claim"))).withColumn("numbers", numbers(F.col("claim"))).withColumn("low", F.lower("claim"))
-    held = texts.withColumn("e_words", substantive_tokens(F.col("text"))).withColumn("e_numbers", numbers(F.col("text"))).withColumn("e_low", F.lower("text"))
-    pairs = asked.join(held, "answer_id", "left")
-    overlap = F.when(F.coalesce(F.size("e_words"), F.lit(0)) == 0, 0.0).otherwise(F.size(F.array_intersect("words", "e_words")) / F.greatest(F.size("words"), F.lit(1)))
+    asked = stored(asked.withColumn("words", substantive_tokens(F.col("claim"))).withColumn("numbers", numbers(F.col("claim"))), "claims")
+    held = evidence.select("answer_id", normalize(F.col("text"), False).alias("text")).filter("text <> ''").withColumn("ev", F.monotonically_increasing_id())
+    if sequence:
+        held = stored(held, "evidence")
+    counted = _matches(asked, held)
+    if sequence:
+        counted = stored(counted, "shared-words")
+    totals = counted.groupBy("answer_id", "claim_no").agg(F.max("hits").alias("hits"), F.max("missing").alias("missing"))
+    whole = asked.join(totals, ["answer_id", "claim_no"], "left").join(_inside(asked, held), ["answer_id", "claim_no"], "left")
+    best = F.col("hits") / F.size("words")
     if sequence:
-        ship(answers.sparkSession)
-        similar = F.pandas_udf(_similarity, T.DoubleType())(F.col("low"), F.coalesce("e_low", F.lit("")))
-        pairs = pairs.withColumn("pair", F.when(F.coalesce(F.size("e_words"), F.lit(0)) == 0, 0.0).otherwise(OVERLAP_WEIGHT * overlap + (1 - OVERLAP_WEIGHT) * similar))
-    else:
-        pairs = pairs.withColumn("pair", overlap)
-    best = pairs.groupBy("answer_id", "claim_no", "claim", "low").agg(
-        F.max("pair").alias("best"),
-        F.first("words").alias("words"),
-        F.first("numbers").alias("numbers"),
-        F.array_distinct(F.flatten(F.collect_list("e_numbers"))).alias("e_numbers"),
-        F.max(F.coalesce(F.contains("e_low", "low"), F.lit(False))).alias("inside"),
-    )
-    score = F.when(F.size(F.array_except("numbers", "e_numbers")) > 0, 0.0).when(F.size("words") == 0, F.col("inside").cast("double")).otherwise(F.col("best"))
-    return best.select("answer_id", "claim_no", "claim", score.alias("score"))
+        whole, best = whole.join(_similar(asked, held, counted), ["answer_id", "claim_no"], "left"), F.col("best")
+    score = F.when(F.col("missing"), 0.0).when(F.size("words") == 0, F.coalesce("inside", F.lit(False)).cast("double")).otherwise(F.coalesce(best, F.lit(0.0)))
+    return whole.select("answer_id", "claim_no", "claim", score.alias("score"))
 
 
 def roll_up(scores: DataFrame, threshold: float = SUPPORT) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions import params
+from .ledger import Caller, Ledger
 
 # Words and lengths of the offline generator, audio stubs, transcription.
 ANSWER_WORDS = "goa beach temple tourism fort church market answer grounded retrieval evidence citation गोवा समुद्र मंदिर पर्यटन किला बाजार उत्तर साक्ष्य".split()
@@ -85,12 +87,13 @@ def model_embedder(name: str, load: Callable[[], Callable[[list[str]], tuple[np.
     return embed
 
 
-def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk_id", text: str = "chunk_text", batch_size: int = 32, fail_fast: bool = False, on_error: Callable[[dict], None] | None = None) -> DataFrame:
+def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk_id", text: str = "chunk_text", batch_size: int = 32, fail_fast: bool = False, on_error: Callable[[dict], None] | None = None, ledger: Ledger | None = None) -> DataFrame:
     """(key, embedding, error, batch) in micro-batches of batch_size rows, whatever Arrow batches they come in.
 
     A batch that fails, or gives a wrong number, length or a value that isn't a finite number, is an error:
     raised, or told in every row of the batch. batch: its number, unique in the run. on_error gets
-    {batch, keys, error} on the worker; what it raises is ignored.
+    {batch, keys, error} on the worker; what it raises is ignored. With a ledger each distinct text is
+    embedded once, and `keys` are its requests.
     """
     ship(rows.sparkSession)
     if batch_size <= 0 or dimension <= 0:
@@ -99,25 +102,43 @@ def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk
     def number(x: object) -> bool:
         return isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
 
-    def one(part: pd.DataFrame, batch: int) -> pd.DataFrame:
-        vectors, error = None, None
+    def vectors_of(texts: list, keys: list, batch: int) -> tuple[list, str | None]:
         try:
-            if any(not isinstance(x, str) or not x.strip() for x in part[text]):
+            if any(not isinstance(x, str) or not x.strip() for x in texts):
                 raise ValueError("blank text")
-            vectors = embedder(part[text].tolist())
-            if len(vectors) != len(part):
-                raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+            vectors = embedder(texts)
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
             if any(len(v) != dimension or not all(map(number, v)) for v in vectors):
                 raise ValueError("a vector has a wrong length or a value that isn't a finite number")
+            return vectors, None
         except Exception as e:
             if fail_fast:
                 raise
-            vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"
+            error = f"{type(e).__name__}: {e}"
             if on_error is not None:
                 try:
-                    on_error({"batch": batch, "keys": part[key].tolist(), "error": error})
+                    on_error({"batch": batch, "keys": keys, "error": error})
                 except Exception:  # noqa: S110 - the callback's own failure doesn't count
                     pass
+            return [None] * len(texts), error
+
+    if ledger is not None:
+
+        def make() -> Caller:
+            numbers = itertools.count(TaskContext.get().partitionId() << 33)
+
+            def call(texts: list) -> list[tuple[dict | None, str | None]]:
+                batch = next(numbers)
+                vectors, error = vectors_of(texts, [hashlib.sha256(x.encode()).hexdigest() for x in texts], batch)
+                return [({"embedding": v, "batch": batch}, error) for v in vectors]
+
+            return call
+
+        return ledger.ask(f"embed-{dimension}", rows, key, text, {"embedding": "array<double>", "batch": "long"}, make, batch_size).select(key, "embedding", "error", "batch")
+
+    def one(part: pd.DataFrame, batch: int) -> pd.DataFrame:
+        vectors, error = vectors_of(part[text].tolist(), part[key].tolist(), batch)
         return pd.DataFrame({key: part[key].tolist(), "embedding": vectors, "error": [error] * len(part), "batch": [batch] * len(part)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,10 +160,27 @@ def failures(embedded: DataFrame, key: str = "chunk_id") -> DataFrame:
     return embedded.filter("error IS NOT NULL").groupBy("batch").agg(F.sort_array(F.collect_list(key)).alias("keys"), F.first("error").alias("error"))
 
 
-def _called(rows: DataFrame, key: str, given: str, columns: dict[str, str], make: Callable[[], Callable[[Any], dict]]) -> DataFrame:
-    """(key, columns, error): call one row at a time; make builds the call in the task. What a call raises is told in its row."""
+def _called(rows: DataFrame, key: str, given: str, columns: dict[str, str], make: Callable[[], Callable[[Any], dict]], ledger: Ledger | None = None, stage: str = "calls") -> DataFrame:
+    """(key, columns, error): call one row at a time; make builds the call in the task. What a call raises is told in its row.
+
+    With a ledger each distinct request is called once, now, and kept; without one, whenever the result is read.
+    """
     ship(rows.sparkSession)
     names = list(columns)
+    if ledger is not None:
+
+        def caller() -> Caller:
+            call = make()
+
+            def one(x: Any) -> tuple[dict | None, str | None]:
+                try:
+                    return call(x), None
+                except Exception as e:
+                    return None, f"{type(e).__name__}: {e}"
+
+            return lambda requests: [one(x) for x in requests]
+
+        return ledger.ask(stage, rows, key, given, columns, caller)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make()
@@ -178,7 +216,7 @@ def offline_answer(prompt: str, most_words: int = 256) -> str:
     return " ".join(rng.choice(ANSWER_WORDS) for _ in range(n))
 
 
-def generate(rows: DataFrame, key: str, prompt: str, most_words: int = 256, make: Callable[[], Callable[[str], str]] | None = None, temperature: float = 0.7, top_p: float = 1.0) -> DataFrame:
+def generate(rows: DataFrame, key: str, prompt: str, most_words: int = 256, make: Callable[[], Callable[[str], str]] | None = None, temperature: float = 0.7, top_p: float = 1.0, ledger: Ledger | None = None) -> DataFrame:
     """(key, text, prompt_tokens, completion_tokens, total_tokens, error) of prompts that aren't blank, by the offline generator or by what make gives in each task (an adapter, a Harness)."""
     params.max_tokens(most_words)
     params.temperature(temperature)
@@ -188,7 +226,7 @@ def generate(rows: DataFrame, key: str, prompt: str, most_words: int = 256, make
         call = make() if make else lambda x: offline_answer(x, most_words)
         return lambda x: usage(x, params.text(call(x), 1 << 30, "answer"))
 
-    return _called(rows.filter(f"trim({prompt}) <> ''"), key, prompt, LLM_COLUMNS, start)
+    return _called(rows.filter(f"trim({prompt}) <> ''"), key, prompt, LLM_COLUMNS, start, ledger, f"generate-{most_words}-{temperature}-{top_p}")
 
 
 def with_resilience(call: Callable[[str], str], provider_errors: tuple[type[Exception], ...], fallback: str, retries: int = 2, base: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] | None = None) -> Callable[[str], tuple[str, int, bool]]:
@@ -292,7 +330,7 @@ class HttpProvider:
 
     base_url: str
     model: str
-    key: str | None = None
+    key: str | None = field(default=None, repr=False)
     key_header: str = "Authorization"
     key_format: str = "Bearer {}"
     timeout: float = 60.0
@@ -355,14 +393,14 @@ class HttpProvider:
 STT_COLUMNS = {"text": "string", "language": "string", "duration_seconds": "double", "confidence": "double"}
 
 
-def transcribe(rows: DataFrame, key: str, audio: str, canned: dict[bytes, str] | None = None, language: str = "en", call: Callable[[bytes], dict] | None = None) -> DataFrame:
+def transcribe(rows: DataFrame, key: str, audio: str, canned: dict[bytes, str] | None = None, language: str = "en", call: Callable[[bytes], dict] | None = None, ledger: Ledger | None = None) -> DataFrame:
     """(key, text, language, duration_seconds, confidence, error) of audio that isn't empty, offline or by a call (HttpProvider.transcribe)."""
     known, code = canned or {}, params.language(language)
     offline = lambda x: {"text": known.get(bytes(x), TRANSCRIPTION), "language": code, "duration_seconds": 1.5, "confidence": 0.95}
-    return _called(rows.filter(f"octet_length({audio}) > 0"), key, audio, STT_COLUMNS, lambda: call or offline)
+    return _called(rows.filter(f"octet_length({audio}) > 0"), key, audio, STT_COLUMNS, lambda: call or offline, ledger, f"transcribe-{code}")
 
 
-def synthesize(rows: DataFrame, key: str, text: str, format: str = "mp3", most_chars: int = params.MOST_TEXT, voice: str = "alloy", speed: float = 1.0, call: Callable[[str], bytes] | None = None) -> DataFrame:
+def synthesize(rows: DataFrame, key: str, text: str, format: str = "mp3", most_chars: int = params.MOST_TEXT, voice: str = "alloy", speed: float = 1.0, call: Callable[[str], bytes] | None = None, ledger: Ledger | None = None) -> DataFrame:
     """(key, audio, format, character_count, error), offline or by a call (HttpProvider.speak); blank and too long texts are left out."""
     name = params.output_format(format)
     params.voice(voice)
@@ -370,4 +408,4 @@ def synthesize(rows: DataFrame, key: str, text: str, format: str = "mp3", most_c
     speak = call or (lambda x: AUDIO_STUBS[name])
     made = lambda x: {"audio": speak(x), "format": name, "character_count": len(x.strip())}
     columns = {"audio": "binary", "format": "string", "character_count": "long"}
-    return _called(rows.filter(f"trim({text}) <> '' AND length({text}) <= {most_chars}"), key, text, columns, lambda: made)
+    return _called(rows.filter(f"trim({text}) <> '' AND length({text}) <= {most_chars}"), key, text, columns, lambda: made, ledger, f"speech-{name}-{voice}-{speed}")

@@ -209,7 +209,8 @@ class Retriever:
         judged = stage("guardrail", asked.withColumn("verdict", guard.verdict(F.col("query"))))
         passed = judged.filter("verdict = 'pass'").drop("verdict")
         if self.embed is not None:
-            passed = passed.select("query_id", "query").join(self.embed(passed.select("query_id", "query")).select("query_id", "embedding"), "query_id")
+            made = stored(self.embed(passed.select("query_id", "query")).select("query_id", "embedding"), "query-vectors")  # one call a query
+            passed = passed.select("query_id", "query").join(made, "query_id")
         passed = stage("embedding", passed.select("query_id", "query", "embedding"))
         hits = batched_top_k(self.store, passed, size).join(self.store.select("position", "chunk_id"), "position")
         hits = stage("search", hits)

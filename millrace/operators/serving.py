@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import stored
 from ..functions import audio as sound
 from ..functions import guard
 from . import analytics, grounding, retrieval
 
-#: (key, prompt) to (key, text, ..., error if the call may fail), e.g. providers.generate with its columns named.
+#: (key, prompt) to (key, text, ..., error if the call may fail), e.g. providers.generate with its columns named. With a ledger of its
+#: own (providers.generate(..., ledger=...)) it also survives lost tasks and runs without a second call.
 Generator = Callable[[DataFrame], DataFrame]
 
 # Status codes, what they count as, and the parts of a latency breakdown.
@@ -64,27 +66,29 @@ def _finish(rows: DataFrame) -> DataFrame:
     return rows.withColumn("code", http_code(F.col("status"))).withColumn("outcome", outcome(F.col("status")))
 
 
-def _with_error(made: DataFrame) -> DataFrame:
-    return made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string"))
+def _asked(provider: Generator, rows: DataFrame, stage: str) -> DataFrame:
+    """What a provider gives, with `error`, stored: it is called once, and what is judged is what is returned."""
+    made = provider(rows)
+    return stored(made if "error" in made.columns else made.withColumn("error", F.lit(None).cast("string")), stage)
 
 
 def _answered(passed: DataFrame, store: DataFrame, chunks: DataFrame, generate: Generator, k: int, with_evidence: bool) -> DataFrame:
-    """(query_id, answer, llm_error, verdict, score, citations) of queries that passed the gates; an answer that failed is null."""
+    """(query_id, answer, llm_error, verdict, score, flagged, citations) of queries that passed the gates; an answer that failed is null."""
     hits = retrieval.batched_top_k(store, passed, k).withColumn("chunk_id", F.col("position").cast("string"))
-    found = retrieval.resolve(hits, chunks)
+    found = stored(retrieval.resolve(hits, chunks).select("query_id", "rank", "chunk_id", "document_id", "chunk_text", "score"), "evidence")
     evidence = found.groupBy("query_id").agg(F.collect_list(F.struct("rank", "chunk_id", "document_id", F.col("chunk_text").alias("text"), F.round("score", 4).alias("score"))).alias("evidence"))  # k a query
     asked = passed.join(evidence, "query_id", "left")
     prompt = retrieval.rag_prompt(F.col("query"), F.col("evidence")) if with_evidence else F.trim("query")
-    made = _with_error(generate(asked.select("query_id", prompt.alias("prompt")))).select("query_id", F.col("text").alias("answer"), F.col("error").alias("llm_error"))
+    made = _asked(generate, asked.select("query_id", prompt.alias("prompt")), "answers").select("query_id", F.col("text").alias("answer"), F.col("error").alias("llm_error"))
     answers = made.filter("answer IS NOT NULL").select(F.col("query_id").alias("answer_id"), "answer")
     texts = found.select(F.col("query_id").alias("answer_id"), F.col("chunk_text").alias("text"))
     judged = grounding.roll_up(grounding.claim_scores(answers, texts)).select(F.col("answer_id").alias("query_id"), "verdict", "score", "flagged")
     citations = F.transform(F.sort_array("evidence"), lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["document_id"].alias("document_id"), e["score"].alias("score"), e["text"].alias("text")))
-    return asked.join(made, "query_id").join(judged, "query_id", "left").select("query_id", "answer", "llm_error", "verdict", "score", citations.alias("citations"))
+    return asked.join(made, "query_id").join(judged, "query_id", "left").select("query_id", "answer", "llm_error", "verdict", "score", "flagged", citations.alias("citations"))
 
 
 def chat(asked: DataFrame, store: DataFrame | None, chunks: DataFrame | None, generate: Generator | None, k: int = 5) -> DataFrame:
-    """asked (query_id, query, embedding): query_id, status, code, outcome, answer, verdict, score, citations.
+    """asked (query_id, query, embedding): query_id, status, code, outcome, answer, verdict, score, flagged (its unsupported claims), citations.
 
     Guardrail, then provider, then index; a provider's error is the status LLM_FAILED of its row (`message` has
     it); answers that lack evidence are flagged and still returned.
@@ -119,7 +123,7 @@ def voice(uploads: DataFrame, transcribe: Generator | None, store: DataFrame | N
     base = checked.select("query_id", F.when(F.col("problem").isNotNull(), "INVALID_AUDIO").alias("bad"))
     if transcribe is None:
         return _finish(base.select("query_id", F.coalesce("bad", F.lit("STT_PROVIDER_NOT_CONFIGURED")).alias("status")))
-    heard = _with_error(transcribe(good.select("query_id", "audio"))).select("query_id", F.col("text").alias("query"), F.col("error").alias("stt_error"))
+    heard = _asked(transcribe, good.select("query_id", "audio"), "transcriptions").select("query_id", F.col("text").alias("query"), F.col("error").alias("stt_error"))
     heard = heard.withColumn("gate", guard.verdict(F.col("query")))
     rows = base.join(heard, "query_id", "left")
     ready = "LLM_PROVIDER_NOT_CONFIGURED" if generate is None else "INDEX_NOT_AVAILABLE" if store is None or chunks is None else "OK"
@@ -127,13 +131,14 @@ def voice(uploads: DataFrame, transcribe: Generator | None, store: DataFrame | N
     rows = rows.select("query_id", "query", status.alias("status"), F.when(status == "STT_FAILED", F.col("stt_error")).alias("message"))
     if ready != "OK":
         return _finish(rows)
-    vectors = _with_error(embed(heard.filter("gate = 'pass'").select("query_id", F.col("query").alias("prompt")))).select("query_id", "embedding", F.col("error").alias("embed_error"))
+    vectors = _asked(embed, heard.filter("gate = 'pass'").select("query_id", F.col("query").alias("prompt")), "query-vectors").select("query_id", "embedding", F.col("error").alias("embed_error"))
     passed = heard.filter("gate = 'pass'").select("query_id", "query").join(vectors.filter("embed_error IS NULL").drop("embed_error"), "query_id")
     rows = _failed(rows.join(vectors.select("query_id", "embed_error"), "query_id", "left"), "embed_error", "RETRIEVAL_FAILED")
     whole = _failed(rows.join(_answered(passed, store, chunks, generate, k, False), "query_id", "left"), "llm_error", "LLM_FAILED")
     late = F.when((F.col("status") == "OK") & (F.coalesce("verdict", F.lit("flagged")) != "grounded"), "UNGROUNDED_ANSWER").when((F.col("status") == "OK") & F.lit(synthesize is None), "TTS_PROVIDER_NOT_CONFIGURED").otherwise(F.col("status"))
     whole = whole.withColumn("status", late)
     if synthesize is not None:
-        spoken = _with_error(synthesize(whole.filter("status = 'OK'").select("query_id", F.col("answer").alias("prompt")))).select("query_id", F.base64("audio").alias("speech"), F.col("error").alias("tts_error"))
+        whole = stored(whole, "judged")
+        spoken = _asked(synthesize, whole.filter("status = 'OK'").select("query_id", F.col("answer").alias("prompt")), "speech").select("query_id", F.base64("audio").alias("speech"), F.col("error").alias("tts_error"))
         whole = _failed(whole.join(spoken, "query_id", "left"), "tts_error", "TTS_FAILED")
     return _finish(whole)

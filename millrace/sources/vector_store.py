@@ -74,11 +74,11 @@ class VectorStore:
         base = {"dimension": dimension, "model": model, "count": 0, "vectors": [], "chunks": []}
         return self._publish(base, with_positions(vectors, *order), chunks)
 
-    def append(self, vectors: DataFrame, *order: str, chunks: DataFrame | None = None, batch: int | None = None) -> dict:
-        """Add vectors, and chunks, behind those that are there; ids may repeat. What is there isn't read. batch: a stream's batch number, for the manifest."""
+    def append(self, vectors: DataFrame, *order: str, chunks: DataFrame | None = None, batch: tuple[str, int] | None = None) -> dict:
+        """Add vectors, and chunks, behind those that are there; ids may repeat. What is there isn't read. batch: a stream's id and its batch's number, the last of which the manifest keeps."""
         now = self.manifest()
         if batch is not None:
-            now["batches"] = [*now.get("batches", []), batch]
+            now["streams"] = now.get("streams", {}) | {batch[0]: batch[1]}
         return self._publish(now, with_positions(vectors, *order, start=now["count"]), chunks)
 
     def _publish(self, base: dict, placed: DataFrame, chunks: DataFrame | None) -> dict:
@@ -122,6 +122,10 @@ class VectorStore:
 
     inspect = manifest
 
+    def appended(self, stream: str, batch: int) -> bool:
+        """Whether a stream's batch is part of the current version."""
+        return batch <= self.manifest().get("streams", {}).get(stream, -1)
+
     def vectors(self) -> DataFrame:
         return self.spark.read.parquet(*self.manifest()["vectors"])
 

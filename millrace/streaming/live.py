@@ -78,21 +78,21 @@ def recent_percentiles(samples: DataFrame, last: int = 500) -> DataFrame:
     return kept.groupBy("stage").applyInPandasWithState(recent_step(last), "stage string, n long, p50 double, p70 double, p100 double", "values array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
-def append_to_index(vectors: DataFrame, store: VectorStore, *order: str, chunks: list[str] | None = None) -> None:
+def append_to_index(vectors: DataFrame, store: VectorStore, *order: str, chunks: list[str] | None = None, name: str = "vectors") -> None:
     """Append a stream of vectors (chunk_id, embedding, further columns) to a store that is there, a micro-batch at a time; `chunks` names the columns of its chunk table. Runs over what is there now.
 
-    A batch that is run again after a failure is appended once: its number is part of the manifest.
+    The stream's checkpoint is a folder of the store, by name, so a later call goes on where this one ended. A
+    batch that is run again after a failure is appended once: the manifest has the query's id and the number of its last batch.
     """
-    spark = vectors.sparkSession
 
     def put(df: DataFrame, number: int) -> None:
-        own = stored(df, "batch")
-        if own.isEmpty() or number in store.manifest().get("batches", []):
+        own, batch = stored(df, "batch"), (df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"), number)
+        if own.isEmpty() or store.appended(*batch):
             return
         names = chunks or []
-        store.append(own.drop(*[c for c in names if c != "chunk_id"]), *order, chunks=own.select(*names) if names else None, batch=number)
+        store.append(own.drop(*[c for c in names if c != "chunk_id"]), *order, chunks=own.select(*names) if names else None, batch=batch)
 
-    query = vectors.writeStream.option("checkpointLocation", scratch(spark, "append-marks")).foreachBatch(put).trigger(availableNow=True).start()
+    query = vectors.writeStream.option("checkpointLocation", f"{store.root}/streams/{name}").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
