@@ -18,8 +18,6 @@ from ..functions.vectors import dot, hybrid_score, lexical_score
 
 #: Queries of a block, and vectors scored against it at a time; queries beyond one block go through a table of blocks.
 QUERY_BLOCK, STORE_BLOCK = 4096, 2048
-#: Hits of all blocks that a task holds before it hands them on.
-MOST_HELD = 4_000_000
 # Layout of prompts.
 SYSTEM_PROMPT = "Answer only from the reference passages below. If they don't hold the answer, say so. Reply in the language of the question, briefly and with facts only."
 NO_EVIDENCE = "\n\n(No background evidence available. State that no context was found.)"
@@ -71,24 +69,125 @@ def _arrays(batch: pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(key).to_numpy().astype(np.int64), np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, embedding) as rows of at most `size` ids and vectors in bytes."""
+#: Bytes of vectors in a block, and of the store's and the queries' blocks that meet in a cell of the grid; rows of the grid, and blocks that bounds are taken from, at most.
+BLOCK_BYTES, CELL_STORE, CELL_QUERIES, MOST_ROWS, SEED_BLOCKS = 4 << 20, 64 << 20, 16 << 20, 1024, 8
+
+
+def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(block, ids, vectors, top, size) as rows of at most `most` ids and BLOCK_BYTES of vectors in bytes, the longest vectors of each part first; top: the largest length."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            norms = np.linalg.norm(vectors, axis=1)
+            order = np.argsort(-norms, kind="stable")
+            step = max(1, min(most, BLOCK_BYTES // max(1, 8 * vectors.shape[1])))
+            for i in range(0, len(ids), step):
+                at = order[i : i + step]
+                yield pa.RecordBatch.from_pydict({"ids": [ids[at].tobytes()], "vectors": [vectors[at].tobytes()], "top": [float(norms[at[0]])], "size": [len(at) * vectors.shape[1] * 8]})
+
         for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                ids, vectors = _arrays(batch.slice(i, size), key)
-                yield pa.RecordBatch.from_pydict({f"{key}s": [ids.tobytes()], f"{key}_vectors": [vectors.tobytes()]})
+            if batch.num_rows:
+                held.append(_arrays(batch, key))
+                if sum(v.nbytes for _, v in held) >= 4 * BLOCK_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(pack, "ids binary, vectors binary, top double, size long").withColumn("block", F.monotonically_increasing_id())
+
+
+def _opened(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    places = np.frombuffer(ids, dtype=np.int64)
+    return places, np.frombuffer(vectors).reshape(len(places), -1)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """found: (query_id, position, score), k a query and cell. sent: (row, block) of the store's blocks that were sent to a row of the grid; possible: how many there are of those."""
+
+    found: DataFrame
+    sent: DataFrame
+    possible: int
+
+    def pruned(self) -> int:
+        """Blocks kept from rows whose k-th scores they can't reach."""
+        return self.possible - self.sent.count()
 
-    return rows.mapInArrow(pack, f"{key}s binary, {key}_vectors binary")
+
+def grid_top_k(vectors: DataFrame, asked: DataFrame, k: int) -> Grid:
+    """The k best of a store (position, embedding) for any number of queries (query_id, embedding), as an equi-join over a grid.
+
+    Blocks of queries make the grid's rows, blocks of vectors its columns. A query block goes to every column, a block of vectors to
+    those rows that it can serve: the SEED_BLOCKS with the longest vectors give each query a k-th score that it has at least, and
+    |query| * (largest length in a block) bounds what a block can reach. In a cell the blocks come by falling
+    length, and a query block is done when no further one can reach its k-th scores. A cell holds a bounded number of bytes of both sides.
+    """
+    ship(vectors.sparkSession)
+    store = stored(_blocks(vectors, "position", STORE_BLOCK), "store-blocks")
+    first = store.orderBy(F.desc("top"), "block").limit(SEED_BLOCKS).collect()
+    seed = np.concatenate([_opened(r["ids"], r["vectors"])[1] for r in first]) if first else None
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floor, need = [], []
+            for ids, own in zip(batch.column("ids").to_pylist(), batch.column("vectors").to_pylist(), strict=True):
+                own = _opened(ids, own)[1]
+                norms = np.linalg.norm(own, axis=1)
+                enough = seed is not None and len(seed) >= k
+                least = np.partition(own @ seed.T, -k, axis=1)[:, -k] if enough else np.full(len(own), -np.inf)
+                floor.append(least.tobytes())
+                need.append(float(np.where(norms > 0, least / np.where(norms > 0, norms, 1), -np.inf).min()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor, pa.binary()), pa.array(need, pa.float64())], names=[*batch.schema.names, "floor", "need"])
+
+    packed = _blocks(asked, "query_id", QUERY_BLOCK)
+    queries = stored(packed.mapInArrow(floors, "ids binary, vectors binary, top double, size long, block long, floor binary, need double"), "query-blocks")
+    sizes = [df.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first() for df in (store, queries)]
+    columns = max(1, -(-sizes[0][0] // CELL_STORE))
+    rows = max(1, min(MOST_ROWS, -(-sizes[1][0] // CELL_QUERIES)))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    queries = queries.withColumn("row", dealt(rows))
+    needs = {r["row"]: r["need"] for r in queries.groupBy("row").agg(F.min("need").alias("need")).collect()}
+    slack = 1e-9 * max(1.0, first[0]["top"] if first else 0.0)
+    wanted = F.array(*[F.struct(F.lit(r).alias("row"), F.lit(n - slack - 1e-9 * abs(n)).alias("need")) for r, n in sorted(needs.items())]) if needs else F.array().cast("array<struct<row:int,need:double>>")
+    sent = store.withColumn("column", dealt(columns)).withColumn("to", F.explode(F.filter(wanted, lambda w: F.col("top") >= w["need"])))
+    sent = sent.select(F.col("to.row").alias("row"), "column", "block", "ids", "vectors", "top")
+    met = queries.withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).select("row", "column", "ids", "vectors", "floor")
+
+    def cell(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = [pa.RecordBatch.from_pydict({"query_id": pa.array([], pa.int64()), "position": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        blocks = sorted(theirs.select(["top", "ids", "vectors"]).to_pylist(), key=lambda r: -r["top"])
+        for x in ours.to_pylist():
+            ids, own = _opened(x["ids"], x["vectors"])
+            floor, norms, best = np.frombuffer(x["floor"]), np.linalg.norm(own, axis=1), _Best(ids, own, k)
+            for block in blocks:
+                least = np.maximum(floor, best.score.min(axis=0)) if len(best.score) >= k else floor
+                if not (norms * block["top"] >= least - 1e-9 * (1 + np.abs(least))).any():
+                    break
+                best.add(*_opened(block["ids"], block["vectors"]))
+            if len(best.score):
+                out.append(best.rows())
+        return pa.Table.from_batches(out)
+
+    found = met.groupBy("row", "column").cogroup(sent.groupBy("row", "column")).applyInArrow(cell, "query_id long, position long, score double")
+    return Grid(found, sent.select("row", "block"), sizes[0][1] * len(needs))
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best of (query_id, position, score) per query, ranked from 0."""
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "position"))
+    return found.withColumn("rank", number).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def batched_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, position, score, rank from 0) for queries (query_id, embedding) against a store (position, embedding).
 
     Each task keeps the k best of its own vectors a query, and only those are shuffled and ranked. Up to
-    QUERY_BLOCK queries go out with the task; more are a table of blocks, which meets the store's blocks (by
-    broadcast while its size allows that) and never passes the driver.
+    QUERY_BLOCK queries go out with the task; more are a table of blocks, which meets the store's blocks in a
+    grid (grid_top_k) and never passes the driver.
     """
     check_top_k(k)
     ship(store.sparkSession)
@@ -109,29 +208,8 @@ def batched_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         found = vectors.mapInArrow(score, schema)
     else:
-        asked = stored(asked, "queries")
-        number = asked.count()
-        blocks = stored(_blocks(asked.repartition(-(-number // QUERY_BLOCK)), "query_id", QUERY_BLOCK), "query-blocks")
-        met = _blocks(vectors, "position", STORE_BLOCK).crossJoin(broadcast_if_small(blocks, "query_ids", "query_id_vectors"))  # a stated query set against all rows, in blocks
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[bytes, _Best] = {}
-            for batch in batches:
-                for places, theirs, ids, ours in zip(*(batch.column(i) for i in range(4)), strict=True):
-                    name = ids.as_py()
-                    if name not in held:
-                        if sum(len(b.ids) for b in held.values()) * k > MOST_HELD:
-                            yield from (b.rows() for b in held.values())
-                            held = {}
-                        own = np.frombuffer(name, dtype=np.int64)
-                        held[name] = _Best(own, np.frombuffer(ours.as_py()).reshape(len(own), -1), k)
-                    positions = np.frombuffer(places.as_py(), dtype=np.int64)
-                    held[name].add(positions, np.frombuffer(theirs.as_py()).reshape(len(positions), -1))
-            yield from (b.rows() for b in held.values())
-
-        found = met.mapInArrow(meet, schema)
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "position"))
-    return found.withColumn("rank", number).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+        found = grid_top_k(vectors, stored(asked, "queries"), k).found
+    return best_of(found, k)
 
 
 def latest(chunks: DataFrame, key: str, *order: str) -> DataFrame:

@@ -41,6 +41,14 @@ def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("query_id", "position", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"SELECT a.vec_id AS query_id, b.vec_id AS position, round({DOT}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) - 1 AS rank FROM embeddings a, embeddings b QUALIFY rank < 3")
+def vector_topk_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Three neighbours of every vector, by the grid join of large query sets."""
+    store = views.store(spark, d).select("position", "embedding")
+    found = retrieval.best_of(retrieval.grid_top_k(store, store.withColumnRenamed("position", "query_id"), 3).found, 3)
+    return found.select("query_id", "position", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"WITH {HITS}, {TOP} SELECT query_id, rank, vec_id::VARCHAR AS chunk_id, text AS chunk_text FROM t LEFT JOIN documents ON vec_id = doc_id")
 def resolve_left(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).join(views.chunks(spark, d), "chunk_id", "left").select("query_id", "rank", "chunk_id", "chunk_text")

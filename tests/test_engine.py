@@ -33,7 +33,6 @@ def best(store, queries, k):
 def test_top_k_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
     monkeypatch.setattr(retrieval, "STORE_BLOCK", 7)
-    monkeypatch.setattr(retrieval, "MOST_HELD", 20)
     rng = random.Random(1)
     store = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(120)]  # many ties
     queries = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(10)]
