@@ -91,14 +91,21 @@ def stream_breaker(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("key").agg(F.max_by(F.struct("in_a_row", "state"), "batch").alias("x")).select("key", "x.in_a_row", "x.state")
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    """events as a stream whose times can have a watermark."""
+    return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
-    return live.tumbling(table(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    """As a stream: windows come out once the watermark, ten minutes behind the latest event, has passed them."""
+    return live.drain(spark, live.tumbling(_timed(spark, d)), "tumbling").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s")
+@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def session_windows(spark: SparkSession, d: str) -> DataFrame:
-    return live.sessions(table(spark, d, "events")).select("user_id", F.col("session_window.start").alias("start"), "n")
+    """As a stream: sessions that the watermark has passed."""
+    return live.drain(spark, live.sessions(_timed(spark, d)), "sessions").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query(f"WITH {LATEST}, q AS (SELECT stage, round(quantile_cont(ms, 0.5), 6) AS p50, round(quantile_cont(ms, 0.7), 6) AS p70, round(quantile_cont(ms, 1.0), 6) AS p100 FROM s GROUP BY stage), a AS (SELECT event_type AS stage, count(value) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type) SELECT * FROM a JOIN q USING (stage)")
@@ -126,6 +133,7 @@ def stream_index_append(spark: SparkSession, d: str) -> DataFrame:
     return made.load(64).agg(F.count(F.lit(1)).alias("vectors"), F.max("position").alias("last")).withColumn("chunks", F.lit(made.chunks().count()).cast("long"))
 
 
-@query("SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE FOR i IN [0, 1, 2, 3]]) AS start, event_type, value FROM events) GROUP BY 1, 2")
+@query("SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE FOR i IN [0, 1, 2, 3]]) AS start, event_type, value FROM events) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2")
 def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
-    return live.sliding(table(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    """As a stream, as tumbling_windows."""
+    return live.drain(spark, live.sliding(_timed(spark, d)), "sliding").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

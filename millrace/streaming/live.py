@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..cluster import scratch, ship, stored
 from ..operators.dedup import fingerprint_of
@@ -25,57 +25,143 @@ def latency(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stage").agg(F.count("ms").alias("n"), F.sum("ms").alias("total"), F.min("ms").alias("least"), F.max("ms").alias("most"))
 
 
-def breaker_step(failures: int, recovery: float | None) -> Callable:
-    """What a breaker does with a key's outcomes of a batch, or when its time is over: the state after that."""
+#: State of the processors below lives in RocksDB; Spark's setting and the provider that keeps it on the executors' heap.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, opened = state.get if state.exists else (0, False)
-        if state.hasTimedOut:  # open for `recovery` seconds without an outcome
-            state.update((count, opened))
-            yield pd.DataFrame({"key": [key[0]], "in_a_row": [count], "state": ["half_open"]})
-            return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for ok in rows["ok"]:
-            count = 0 if ok else count + 1
-            opened = not ok and (opened or count >= failures)
-        state.update((int(count), bool(opened)))
-        if opened and recovery is not None:
-            state.setTimeoutDuration(max(1, int(recovery * 1000)))
-        yield pd.DataFrame({"key": [key[0]], "in_a_row": [int(count)], "state": ["open" if opened else "closed"]})
 
-    return step
+def _with_state(rows: DataFrame) -> None:
+    ship(rows.sparkSession)
+    rows.sparkSession.conf.set(*STATE_STORE)
 
 
-def breaker(outcomes: DataFrame, failures: int = 3, recovery: float | None = 30.0) -> DataFrame:
-    """State per key of (key, seq, ok) after each micro-batch; an open one is half open once `recovery` seconds passed without an outcome.
+def _tail(pool: pd.DataFrame | None, more: pd.DataFrame, last: int) -> pd.DataFrame:
+    """The `last` rows of greatest seq of both, in order."""
+    whole = more if pool is None else pd.concat([pool, more], ignore_index=True)
+    return whole.sort_values("seq", kind="stable").tail(last)
 
-    The timer keeps a query going, so runs over what is there now (drain) pass None: no recovery.
-    """
-    ship(outcomes.sparkSession)
-    step = breaker_step(failures, recovery)
-    timeout = GroupStateTimeout.NoTimeout if recovery is None else GroupStateTimeout.ProcessingTimeTimeout
-    return outcomes.groupBy("key").applyInPandasWithState(step, "key string, in_a_row long, state string", "count long, opened boolean", "update", timeout)
 
+def last_of_task(last: int) -> Callable:
+    """Of each stage's samples in a task, the `last` ones: all that its recorder can need."""
 
-def recent_step(last: int) -> Callable:
-    """Percentiles of a stage's last samples after a batch; the samples are the state."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, pd.DataFrame] = {}
+        for frame in frames:
+            for stage, part in frame.groupby("stage", dropna=False, sort=False):
+                held[stage] = _tail(held.get(stage), part, last)
+        yield from held.values()
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values("seq")
-        held = (held + rows["ms"].tolist())[-last:]
-        state.update((held,))
+    return run
+
+
+class Recorder(StatefulProcessor):
+    """A stage's last samples as list state, and their percentiles after each micro-batch."""
+
+    def __init__(self, last: int):
+        self.last = last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.values = handle.getListState("values", "ms double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        pool = None
+        for frame in rows:
+            pool = _tail(pool, frame[["seq", "ms"]], self.last)
+        held = ([v for (v,) in self.values.get()] + pool["ms"].tolist())[-self.last :]
+        self.values.put([(float(v),) for v in held])
         p50, p70, p100 = np.percentile(held, [50, 70, 100])
         yield pd.DataFrame({"stage": [key[0]], "n": [len(held)], "p50": [p50], "p70": [p70], "p100": [p100]})
 
-    return step
+    def close(self) -> None:
+        pass
 
 
 def recent_percentiles(samples: DataFrame, last: int = 500) -> DataFrame:
-    """P50, P70 and P100 of the last samples per stage of (stage, seq, ms), after each micro-batch."""
-    ship(samples.sparkSession)
-    kept = samples.filter("ms IS NOT NULL").select("stage", "seq", "ms")
-    return kept.groupBy("stage").applyInPandasWithState(recent_step(last), "stage string, n long, p50 double, p70 double, p100 double", "values array<double>", "update", GroupStateTimeout.NoTimeout)
+    """P50, P70 and P100 of the last samples per stage of (stage, seq, ms), after each micro-batch.
+
+    Each task hands on a stage's last samples of its part only, so a stage with any share of a micro-batch gives its recorder
+    at most `last` rows a task; the state holds `last` values a stage.
+    """
+    _with_state(samples)
+    kept = samples.filter("ms IS NOT NULL").select("stage", F.col("seq").cast("long").alias("seq"), F.col("ms").cast("double").alias("ms"))
+    parts = kept.mapInPandas(last_of_task(last), "stage string, seq long, ms double")
+    return parts.groupBy("stage").transformWithStateInPandas(Recorder(last), "stage string, n long, p50 double, p70 double, p100 double", "update", "None")
+
+
+class Outcomes:
+    """What outcomes in any order come to: the last success, and the failures behind it."""
+
+    def __init__(self):
+        self.success, self.failed = None, []
+
+    def add(self, seq: np.ndarray, ok: np.ndarray) -> None:
+        if ok.any():
+            self.success = max(seq[ok].max(), self.success if self.success is not None else seq[ok].max())
+        self.failed.append(seq[~ok])
+        if len(self.failed) > 64:
+            self.failed = [self.behind()]
+
+    def behind(self) -> np.ndarray:
+        """Failures after the last success."""
+        seq = np.concatenate(self.failed) if self.failed else np.zeros(0, dtype=np.int64)
+        return seq if self.success is None else seq[seq > self.success]
+
+
+def outcomes_of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each key's outcomes in a task the last success and the failures behind it: all that its breaker can need."""
+    held: dict[str, Outcomes] = {}
+    for frame in frames:
+        for key, part in frame.groupby("key", dropna=False, sort=False):
+            held.setdefault(key, Outcomes()).add(part["seq"].to_numpy(), part["ok"].to_numpy(dtype=bool))
+    for key, found in held.items():
+        behind = found.behind()
+        seq = behind if found.success is None else np.concatenate([[found.success], behind])
+        ok = np.zeros(len(seq), dtype=bool)
+        ok[: int(found.success is not None)] = True
+        yield pd.DataFrame({"key": [key] * len(seq), "seq": seq.astype(np.int64), "ok": ok})
+
+
+class Breaker(StatefulProcessor):
+    """A key's failures in a row and whether it is open; a timer makes an open one half open."""
+
+    def __init__(self, failures: int, recovery: float | None):
+        self.failures, self.recovery = failures, recovery
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", "in_a_row long, opened boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        count, opened = self.state.get() if self.state.exists() else (0, False)
+        found = Outcomes()
+        for frame in rows:
+            found.add(frame["seq"].to_numpy(), frame["ok"].to_numpy(dtype=bool))
+        if found.success is not None:
+            count, opened = 0, False
+        count += len(found.behind())
+        opened = bool(opened or count >= self.failures)
+        self.state.update((int(count), opened))
+        if self.recovery is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if opened:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + max(1, int(self.recovery * 1000)))
+        yield pd.DataFrame({"key": [key[0]], "in_a_row": [int(count)], "state": ["open" if opened else "closed"]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"key": [key[0]], "in_a_row": [int(self.state.get()[0])], "state": ["half_open"]})
+
+    def close(self) -> None:
+        pass
+
+
+def breaker(outcomes: DataFrame, failures: int = 3, recovery: float | None = 30.0) -> DataFrame:
+    """State per key of (key, seq, ok) after each micro-batch; an open one is half open once `recovery` seconds passed without an outcome.
+
+    Each task hands on a key's last success and the failures behind it only; the state is two values a key.
+    The timer keeps a query going, so runs over what is there now (drain) pass None: no recovery.
+    """
+    _with_state(outcomes)
+    parts = outcomes.select("key", F.col("seq").cast("long").alias("seq"), "ok").filter("seq IS NOT NULL AND ok IS NOT NULL").mapInPandas(outcomes_of_task, "key string, seq long, ok boolean")
+    return parts.groupBy("key").transformWithStateInPandas(Breaker(failures, recovery), "key string, in_a_row long, state string", "update", "None" if recovery is None else "ProcessingTime")
 
 
 def append_to_index(vectors: DataFrame, store: VectorStore, *order: str, chunks: list[str] | None = None, name: str = "vectors") -> None:

@@ -4,7 +4,6 @@ import difflib
 import http.server
 import json
 import random
-import statistics
 import threading
 
 import numpy as np
@@ -18,7 +17,6 @@ from millrace.functions.text import byte_size, shortened
 from millrace.operators import analytics, build, chunking, dedup, evaluation, grounding, profiling, providers, retrieval, serving
 from millrace.sources import datasets
 from millrace.sources.vector_store import VectorStore, create_store
-from millrace.streaming import live
 
 
 def best(store, queries, k):
@@ -443,37 +441,6 @@ def test_a_failing_strategy_is_a_row_of_zeros(spark):
     assert "broken" in chunking.report(found)
 
 
-class State:
-    def __init__(self, held=None, late=False):
-        self.held, self.hasTimedOut, self.timer = held, late, None
-
-    exists = property(lambda self: self.held is not None)
-    get = property(lambda self: self.held)
-
-    def update(self, held):
-        self.held = held
-
-    def setTimeoutDuration(self, ms):
-        self.timer = ms
-
-
-def test_stream_states():
-    step = live.breaker_step(3, 30.0)
-    state = State()
-    (out,) = step(("k",), iter([pd.DataFrame({"seq": [2, 1, 3], "ok": [False, False, False]})]), state)
-    assert out["state"][0] == "open" and state.timer == 30_000
-    state.hasTimedOut = True
-    (out,) = step(("k",), iter([]), state)
-    assert out["state"][0] == "half_open"
-    state.hasTimedOut = False
-    (out,) = step(("k",), iter([pd.DataFrame({"seq": [4], "ok": [True]})]), state)
-    assert out["state"][0] == "closed" and out["in_a_row"][0] == 0
-    recent, state = live.recent_step(4), State()
-    for i in range(0, 9, 3):
-        (out,) = recent(("s",), iter([pd.DataFrame({"seq": [i, i + 1, i + 2], "ms": [float(i), float(i + 1), float(i + 2)]})]), state)
-    assert out["n"][0] == 4 and out["p50"][0] == statistics.median([5, 6, 7, 8]) and out["p100"][0] == 8
-
-
 def test_text_for_display(spark):
     rows = spark.createDataFrame([("x" * 201, 500), ("y", 1536), ("", 5 * 1024**3)], "t string, n long")
     assert [tuple(r) for r in rows.select(shortened(F.col("t"), 3), byte_size(F.col("n"))).collect()] == [("xxx...", "500.0 B"), ("y", "1.5 KB"), ("", "5.0 GB")]
