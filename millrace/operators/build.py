@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import stored
@@ -34,26 +34,41 @@ LANGUAGE_FILES = {
 }
 
 
+COUNTERS = ["input_records", "malformed", "flattened", "duplicates", "invalid", "written"]
+
+
 @dataclass(frozen=True)
 class Preprocessed:
+    """passages, stored; counters of the run, and the same as one row."""
+
     passages: DataFrame
-    statistics: DataFrame
+    counters: dict[str, int]
+
+    @property
+    def statistics(self) -> DataFrame:
+        return self.passages.sparkSession.createDataFrame([tuple(self.counters[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+
+
+def _observed(raw: DataFrame, prefer_selected: bool, compose: bool = True) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """Valid passages, and what tells their counters after the one job that writes them: rows are counted on their way by observations."""
+    n = F.count(F.lit(1)).alias("n")
+    records, flat, kept = (Observation() for _ in range(3))
+    rows = ingest.flatten(raw, compose, lambda df: df.observe(records, n, F.count_if(F.col("reject").isNotNull()).alias("bad")))
+    rows = rows.withColumn("ord", F.struct("query_id", "passage_index", "target_lang")).observe(flat, n)
+    judged = validate.with_errors(dedup.by_content(dedup.by_identity(rows), prefer_selected)).observe(kept, n, F.count_if("is_valid").alias("good"))
+
+    def counters() -> dict[str, int]:
+        seen, flattened, left = records.get, flat.get.get("n", 0), kept.get  # empty where the plan ended early without rows
+        found = (seen.get("n", 0), seen.get("bad", 0), flattened, flattened - left.get("n", 0), left.get("n", 0) - left.get("good", 0), left.get("good", 0))
+        return dict(zip(COUNTERS, found, strict=True))
+
+    return judged.filter("is_valid").drop("ord", "place", "errors", "is_valid"), counters
 
 
 def preprocess(raw: DataFrame, prefer_selected: bool = True, compose: bool = True) -> Preprocessed:
-    """Flatten, deduplicate and validate; statistics is one row of counters."""
-    flat = ingest.flatten(raw, compose).withColumn("ord", F.struct("query_id", "passage_index", "target_lang"))
-    kept = validate.with_errors(dedup.by_content(dedup.by_identity(flat), prefer_selected))
-    n = lambda name: F.count(F.lit(1)).alias(name)
-    counts = [
-        raw.agg(n("input_records")),
-        ingest.canonical_records(raw).agg(F.count_if(F.col("reject").isNotNull()).alias("malformed")),
-        flat.agg(n("flattened")),
-        kept.agg(n("kept"), F.count_if(~F.col("is_valid")).alias("invalid"), F.count_if("is_valid").alias("written")),
-    ]
-    whole = counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])  # one row each
-    statistics = whole.select("input_records", "malformed", "flattened", (F.col("flattened") - F.col("kept")).alias("duplicates"), "invalid", "written")
-    return Preprocessed(kept.filter("is_valid").drop("ord", "place", "errors", "is_valid"), statistics)
+    """Flatten, deduplicate and validate, in one job over the input."""
+    passages, counters = _observed(raw, prefer_selected, compose)
+    return Preprocessed(stored(passages, "passages"), counters())
 
 
 def dry_run(raw: DataFrame, batches: int = 1, batch_size: int = 500, sample: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -97,18 +112,15 @@ def write_passages(passages: DataFrame, path: str, overwrite: bool = False) -> D
 
 
 def preprocess_dataset(raw: DataFrame, path: str, overwrite: bool = False, batch_size: int = 500, prefer_selected: bool = True) -> dict[str, int]:
-    """Flatten, deduplicate, validate and write; counters with the number of batches of raw records. Every counter but that of raw records comes from the written tables."""
+    """Flatten, deduplicate, validate and write in one job, which also counts; counters with the number of batches of raw records."""
     spark = raw.sparkSession
     fs, at, _ = file_system(spark, path)
     if fs.exists(at) and not overwrite:  # before any work
         raise FileExistsError(path)
-    flat = stored(ingest.flatten(raw).withColumn("ord", F.struct("query_id", "passage_index", "target_lang")), "flat")
-    kept = stored(validate.with_errors(dedup.by_content(dedup.by_identity(flat), prefer_selected)), "kept")
-    write_passages(kept.filter("is_valid"), path, overwrite)
-    records = ingest.canonical_records(raw).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reject").isNotNull()).alias("bad")).first()
-    judged = kept.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("good")).first()
-    flattened = flat.count()
-    return {"input_records": records["n"], "malformed": records["bad"], "flattened": flattened, "duplicates": flattened - judged["n"], "invalid": judged["n"] - judged["good"], "written": judged["good"], "batches": -(-records["n"] // batch_size)}
+    passages, counters = _observed(raw, prefer_selected)
+    write_passages(passages, path, overwrite)
+    found = counters()
+    return found | {"batches": -(-found["input_records"] // batch_size)}
 
 
 def build_index(passages: DataFrame, store: VectorStore, embedder: providers.Embedder, dimension: int, strategy: str = "adaptive", model: str = "hash", engine: chunking.ChunkingEngine | None = None, overwrite: bool = False, append: bool = False) -> dict:
@@ -131,6 +143,12 @@ def build_index(passages: DataFrame, store: VectorStore, embedder: providers.Emb
     return store.save(vectors, "chunk_id", dimension=dimension, model=model, chunks=chunks, overwrite=overwrite)
 
 
+def _first_of_files(raw: DataFrame, number: int) -> DataFrame:
+    """The first rows of a Parquet table in the order of its files."""
+    placed = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return placed.orderBy("__file", "__row").limit(number).drop("__file", "__row")
+
+
 @dataclass
 class DatasetIndexer:
     """Index the files of several languages, one after the other, into one store.
@@ -161,12 +179,12 @@ class DatasetIndexer:
         start, done, count = time.perf_counter(), {}, 0
         for number, code in enumerate(languages):
             raw = datasets.raw_records(self.spark, LANGUAGE_FILES[code][0 if self.split == "train" else 1], self.root, self.base_url)
-            raw = raw if self.most_samples is None else raw.limit(self.most_samples)
+            raw = raw if self.most_samples is None else _first_of_files(raw, self.most_samples)
             if "target_lang" not in raw.columns:
                 raw = raw.withColumn("target_lang", F.lit(code))
-            passages = stored(preprocess(raw).passages, f"passages-{code}")
-            manifest = build_index(passages, self.store, self.embedder, self.dimension, self.strategy, self.model, self.engine, overwrite=overwrite and number == 0, append=number > 0)
-            done[code] = {"records": raw.count(), "passages": passages.count(), "chunks": manifest["count"] - count}
+            made = preprocess(raw)
+            manifest = build_index(made.passages, self.store, self.embedder, self.dimension, self.strategy, self.model, self.engine, overwrite=overwrite and number == 0, append=number > 0)
+            done[code] = {"records": made.counters["input_records"], "passages": made.counters["written"], "chunks": manifest["count"] - count}
             count = manifest["count"]
             if progress is not None:
                 try:

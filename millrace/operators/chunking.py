@@ -6,12 +6,15 @@ with one posexplode. So several strategies, and the adaptive choice between them
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..cluster import ship, stored
 from ..functions.ids import chunk_id
@@ -24,6 +27,7 @@ SHORT, MEDIUM, LONG_SENTENCE, LEAST_SENTENCES = 500, 2000, 500, 2
 PART = "struct<text: string, tokens: int, start: int, end: int, before: int, after: int>"
 
 Parts = Callable[[Column], Column]
+TextChunker = Callable[[str], list[str]]
 Chunker = Callable[[DataFrame], DataFrame]
 
 
@@ -218,6 +222,55 @@ class ChunkingEngine:
         return rows.transform(self._made[strategy])
 
 
+def text_chunker(name: str, make: TextChunker) -> Chunker:
+    """A chunker of the engine from a function on texts; its chunks carry no tokens and offsets."""
+
+    def chunk(rows: DataFrame) -> DataFrame:
+        ship(rows.sparkSession)
+        cut = F.pandas_udf(lambda texts: texts.map(lambda t: [p for p in make(t) if p.strip()], na_action="ignore"), "array<string>")
+        parts = F.transform(cut(F.col("text")), lambda t: _part(t))
+        return _opened(rows.select("document_id", F.lit(name).alias("strategy"), F.posexplode(parts).alias("chunk_index", "p")))
+
+    return chunk
+
+
+def chunk_function(name: str, make: TextChunker) -> type:
+    """A polymorphic table function from texts to chunks with the columns of the engine.
+
+    It takes (document_id, text) of a row, or a table that has these columns and may be partitioned:
+    `FROM docs, LATERAL f(document_id, text)`, or `FROM f(TABLE(docs) PARTITION BY document_id)`.
+    """
+
+    class Chunks:
+        @staticmethod
+        def analyze(*given: AnalyzeArgument) -> AnalyzeResult:
+            if len(given) == 1 and given[0].isTable:
+                absent = {"document_id", "text"} - set(given[0].dataType.fieldNames())
+                if absent:
+                    raise ValueError(f"the table lacks {sorted(absent)}")
+            elif len(given) != 2:
+                raise ValueError("a chunker takes a table, or document_id and text")
+            return AnalyzeResult(schema=T.StructType([T.StructField(c, t) for c, t in types.items()]))
+
+        def eval(self, *given):
+            key, text = (given[0]["document_id"], given[0]["text"]) if len(given) == 1 else given
+            if text is None:
+                return
+            for i, part in enumerate(p for p in make(text) if p.strip()):
+                mark = hashlib.sha256(f"document_id={key}:strategy={name}:chunk_index={i}".encode()).hexdigest()
+                yield mark, str(key), i, name, part, len(part), None, None, None, None, None
+
+    whole, text = T.IntegerType(), T.StringType()
+    types = {c: text if c in ("chunk_id", "document_id", "strategy", "chunk_text") else whole for c in COLUMNS}
+    return Chunks
+
+
+def register_chunker(spark: SparkSession, engine: ChunkingEngine, name: str, make: TextChunker) -> None:
+    """Make a function from a text to its parts a strategy of the engine, and a table function of SQL by the name `<name>_chunks`."""
+    engine.register(name, text_chunker(name, make))
+    spark.udtf.register(f"{name}_chunks", F.udtf(chunk_function(name, make)))
+
+
 def quality(chunks: DataFrame, rows: DataFrame, selected: DataFrame) -> DataFrame:
     """Metrics per strategy of chunks from rows (document_id, text); selected: document_id of relevant passages."""
     size = rows.agg(F.sum(F.length("text")).alias("input_chars"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,10 @@ def canonical_records(raw: DataFrame) -> DataFrame:
     return rows.withColumn("reject", reject)
 
 
-def flatten(raw: DataFrame, compose: bool = True) -> DataFrame:
-    """One row per aligned passage of well-formed records; arrays count up to the shortest, blank passages and rows that break the passage schema go."""
-    ok = canonical_records(raw).filter("reject is null")
+def flatten(raw: DataFrame, compose: bool = True, seen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One row per aligned passage of well-formed records; arrays count up to the shortest, blank passages and rows that break the passage schema go. seen: applied to all records on their way, to observe them."""
+    records = canonical_records(raw)
+    ok = (seen(records) if seen else records).filter("reject is null")
     arrays = ["translated_passages", "english_passages", "is_selected"]
     n = F.least(*[F.coalesce(F.size(a), F.lit(0)) for a in arrays])
     zipped = F.slice(F.arrays_zip(*arrays), F.lit(1), F.greatest(n, F.lit(0)))

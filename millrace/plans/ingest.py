@@ -10,6 +10,7 @@ from ..functions.text import byte_size, is_blank, shortened
 from ..functions.vectors import is_valid
 from ..operators import dedup, ingest, profiling, validate
 from ..sources import datasets, tables
+from ..sources.lines import ChunkStore
 from ..sources.tables import table
 from ..sources.vector_store import VectorStore, integrity
 from . import views
@@ -326,12 +327,26 @@ def query_set(spark: SparkSession, d: str) -> DataFrame:
     return datasets.read_queries(spark, path)
 
 
-@query("SELECT doc_id, text, true AS placed FROM documents")
+@query("SELECT doc_id, text, true AS read_alone FROM documents WHERE doc_id % 3 = 0")
 def jsonl_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """JSON lines with the byte each begins at."""
-    path = tables.scratch(spark, "lines")
-    tables.write_jsonl(table(spark, d, "documents").select("doc_id", "text"), path)
-    return datasets.jsonl_chunks(spark, path, "doc_id bigint, text string").select("doc_id", "text", (F.col("offset") >= 0).alias("placed"))
+    """Every third document by its offset in JSON lines: index, ranged reads, and the line at the offset found alike in a scan."""
+    made = ChunkStore(spark, tables.scratch(spark, "lines"), "doc_id bigint, text string", "doc_id")
+    index = made.save(table(spark, d, "documents").select("doc_id", "text"))
+    found = made.get(index.filter("key % 3 = 0").select("key", F.col("offset").alias("wanted")))
+    scanned = datasets.jsonl_chunks(spark, f"{made.root}/lines", "doc_id bigint, text string").select("offset", F.xxhash64("doc_id", "text").alias("mark"))
+    met = found.withColumn("mark", F.xxhash64("doc_id", "text")).join(scanned.withColumnRenamed("offset", "wanted"), ["wanted", "mark"], "left_semi")
+    return met.select("doc_id", "text", F.lit(True).alias("read_alone"))
+
+
+@query("SELECT doc_id AS record, text FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 100 = 0")
+def resolve_by_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Hits, some of them twice, resolved by ranged reads of a store of JSON lines; ids without a line are left out."""
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    made = ChunkStore(spark, tables.scratch(spark, "chunk-lines"), "doc_id bigint, text string", "doc_id")
+    made.save(rows)
+    ids = rows.select(F.col("doc_id").alias("key"))
+    hits = ids.filter("key % 50 = 0").unionAll(ids.filter("key % 100 = 0")).unionAll(ids.select(F.col("key") + 1_000_000_000))
+    return made.get(hits).select(F.col("doc_id").alias("record"), "text")
 
 
 @query("SELECT 'train' AS split, 'hi' AS language, count(*) FILTER (page_id % 2 = 0) AS n FROM pages UNION ALL SELECT 'validation', 'hi', count(*) FILTER (page_id % 2 = 1) FROM pages")
@@ -349,12 +364,9 @@ def dataset_splits(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT (p // 500)::BIGINT AS batch, count(*) AS n, min(doc_id) AS least, max(doc_id) AS most FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents) GROUP BY 1")
 def parquet_batches(spark: SparkSession, d: str) -> DataFrame:
-    """All rows in batches of exactly 500, the last one shorter."""
-    whole = None
-    for i, one in enumerate(datasets.batches(table(spark, d, "documents").select("doc_id"), "doc_id", size=500)):
-        facts = one.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumn("batch", F.lit(i).cast("long"))
-        whole = facts if whole is None else whole.unionAll(facts)
-    return whole
+    """All rows in batches of exactly 500 in the order of the file, the last one shorter, in one pass."""
+    rows = datasets.row_batches(spark, f"{d}/documents.parquet")
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 200) || '...' END AS shown, CASE WHEN strlen(text) * 40 < 1024 THEN printf('%.1f B', strlen(text) * 40.0) WHEN strlen(text) * 40 < 1048576 THEN printf('%.1f KB', strlen(text) * 40.0 / 1024) ELSE printf('%.1f MB', strlen(text) * 40.0 / 1048576) END AS size FROM documents")

@@ -9,12 +9,13 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import files
-from ..cluster import scratch, ship
+from ..cluster import broadcast_if_small, scratch, ship, stored
+from . import lines
 from .tables import batch, with_positions
 from .vector_store import file_system
 
@@ -102,13 +103,53 @@ def open_parquet(spark: SparkSession, path: str, folders: bool = True) -> DataFr
 
 def batches(df: DataFrame, *order: str, size: int = 500) -> Iterator[DataFrame]:
     """The rows in batches of exactly `size`, the last one shorter. They are sorted and stored once; a batch reads its own rows only."""
-    if isinstance(size, bool) or not isinstance(size, int) or size <= 0:
-        raise ValueError(f"batch size has to be a positive integer: {size!r}")
+    _check_size(size)
     placed = with_positions(df, *order, name="__at")
     for start in range(0, placed.count(), size):
         yield placed.filter((F.col("__at") >= start) & (F.col("__at") < start + size)).drop("__at")
 
 
+def _in_file_order(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a Parquet table with `__file` and `__row`, the row's number within its file; and (path, rows, __file, base), where each file begins in the order of paths, from footers."""
+    named = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", F.col("_metadata.file_path").alias("__file"))
+    facts = file_metadata(spark, path).select("path", "rows").join(named, "path")
+    counts = with_positions(facts, "__file", name="__number")
+    before = Window.orderBy("__number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    bases = stored(counts.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("__number"), "files")
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return rows, bases
+
+
+def row_batches(spark: SparkSession, path: str, size: int = 500) -> DataFrame:
+    """A Parquet table with `batch`: its rows in the order of its files, in batches of exactly `size`, the last one shorter.
+
+    Footers tell where each file begins, and the reader numbers a file's rows, so nothing is sorted or copied and all batches are one pass.
+    """
+    _check_size(size)
+    rows, bases = _in_file_order(spark, path)
+    return rows.join(broadcast_if_small(bases.select("__file", "base"), "__file"), "__file").withColumn("batch", F.expr(f"(base + __row) div {size}")).drop("__file", "__row", "base")
+
+
+def read_batch(spark: SparkSession, path: str, number: int, size: int = 500) -> DataFrame:
+    """One batch of row_batches(), read from those files only that hold its rows. An IndexError past the end."""
+    _check_size(size)
+    _, bases = _in_file_order(spark, path)
+    start, end = number * size, (number + 1) * size
+    held = bases.filter((F.col("base") < end) & (F.col("base") + F.col("rows") > start)).orderBy("base").collect()  # the files of one batch
+    if number < 0 or not held:
+        raise IndexError(f"there is no batch {number}")
+    whole, schema = None, spark.read.parquet(path).schema
+    for f in held:
+        one = spark.read.schema(schema).parquet(f["path"]).filter(F.col("_metadata.row_index").between(max(0, start - f["base"]), end - f["base"] - 1))
+        whole = one if whole is None else whole.unionAll(one)
+    return whole
+
+
+def _check_size(size: int) -> None:
+    if isinstance(size, bool) or not isinstance(size, int) or size <= 0:
+        raise ValueError(f"batch size has to be a positive integer: {size!r}")
+
+
 def file_metadata(spark: SparkSession, root: str) -> DataFrame:
     """(path, rows, row_groups, columns) of each Parquet file of a table, from footers, read on the executors."""
     ship(spark)
@@ -157,22 +198,9 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERY_SET).option("multiLine", "true").option("mode", "FAILFAST").json(path)
 
 
-def lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(offset, line): the lines of a text file with the byte they begin at; the file is split among tasks."""
-    kind = "org.apache.hadoop.mapreduce.lib.input.TextInputFormat"
-    rows = spark.sparkContext.newAPIHadoopFile(path, kind, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    return spark.createDataFrame(rows, "offset long, line string")
-
-
 def jsonl_chunks(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines of a schema with their `offset`; a malformed line is an error that tells its offset."""
-    lines = lines_with_offsets(spark, path).filter(F.trim("line") != "")
-    whole = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    marked = T.StructType([*whole.fields, T.StructField("__bad", T.StringType())])
-    parsed = F.from_json("line", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    bad: Column = F.raise_error(F.concat(F.lit("malformed JSON line at offset "), F.col("offset").cast("string")))
-    rows = lines.select("offset", parsed.alias("j")).withColumn("offset", F.when(F.col("j.__bad").isNull(), F.col("offset")).otherwise(bad.cast("long")))
-    return rows.select("offset", *[F.col(f"j.{f.name}").alias(f.name) for f in whole.fields])
+    return lines.parsed(lines.lines_with_offsets(spark, path), schema, "offset")
 
 
-__all__ = ["batch", "batches", "classify", "fetch", "file_metadata", "inspect_file", "jsonl_chunks", "lines_with_offsets", "list_files", "list_repository", "list_splits", "load_split", "open_parquet", "raw_records", "read_queries"]
+__all__ = ["batch", "batches", "classify", "fetch", "file_metadata", "inspect_file", "jsonl_chunks", "list_files", "list_repository", "list_splits", "load_split", "open_parquet", "raw_records", "read_batch", "read_queries", "row_batches"]

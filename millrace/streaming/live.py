@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..cluster import scratch, ship, stored
-from ..operators.dedup import fingerprint_of
+from ..operators.dedup import DedupLog, fingerprint_of
 from ..sources.vector_store import VectorStore
 
 
@@ -20,6 +23,21 @@ def dedup(passages: DataFrame) -> DataFrame:
     return passages.withColumn("fp", fingerprint_of()).dropDuplicates(["fp"])
 
 
+def dedup_into(passages: DataFrame, log: DedupLog) -> DataFrame:
+    """Deduplicate a stream of passages on both levels, with the log as state; runs over what is there now. Returns the kept rows of all micro-batches with their number, `batch`.
+
+    The checkpoint is a folder of the log, so a later call goes on; a micro-batch that is run again counts once.
+    """
+
+    def put(df: DataFrame, number: int) -> None:
+        log.process(stored(df, "micro-batch"), number)
+
+    query = passages.writeStream.option("checkpointLocation", f"{log.root}/stream").foreachBatch(put).trigger(availableNow=True).start()
+    query.awaitTermination()
+    parts = [passages.sparkSession.read.schema(passages.schema).parquet(f"{log.root}/batches/{n}/kept").withColumn("batch", F.lit(n)) for n in log.done()]
+    return reduce(DataFrame.unionAll, parts) if parts else passages.sparkSession.createDataFrame([], passages.schema).withColumn("batch", F.lit(0))
+
+
 def latency(samples: DataFrame) -> DataFrame:
     """Running counters per stage of (stage, ms); update or complete mode."""
     return samples.groupBy("stage").agg(F.count("ms").alias("n"), F.sum("ms").alias("total"), F.min("ms").alias("least"), F.max("ms").alias("most"))
@@ -182,6 +200,34 @@ def append_to_index(vectors: DataFrame, store: VectorStore, *order: str, chunks:
     query.awaitTermination()
 
 
+class Progress(StreamingQueryListener):
+    """Tells a function what each micro-batch did: query, batch, rows and the metrics observed in it by name. What the function raises is ignored."""
+
+    def __init__(self, tell: Callable[[dict], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        with contextlib.suppress(Exception):
+            self.tell({"query": p.name, "batch": p.batchId, "rows": p.numInputRows, "observed": {name: row.asDict() for name, row in p.observedMetrics.items()}})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def report_progress(spark: SparkSession, tell: Callable[[dict], None]) -> Progress:
+    """Report on all streams of a session from now on; spark.streams.removeListener ends it."""
+    listener = Progress(tell)
+    spark.streams.addListener(listener)
+    return listener
+
+
 def sliding(events: DataFrame, size: str = "1 hour", slide: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums of (ts, event_type, value) per overlapping window and type, with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
