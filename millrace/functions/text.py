@@ -86,7 +86,7 @@ def lexical_tokens(x: Column) -> Column:
 def substantive_tokens(x: Column) -> Column:
     """Distinct words without stop words, of two characters or more; digits of any length."""
     words = F.regexp_extract_all(F.lower(x), F.lit("[a-zA-Z0-9ऀ-ൿ]{2,}|[\\p{Nd}&&[0-9ऀ-ൿ]]"), F.lit(0))
-    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.filter(F.array_distinct(words), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def numbers(x: Column) -> Column:

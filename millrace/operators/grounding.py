@@ -14,12 +14,12 @@ from ..functions.text import claims, normalize, numbers, substantive_tokens
 
 SUPPORT = 0.55
 OVERLAP_WEIGHT = 0.7
-WORD, NUMBER = 0, 1
+#: Stands before numbers where words and numbers are tokens; no word holds it.
+MARK = "#"
 
 
 def _tokens(words: Column, figures: Column) -> Column:
-    as_kind = lambda kind: lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token"))
-    return F.concat(F.transform(words, as_kind(WORD)), F.transform(figures, as_kind(NUMBER)))
+    return F.concat(words, F.transform(figures, lambda n: F.concat(F.lit(MARK), n)))
 
 
 def _matches(asked: DataFrame, held: DataFrame) -> DataFrame:
@@ -27,11 +27,11 @@ def _matches(asked: DataFrame, held: DataFrame) -> DataFrame:
 
     Words and numbers of claims meet those of the answer's evidence, so a claim costs its own words and not its evidence's length.
     """
-    own = asked.select("answer_id", "claim_no", F.explode(_tokens(F.col("words"), F.col("numbers"))).alias("t")).select("answer_id", "claim_no", "t.*")
-    low = F.col("text")
-    its = held.select("answer_id", "ev", F.explode(_tokens(substantive_tokens(low), numbers(low))).alias("t")).select("answer_id", "ev", "t.*", F.lit(True).alias("there"))
-    met = own.join(its, ["answer_id", "kind", "token"], "left").repartition("answer_id", "claim_no")
-    return met.groupBy("answer_id", "claim_no", "ev").agg(F.count_if((F.col("kind") == WORD) & F.col("there")).alias("hits"), F.max((F.col("kind") == NUMBER) & F.col("there").isNull()).alias("missing"))
+    own = asked.select("answer_id", "claim_no", F.explode(_tokens(F.col("words"), F.col("numbers"))).alias("token"))
+    its = held.select("answer_id", "ev", F.explode(_tokens(substantive_tokens(F.col("text")), numbers(F.col("text")))).alias("token"))
+    met = own.join(its, ["answer_id", "token"], "left").repartition("answer_id", "claim_no")
+    number = F.startswith("token", F.lit(MARK))
+    return met.groupBy("answer_id", "claim_no", "ev").agg(F.count_if(~number & F.col("ev").isNotNull()).alias("hits"), F.max(number & F.col("ev").isNull()).alias("missing"))
 
 
 def _inside(asked: DataFrame, held: DataFrame) -> DataFrame:

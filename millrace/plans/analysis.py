@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import scratch
-from ..operators import analytics, serving
+from ..operators import analytics, dedup, evaluation, serving
 from ..sources.tables import table
 from ..sources.vector_store import VectorStore
 from ..streaming import live
 from . import views
+from .ingest import BATCHES
 from .registry import PASSAGES, query
 
 LATEST = "s AS (SELECT event_type AS stage, value AS ms FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500)"
@@ -40,6 +41,12 @@ def bench_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("within_budget", F.col("p50") <= analytics.BUDGET_MS)
 
 
+@query("SELECT event_type AS stage, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.7), 6) AS p70, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS p100, round(avg(value), 3) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
+def benchmark_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of a latency benchmark from given runs of its stages."""
+    return evaluation.statistics(views.samples(spark, d).select("stage", "ms"))
+
+
 @query("WITH o AS (SELECT event_type AS stage, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT stage, max(v) FILTER (i = n // 2) AS p50, max(v) FILTER (i = floor(0.9 * n)) AS p90, max(v) FILTER (i = least(n - 1, floor(0.99 * n))) AS p99 FROM o GROUP BY stage")
 def index_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return analytics.index_percentiles(views.samples(spark, d))
@@ -68,6 +75,19 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/{name}.parq[u]et")
 
 
+@query(BATCHES)
+def stream_dedup_log(spark: SparkSession, d: str) -> DataFrame:
+    """Both levels of deduplication over a stream of three micro-batches in two calls, with a log as state; as dedup_batches."""
+    source, rows = scratch(spark, "passages"), views.passages(spark, d)
+    log, out = dedup.DedupLog(spark, scratch(spark, "dedup-log")), None
+    for parts in ((0, 1), (2,)):
+        for i in parts:
+            rows.filter(F.col("ord") % 3 == i).coalesce(1).write.mode("append").parquet(source)
+        out = live.dedup_into(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), log)
+    done = log.statistics()
+    return out.select("ord", "is_selected", *[F.lit(done[c]).cast("long").alias(c) for c in ("content_duplicates", "conflicts")])
+
+
 @query(f"WITH {PASSAGES} SELECT count(DISTINCT sha256('lang=' || target_lang || ':trans=' || translated_passage || ':eng=' || english_passage)) AS n FROM p")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import normalize
@@ -125,11 +145,15 @@ def stream_recent(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 2 * count(*) AS vectors, 2 * count(*) - 1 AS last, count(*) AS chunks FROM embeddings")
 def stream_index_append(spark: SparkSession, d: str) -> DataFrame:
-    """A store that a stream of vectors is appended to, with their chunks."""
-    made = VectorStore(spark, scratch(spark, "streamed"))
-    made.save(views.store(spark, d).drop("position", "label"), "chunk_id", dimension=64)
-    rows = _stream(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", F.lit("text").alias("chunk_text"))
-    live.append_to_index(rows, made, "chunk_id", chunks=["chunk_id", "chunk_text"])
+    """A store that a stream of vectors is appended to, with their chunks, in several calls while the source grows; the last call finds nothing new."""
+    made, source = VectorStore(spark, scratch(spark, "streamed")), scratch(spark, "vectors")
+    vectors = views.store(spark, d).drop("position", "label")
+    made.save(vectors, "chunk_id", dimension=64)
+    for part in (0, 1, 2, None):
+        if part is not None:
+            vectors.filter(F.col("chunk_id").cast("long") % 3 == part).write.mode("append").parquet(source)
+        rows = spark.readStream.schema(vectors.schema).parquet(source).withColumn("chunk_text", F.lit("text"))
+        live.append_to_index(rows, made, "chunk_id", chunks=["chunk_id", "chunk_text"])
     return made.load(64).agg(F.count(F.lit(1)).alias("vectors"), F.max("position").alias("last")).withColumn("chunks", F.lit(made.chunks().count()).cast("long"))
 
 

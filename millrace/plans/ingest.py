@@ -387,9 +387,13 @@ def store_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return whole
 
 
-@query(f"""WITH {PASSAGES}, k AS (SELECT {FP} AS fp, * FROM p), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY fp ORDER BY ord % 3, ord) = 1),
+#: Three batches by `ord % 3`: what is kept, and the counters.
+BATCHES = f"""WITH {PASSAGES}, k AS (SELECT {FP} AS fp, * FROM p), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY fp ORDER BY ord % 3, ord) = 1),
 r AS (SELECT k.fp, k.ord, k.is_selected, f.is_selected AS f0, min(CASE WHEN k.is_selected AND k.ord <> f.ord THEN (k.ord % 3) * 1000000000 + k.ord END) OVER (PARTITION BY k.fp) AS s, (k.ord % 3) * 1000000000 + k.ord AS place, k.ord <> f.ord AS twice FROM k JOIN f USING (fp))
-SELECT f.ord, f.is_selected, (SELECT count(*) FROM r WHERE twice) AS content_duplicates, (SELECT count(*) FROM r WHERE twice AND CASE WHEN f0 OR place > s THEN NOT is_selected ELSE is_selected END) AS conflicts FROM f""")
+SELECT f.ord, f.is_selected, (SELECT count(*) FROM r WHERE twice) AS content_duplicates, (SELECT count(*) FROM r WHERE twice AND CASE WHEN f0 OR place > s THEN NOT is_selected ELSE is_selected END) AS conflicts FROM f"""
+
+
+@query(BATCHES)
 def dedup_batches(spark: SparkSession, d: str) -> DataFrame:
     """Three batches one after the other: what each keeps, and the counters at the end."""
     run, rows, kept = dedup.IncrementalDedup(), views.passages(spark, d), None
