@@ -1,19 +1,20 @@
 """Operator 9, main text of web pages by consensus of a host's container paths.
 
 1. Each page's containers are scored by the text of the blocks right inside them (half of it counts for
-   the container above), less what stands in links. From the best one the page climbs to the smallest
-   container around it that holds nearly all of its text outside links, and votes for that one's path,
-   a path being tags with their classes from the root, digits generalised (carried as a hash).
+   the container above), less what stands in links. The page votes for the path of the best one, a path
+   being tags with their classes from the root, digits generalised (carried as a hash).
 2. Votes are summed per (host, path) in Spark, combined before the shuffle, and each host's winner is
    the path with most votes.
 3. Pages are extracted again: all elements on the winning path, or, where they hold less than a fair
-   share of a page's text (or there are none), its own container.
+   share of a page's text (or there are none), its own container; and what stands beside these without being
+   left out, but for lines that are mostly links in elements that are, too: no path costs a page its own text.
 
 Left out at both steps: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments, by tag, role and class. Tags decide by themselves (form and header as classes do). A class, id or
 role that speaks against an element needs more: headings stay, words as in `with-sidebar` don't count, an
-element with nearly all of a page's text (or most of it, with a heading) stays, and of words that say
-little (WEAK) only those outside articles on elements with little text or with more in links than outside.
+element with nearly all of a page's text (or most of it, with a heading) stays, a strong word among others (as
+in `related-work`) leaves out inside an article only what is mostly links, and of words that say little (WEAK)
+only those outside articles on elements with little text or with more in links than outside.
 
 Blocks are lines; white space (line breaks included) in a block becomes one blank; character references are
 decoded. What is left out inside a block (a button, a script, a hidden span) doesn't end it. Rows: page_id, url, text, n_chars.
@@ -61,9 +62,11 @@ STRONG = set(
 )
 WEAK = set("header notice notices alert modal overlay signup social widget toolbar login search skip copyright legal disclaimer dialog alertdialog hidden".split())
 CONTRARY = set("with has no without hide in over before after".split())
+#: Words of arrangement: beside them a strong word still is all that a class says.
+ARRANGED = set("list item items box block wrap wrapper container inner outer area section slot unit panel bar row col column group holder content body title heading label link links button buttons icon icons post posts story stories article articles form tools top bottom left right main site page global header footer side mobile desktop sticky fixed float inline a the".split())
 GOOD = {"article": 2.0, "main": 1.5}
-#: Shares of a page's text outside links: what a container has to hold of the whole, a host's path of that, an element that stays although its class speaks against it (alone, or with a heading), and one that a weak word lets go.
-WHOLE, FAIR, NEARLY_ALL, MOST, LITTLE = 0.9, 1 / 3, 0.9, 0.5, 0.2
+#: Shares of a page's text outside links: what a host's path has to hold of what the page's own container does, an element that stays although its class speaks against it (alone, or with a heading), and one that a weak word lets go.
+FAIR, NEARLY_ALL, MOST, LITTLE = 1 / 3, 0.9, 0.5, 0.2
 HEADS = {"article", "main", "h1"}
 
 _NAME = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
@@ -74,12 +77,12 @@ _PLAIN = re.compile(rf"{_OTHER}|{_NAME}([^>]*)(?:>|\Z)", re.S)
 _OPEN = re.compile(r"<[!?/a-zA-Z]")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-STAYS, MAYBE, GOES, GONE = range(4)
+STAYS, MAYBE, MIXED, GOES, GONE = range(5)
 
 
 @dataclass(slots=True)
 class Node:
-    """An open element. verdict: STAYS, MAYBE (a weak word speaks against it), GOES (a strong one does) or GONE; quiet: left out without ending the block around it."""
+    """An open element. verdict: STAYS, MAYBE (a weak word speaks against it), MIXED (a strong one among others), GOES (a strong one alone) or GONE; quiet: left out without ending the block around it."""
 
     tag: str
     path: bytes
@@ -90,14 +93,15 @@ class Node:
 
 
 def _speaks(value: str) -> int:
-    """STAYS, MAYBE or GOES by the words of a class, id or role."""
+    """STAYS, MAYBE, MIXED or GOES by the words of a class, id or role."""
     found = STAYS
     for token in value.lower().split():
         words = [x for x in re.split(r"[^a-z]+", token) if x]
         for i, x in enumerate(words):
             if i and words[i - 1] in CONTRARY:
                 continue
-            found = max(found, GOES if x in STRONG else MAYBE if x in WEAK else STAYS)
+            alone = all(w in STRONG or w in WEAK or w in ARRANGED for w in words)
+            found = max(found, (GOES if alone else MIXED) if x in STRONG else MAYBE if x in WEAK else STAYS)
     return found
 
 
@@ -269,9 +273,11 @@ class Page:
         for i in range(1, n):
             node = self.nodes[i]
             inside[i] = inside[node.parent] or node.tag in ("article", "main")
-            out = node.verdict == GONE or node.verdict == GOES
+            out = node.verdict >= MIXED
             if node.verdict == MAYBE:
                 out = not inside[i] and (plain[i] < LITTLE * whole or linked[i] > plain[i])
+            elif node.verdict == MIXED and inside[i]:
+                out = linked[i] > plain[i]
             if out and node.verdict != GONE:
                 out = not (plain[i] > NEARLY_ALL * whole or (headed[i] and plain[i] > MOST * whole))
             self.gone[i] = self.gone[node.parent] or out
@@ -280,11 +286,12 @@ class Page:
             for i in range(1, n):
                 self.gone[i] = self.gone[self.nodes[i].parent] or self.nodes[i].verdict == GONE
         self.lines = [(at, line) for at, line, _, _ in self.found if not self.gone[at]]
-        self.score, self.mass = [0.0] * n, [0] * n
+        self.score, self.mass, self.links = [0.0] * n, [0] * n, [0] * n  # of what stays: scores, text outside links, text in links
         for at, _, out, link in self.found:
             if self.gone[at]:
                 continue
             self.mass[at] += out
+            self.links[at] += link
             weight = max(0, out - link)
             above = self.nodes[at].parent if self.nodes[at].tag in BLOCKS else at
             self.score[above] += weight
@@ -292,14 +299,12 @@ class Page:
                 self.score[self.nodes[above].parent] += weight / 2
         for i in range(n - 1, 0, -1):
             self.mass[self.nodes[i].parent] += self.mass[i]
+            self.links[self.nodes[i].parent] += self.links[i]
         self.boxes = [i for i in range(n) if not self.gone[i] and self.nodes[i].tag in CONTAINERS]
 
     def best(self) -> int:
-        """The container with the highest score (of equal ones the first), or the one above it that holds nearly all text."""
-        found = max(self.boxes, key=lambda i: self.score[i] * GOOD.get(self.nodes[i].tag, 1.0), default=0)
-        while found and self.mass[found] < WHOLE * self.mass[0]:
-            found = self.nodes[found].parent
-        return found
+        """The container with the highest score, of equal ones the first."""
+        return max(self.boxes, key=lambda i: self.score[i] * GOOD.get(self.nodes[i].tag, 1.0), default=0)
 
     def vote(self) -> int | None:
         """The hashed path of the page's container; none for a page without text outside links."""
@@ -316,7 +321,7 @@ class Page:
         return inside
 
     def main_text(self, path: int | None = None) -> str:
-        """The lines inside the elements on the path, or inside the page's own container where they hold less than a fair share of its text."""
+        """The lines inside the elements on the path, or inside the page's own container where they hold less than a fair share of its text, and lines beside them unless they are mostly links, in an element that is mostly links."""
         own, wanted = self.best(), []
         if path is not None:
             key = path.to_bytes(8, "big", signed=True)
@@ -324,8 +329,19 @@ class Page:
             inside = self.within(wanted)
             if sum(self.mass[i] for i in wanted if not i or not inside[self.nodes[i].parent]) < FAIR * self.mass[own]:
                 wanted = []
-        inside = self.within(wanted or [own])
-        return "\n".join(line for at, line in self.lines if inside[at])
+        chosen = wanted or [own]
+        inside, n = self.within(chosen), len(self.nodes)
+        around = [False] * n  # elements that hold a chosen one
+        for i in chosen:
+            while i and not around[self.nodes[i].parent]:
+                i = self.nodes[i].parent
+                around[i] = True
+        beside = list(range(n))  # the largest element around each that holds no chosen one
+        for i in range(1, n):
+            if not around[i] and not around[self.nodes[i].parent]:
+                beside[i] = beside[self.nodes[i].parent]
+        stays = lambda at, out, link: inside[at] or out >= link or self.mass[beside[at]] >= self.links[beside[at]]
+        return "\n".join(line for at, line, out, link in self.found if not self.gone[at] and stays(at, out, link))
 
 
 def read(page: str) -> Page:

@@ -33,7 +33,7 @@ def test_pages(page, text):
 
 
 def test_the_host_decides(spark):
-    usual = "<body><div class='c{}'><p>words of the main part go here</p></div><div class=extra><p>{}</p></div></body>"
+    usual = "<body><div class='c{}'><p>words of the main part go here</p></div><div class=extra><p><a href=x>{}</a></p></div></body>"
     rows = [(i, f"http://A.example.org/{i}", usual.format(i, "x"), "h", 1) for i in range(5)]
     rows += [(9, "https://a.example.org/9", usual.format(9, "here the other part is the longer one by a good deal"), "h", 1)]
     rows += [(10, "http://b.example.org/", "<article><p>other</p></article>", "h", 1), (11, "http://a.example.org/11", "<section><p>fallback</p></section>", "h", 1)]
@@ -48,6 +48,47 @@ def test_the_host_decides(spark):
     assert H.main_texts(pages.limit(0)).count() == 0
 
 
+def _words(rng, n):
+    return " ".join(rng.choice("stone river light morning garden window paper summer market letter".split()) for _ in range(n)) + "."
+
+
+def test_what_stands_beside_the_container_stays():
+    rng = random.Random(3)
+    title, body = "The title", _words(rng, 95)
+    page = f"<html><body><div class=head><h1>{title}</h1></div><div class=content><p>{body}</p></div></body></html>"
+    assert H.read(page).main_text() == f"{title}\n{body}"
+    one, two = _words(rng, 40), _words(rng, 60)
+    halves = H.read(f'<html><body><div class="a"><p>{one}</p></div><div class="b"><p>{two}</p></div></body></html>')
+    usual = H.read(f'<html><body><div class="a"><p>{two}</p></div></body></html>')
+    assert halves.main_text(usual.vote()) == f"{one}\n{two}"
+
+
+@pytest.mark.parametrize("kind", ["menu-of-the-day", "related-work", "comments-on-the-law", "banner-history", "share-prices", "ad-hoc"])
+def test_a_strong_word_among_others_needs_links_inside_an_article(kind):
+    rng = random.Random(4)
+    body, own = _words(rng, 100), _words(rng, 25)
+    page = "<html><body><article><p>{}</p><div class='{}'><p>{}</p></div></article></body></html>"
+    assert H.read(page.format(body, kind, own)).main_text() == f"{body}\n{own}"
+    assert H.read(page.format(body, kind, f"<a href=x>{own}</a> and")).main_text() == body
+    for alone in ("related-posts", "comment-list", "ad", "share-buttons", "sidebar-2"):
+        assert H.read(page.format(body, alone, own)).main_text() == body
+
+
+def test_hosts_of_several_templates_by_brute_force(spark):
+    """Pages without an article: each template lays out a title, parts of the text, and what is to go, marked or only by its links."""
+    rng, rows, want = random.Random(11), [], {}
+    frames = ["<body><div class=head{i}><h1>{t}</h1></div><div class=content><p>{a}</p>{x}<p>{b}</p></div>{m}</body>", "<body>{m}<section class='s{i}'><h2>{t}</h2><p>{a}</p></section>{x}<section class='s{i}'><p>{b}</p></section></body>", "<body><table><tr><td class=text>{t}<p>{a}<p>{b}</td></tr></table>{m}{x}</body>"]
+    junk = ["<nav><a href=x>{}</a></nav>", "<footer><p>{}</p></footer>", "<div class='ad'><p>{}</p></div>", "<aside>{}</aside>", "<div class=sidebar><p>{}</p></div>", "<script>{}</script>", "<form><p>{}</p></form>"]
+    for i in range(120):
+        t, a, b = f"Title {i}", _words(rng, rng.randint(5, 80)), _words(rng, rng.randint(5, 80))
+        x, links = rng.choice(junk).format(_words(rng, rng.randint(1, 8))), "<div class=more>" + "".join(f"<p><a href=x{j}>{_words(rng, 3)}</a></p>" for j in range(3)) + "</div>"
+        page = rng.choice(frames).format(i=i, t=t, a=a, b=b, x=x, m=rng.choice([links, rng.choice(junk).format(_words(rng, 4))]))
+        rows.append((i, f"http://h{i % 4}.example.org/{i}", page))
+        want[i] = f"{t}\n{a}\n{b}"
+    found = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == want
+
+
 @pytest.mark.parametrize("kind", ["content with-sidebar", "overflow-hidden overlay", "post search-result", "legal-text"])
 def test_an_articles_own_wrapper_stays(kind):
     body = "".join(f"<p>The long sentence number {i} of the article.</p>" for i in range(20))
