@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -48,7 +50,9 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 
 
 def _with_state(rows: DataFrame) -> None:
+    """What a query with a processor needs. Spark also runs processors in a worker beside the driver, which gets no shipped code, so they are pickled whole."""
     ship(rows.sparkSession)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     rows.sparkSession.conf.set(*STATE_STORE)
 
 

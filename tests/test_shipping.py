@@ -15,7 +15,7 @@ sys.path.insert(0, {root!r})
 import __spark_entry__ as entry
 from millrace.session import build
 spark = build("local[2]", 2, **{{"spark.executorEnv.PYTHONPATH": ""}})
-for name in ("normalize_text", "vector_topk_batch", "grounding_full", "fake_embed", "stream_breaker"):
+for name in ("normalize_text", "vector_topk_batch", "grounding_full", "fake_embed", "stream_breaker", "stream_recent", "chat"):
     assert entry.queries()[name](spark, {folder!r}).count() > 0, name
 print("all ran")
 """
