@@ -87,6 +87,45 @@ def model_embedder(name: str, load: Callable[[], Callable[[list[str]], tuple[np.
     return embed
 
 
+#: Token limit of E5 models, and tokens that go through a model at once.
+MOST_TOKENS, TOKENS_AT_ONCE = 512, 16_384
+
+
+def token_embedder(name: str, load: Callable[[], tuple[Callable[[str], list[int]], Callable[[np.ndarray, np.ndarray], np.ndarray]]], prefix: str = "passage: ", most_tokens: int = MOST_TOKENS, end: int | None = None, unit: bool = True) -> Embedder:
+    """As model_embedder, of a tokenizer and a model: load gives (text to ids, special ones included; ids and mask to token vectors).
+
+    Texts of more than most_tokens ids are cut there, and end, the id that ends a text, takes the last place. Texts of like length go
+    through the model together, at most TOKENS_AT_ONCE tokens with their padding, which the mask leaves out.
+    """
+    if most_tokens < 1 + (end is not None):
+        raise ValueError("a text needs room for a token")
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if name not in _models:
+            _models[name] = load()
+        encode, run = _models[name]
+        ids = [encode(prefix + x) for x in texts]
+        ids = [x if len(x) <= most_tokens else x[:most_tokens] if end is None else [*x[: most_tokens - 1], end] for x in ids]
+        order, out, at = sorted(range(len(ids)), key=lambda i: len(ids[i])), [None] * len(ids), 0
+        while at < len(order):
+            stop = at + 1
+            while stop < len(order) and len(ids[order[stop]]) * (stop + 1 - at) <= TOKENS_AT_ONCE:
+                stop += 1
+            part, width = order[at:stop], max(1, len(ids[order[stop - 1]]))
+            whole, mask = np.zeros((len(part), width), dtype=np.int64), np.zeros((len(part), width), dtype=np.int64)
+            for row, i in enumerate(part):
+                whole[row, : len(ids[i])], mask[row, : len(ids[i])] = ids[i], 1
+            pooled = masked_mean(run(whole, mask), mask)
+            if unit:
+                pooled = pooled / np.maximum(np.linalg.norm(pooled, axis=1, keepdims=True), 1e-12)
+            for row, i in enumerate(part):
+                out[i] = pooled[row].tolist()
+            at = stop
+        return out
+
+    return embed
+
+
 def embed(rows: DataFrame, embedder: Embedder, dimension: int, key: str = "chunk_id", text: str = "chunk_text", batch_size: int = 32, fail_fast: bool = False, on_error: Callable[[dict], None] | None = None, ledger: Ledger | None = None) -> DataFrame:
     """(key, embedding, error, batch) in micro-batches of batch_size rows, whatever Arrow batches they come in.
 
