@@ -26,12 +26,12 @@ UNHEARD = "It cost 98765432123."
 
 
 def _quoting():
-    """A generator that quotes the first passage of its prompt that isn't blank; asked for a price, it adds one."""
+    """A generator that quotes the first passage of its prompt that isn't blank; asked for a price, it adds one as a paragraph of its own, since a passage may end within a sentence."""
 
     def answer(prompt: str) -> str:
         passages, question = prompt.rsplit(f"\n\n{retrieval.RULE}\n", 1) if retrieval.RULE in prompt else ("", prompt)
         texts = [x for x in re.split(r"(?:^|\n)--- \[Passage \d+ \(ID: \d+, Doc: d\d+\)\] ---\n", passages)[1:] if x.strip()]
-        return " ".join([texts[0].strip() if texts else "There is no context.", *([UNHEARD] if "the price of" in question else [])])
+        return "\n\n".join([texts[0].strip() if texts else "There is no context.", *([UNHEARD] if "the price of" in question else [])])
 
     return answer
 
