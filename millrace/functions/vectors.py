@@ -21,6 +21,11 @@ def l2_normalize(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x with so many decimals. What is negative and rounds to zero is -0.0, as IEEE rounding gives (F.round goes through decimals, which have one zero)."""
+    return F.abs(F.round(x, places)) * F.signum(x)
+
+
 def is_valid(a: Column, dimension: int) -> Column:
     """Of the right length, with finite numbers only."""
     bad = F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio, ids
 from ..functions.text import byte_size, is_blank, shortened
-from ..functions.vectors import is_valid
+from ..functions.vectors import is_valid, rounded
 from ..operators import dedup, ingest, profiling, validate
 from ..sources import datasets, tables
 from ..sources.lines import ChunkStore
@@ -55,7 +55,7 @@ def vector_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     made = VectorStore(spark, tables.scratch(spark, "store"))
     made.save(views.store(spark, d).drop("position").withColumn("o", -F.col("chunk_id").cast("long")), "o", dimension=64)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return made.load(64).select("position", "chunk_id", F.round(total, 6).alias("total"))
+    return made.load(64).select("position", "chunk_id", rounded(total, 6).alias("total"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT vec_id) AS positions, count(*) FILTER (len(embedding) <> 64) AS invalid, 0::BIGINT AS blank_ids, min(vec_id) AS least, max(vec_id) AS most FROM embeddings")

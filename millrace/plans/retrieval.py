@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import guard
 from ..functions.text import lexical_tokens
 from ..functions.vectors import lexical_score as lexical
+from ..functions.vectors import rounded
 from ..operators import grounding, providers, retrieval
 from ..sources.tables import table
 from . import views
@@ -33,12 +34,12 @@ def _hits(spark: SparkSession, d: str, k: int = K) -> DataFrame:
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     store = views.store(spark, d)
     first = store.filter("position = 0").first()["embedding"]
-    return retrieval.top_k(store, first, K).select("position", F.round("score", 6).alias("score"))
+    return retrieval.top_k(store, first, K).select("position", rounded(F.col("score"), 6).alias("score"))
 
 
 @query(f"WITH {HITS}, {TOP} SELECT query_id, vec_id AS position, round(score, 6) AS score, rank FROM t")
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _hits(spark, d).select("query_id", "position", F.round("score", 6).alias("score"), "rank")
+    return _hits(spark, d).select("query_id", "position", rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS position, round({DOT}, 6) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DOT} DESC, b.vec_id) - 1 AS rank FROM embeddings a, embeddings b QUALIFY rank < 3")
@@ -46,7 +47,7 @@ def vector_topk_grid(spark: SparkSession, d: str) -> DataFrame:
     """Three neighbours of every vector, by the grid join of large query sets."""
     store = views.store(spark, d).select("position", "embedding")
     found = retrieval.best_of(retrieval.grid_top_k(store, store.withColumnRenamed("position", "query_id"), 3).found, 3)
-    return found.select("query_id", "position", F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", "position", rounded(F.col("score"), 6).alias("score"), "rank")
 
 
 @query(f"WITH {HITS}, {TOP} SELECT query_id, rank, vec_id::VARCHAR AS chunk_id, text AS chunk_text FROM t LEFT JOIN documents ON vec_id = doc_id")
@@ -74,7 +75,7 @@ def selected_semi(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {HITS}, {TOP} SELECT query_id, rank, vec_id::VARCHAR AS chunk_id, 'd' || vec_id AS document_id, round(score, 4) AS score, text FROM t JOIN documents ON vec_id = doc_id")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.resolve(_hits(spark, d), views.chunks(spark, d))
-    return found.select("query_id", "rank", "chunk_id", "document_id", F.round("score", 4).alias("score"), F.col("chunk_text").alias("text"))
+    return found.select("query_id", "rank", "chunk_id", "document_id", rounded(F.col("score"), 4).alias("score"), F.col("chunk_text").alias("text"))
 
 
 @query(f"""WITH {HITS}, {TOP}, o AS (SELECT t.query_id, t.vec_id, t.rank, text, row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank) AS n FROM t JOIN documents ON vec_id = doc_id),
