@@ -77,13 +77,12 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query(BATCHES)
 def stream_dedup_log(spark: SparkSession, d: str) -> DataFrame:
-    """Both levels of deduplication over a stream of three micro-batches in two calls, with a log as state; as dedup_batches."""
+    """Both levels of deduplication over a stream of three micro-batches in three calls, with a log as state; as dedup_batches. A micro-batch is all files of a part."""
     source, rows = scratch(spark, "passages"), views.passages(spark, d)
     log, out = dedup.DedupLog(spark, scratch(spark, "dedup-log")), None
-    for parts in ((0, 1), (2,)):
-        for i in parts:
-            rows.filter(F.col("ord") % 3 == i).coalesce(1).write.mode("append").parquet(source)
-        out = live.dedup_into(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), log)
+    for i in range(3):
+        rows.filter(F.col("ord") % 3 == i).write.mode("append").parquet(source)
+        out = live.dedup_into(spark.readStream.schema(rows.schema).parquet(source), log)
     done = log.statistics()
     return out.select("ord", "is_selected", *[F.lit(done[c]).cast("long").alias(c) for c in ("content_duplicates", "conflicts")])
 
