@@ -32,8 +32,9 @@ def nfc(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(x, rf"(?U)^[{STRIPPED}]+|[{STRIPPED}]+$", "")
+    """Without Unicode white space at both ends. The first and the last character tell whether there is any, so most texts aren't searched."""
+    ends = lambda v: F.concat(F.substring(v, 1, 1), F.substring(v, -1, 1))
+    return F.transform(F.array(x), lambda v: F.when(ends(v).rlike(rf"(?U)[{STRIPPED}]"), F.regexp_replace(v, rf"(?U)^[{STRIPPED}]+|[{STRIPPED}]+$", "")).otherwise(v))[0]
 
 
 def is_blank(x: Column) -> Column:
@@ -60,7 +61,7 @@ def normalize(x: Column, compose: bool = True) -> Column:
     """Null as empty; NFC; tab, line feed and carriage return as blanks; runs of blanks as one; stripped."""
     whole = F.coalesce(x, F.lit(""))
     whole = nfc(whole) if compose else whole
-    return strip(F.regexp_replace(F.translate(whole, "\t\n\r", "   "), "  +", " "))
+    return strip(F.regexp_replace(whole, "[ \t\n\r]{2,}|[\t\n\r]", " "))
 
 
 def normalize_optional(x: Column, compose: bool = True) -> Column:
@@ -75,7 +76,7 @@ def sentences(x: Column) -> Column:
 
 def claims(x: Column, compose: bool = True) -> Column:
     """Parts after . ! ? | danda or line feed and white space, composed, normalised, without empty ones. A text that isn't blank has one at least."""
-    parts = F.split(strip(nfc(x) if compose else x), r"(?<=[.!?|।\n])(?U:\s+)")
+    parts = F.split(strip(nfc(x) if compose else x), r"(?U:\s)(?<=[.!?|।\n](?U:\s))(?U:\s*)")  # white space first, as the cheaper test
     return F.filter(F.transform(parts, lambda s: normalize(s, False)), lambda s: s != "")
 
 
@@ -90,7 +91,8 @@ def substantive_tokens(x: Column) -> Column:
 
 
 def numbers(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\b\p{Nd}+(?:\.\p{Nd}+)?\b"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\b\p{Nd}+(?:\.\p{Nd}+)?\b"), F.lit(0)))
+    return F.when(x.rlike(r"\p{Nd}"), found).when(x.isNotNull(), F.array().cast("array<string>"))
 
 
 def space_tokens(x: Column) -> Column:

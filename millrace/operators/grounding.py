@@ -1,98 +1,122 @@
-"""Grounding: claims of an answer against its evidence, as joins of words within an answer."""
+"""Grounding: claims of an answer against its evidence, as one ordered pass over answers and evidence."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import ship, stored
+from ..cluster import ship
 from ..functions.similarity import Evidence
 from ..functions.text import claims, normalize, numbers, substantive_tokens
 
 SUPPORT = 0.55
 OVERLAP_WEIGHT = 0.7
-#: Stands before numbers where words and numbers are tokens; no word holds it.
-MARK = "#"
-
-
-def _tokens(words: Column, figures: Column) -> Column:
-    return F.concat(words, F.transform(figures, lambda n: F.concat(F.lit(MARK), n)))
-
-
-def _matches(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """(answer_id, claim_no, ev, hits, missing): words that a claim shares with a piece of evidence, and whether it has a number that none has.
-
-    Words and numbers of claims meet those of the answer's evidence, so a claim costs its own words and not its evidence's length.
-    """
-    own = asked.select("answer_id", "claim_no", F.explode(_tokens(F.col("words"), F.col("numbers"))).alias("token"))
-    its = held.select("answer_id", "ev", F.explode(_tokens(substantive_tokens(F.col("text")), numbers(F.col("text")))).alias("token"))
-    met = own.join(its, ["answer_id", "token"], "left").repartition("answer_id", "claim_no")
-    number = F.startswith("token", F.lit(MARK))
-    return met.groupBy("answer_id", "claim_no", "ev").agg(F.count_if(~number & F.col("ev").isNotNull()).alias("hits"), F.max(number & F.col("ev").isNull()).alias("missing"))
-
-
-def _inside(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """(answer_id, claim_no, inside) of claims without words: whether a piece of evidence holds the whole claim. Equal claims of an answer are looked for once."""
-    wordless = asked.filter(F.size("words") == 0).groupBy("answer_id", F.lower("claim").alias("low")).agg(F.collect_list("claim_no").alias("numbers"))
-    met = wordless.join(held.select("answer_id", F.lower("text").alias("e_low")), "answer_id")
-    told = met.groupBy("answer_id", "low").agg(F.max(F.contains("e_low", "low")).alias("inside"), F.first("numbers").alias("numbers"))
-    return told.select("answer_id", F.explode("numbers").alias("claim_no"), "inside")
-
-
-def _pair_scores(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Score of each claim of a row against its evidence, which is indexed once. A claim that can't reach its least known best keeps the part its words give."""
-    for frame in frames:
-        out = []
-        for answer, text, asked in zip(frame["answer_id"], frame["e_low"], frame["asked"], strict=True):
-            index = Evidence(text)
-            for x in asked:
-                words = OVERLAP_WEIGHT * x["overlap"]
-                if words + (1 - OVERLAP_WEIGHT) * index.bound(x["low"]) >= x["least"] - 1e-12:
-                    words += (1 - OVERLAP_WEIGHT) * index.ratio(x["low"])
-                out.append((answer, x["claim_no"], words))
-        yield pd.DataFrame(out, columns=["answer_id", "claim_no", "pair"])
-
-
-def _similar(asked: DataFrame, held: DataFrame, counted: DataFrame) -> DataFrame:
-    """(answer_id, claim_no, best) by words and characters, for claims with words and without a number that no evidence has."""
-    ship(asked.sparkSession)
-    failed = counted.filter("missing").select("answer_id", "claim_no").distinct()
-    judged = asked.filter(F.size("words") > 0).join(failed, ["answer_id", "claim_no"], "left_anti")
-    pairs = judged.join(held.filter(F.size(substantive_tokens(F.col("text"))) > 0).select("answer_id", "ev"), "answer_id")
-    pairs = pairs.join(counted.filter("ev IS NOT NULL").select("answer_id", "claim_no", "ev", "hits"), ["answer_id", "claim_no", "ev"], "left")
-    overlap = F.coalesce("hits", F.lit(0)) / F.size("words")
-    pairs = pairs.withColumn("overlap", overlap).withColumn("least", F.max(OVERLAP_WEIGHT * F.col("overlap")).over(Window.partitionBy("answer_id", "claim_no")))
-    grouped = pairs.groupBy("answer_id", "ev").agg(F.collect_list(F.struct("claim_no", F.lower("claim").alias("low"), "overlap", "least")).alias("asked"))  # the claims of one answer
-    met = grouped.join(held.select("answer_id", "ev", F.lower("text").alias("e_low")), ["answer_id", "ev"])
-    kinds = dict(asked.dtypes)
-    scored = met.select("answer_id", "e_low", "asked").mapInPandas(_pair_scores, f"answer_id {kinds['answer_id']}, claim_no int, pair double")
-    return scored.groupBy("answer_id", "claim_no").agg(F.max("pair").alias("best"))
+#: Characters of evidence that an answer keeps until all its words are known, and claims of a batch that goes out.
+HELD_CHARS, BATCH_CLAIMS = 16 << 20, 5000
+
+
+class _Answer:
+    """The claims of an answer, and what its evidence says of them, a piece at a time."""
+
+    def __init__(self, key, sequence: bool):
+        self.key, self.sequence = key, sequence
+        self.claims: list[dict] = []
+        self.lacking: list[set[str]] = []
+        self.best: list[float] = []
+        self.least: list[float] = []
+        self.pieces: list[tuple[str, list[float]]] = []
+        self.chars = 0
+
+    def ask(self, found: list[dict]) -> None:
+        """An answer's claims; they come before all evidence."""
+        self.claims += [x | {"claim_no": i, "words": x["words"].split()} for i, x in enumerate(found)]
+        self.lacking += [set(x["numbers"].split()) for x in found]
+        self.best += [0.0] * len(found)
+        self.least += [0.0] * len(found)
+
+    def meet(self, text: str, words: str, figures: str) -> None:
+        """A piece of evidence: a claim costs its own words, however long the piece is."""
+        own, there, overlaps = set(words.split()), set(figures.split()), []
+        for i, x in enumerate(self.claims):
+            if self.lacking[i]:
+                self.lacking[i] -= there
+            overlap = 0.0
+            if x["words"]:
+                overlap = sum(w in own for w in x["words"]) / len(x["words"])
+                if not self.sequence:
+                    self.best[i] = max(self.best[i], overlap)
+            elif x["low"] in text:
+                self.best[i] = 1.0
+            overlaps.append(overlap)
+        if self.sequence and own:
+            self.least = [max(a, OVERLAP_WEIGHT * b) for a, b in zip(self.least, overlaps, strict=True)]
+            self.pieces.append((text, overlaps))
+            self.chars += len(text)
+            if self.chars > HELD_CHARS:
+                self.compare(False)
+
+    def compare(self, last: bool) -> None:
+        """Characters of the pieces held: each is indexed once. A claim that can't reach its least known best keeps the part its words give; at the end one with a number that no evidence has isn't compared."""
+        for text, overlaps in self.pieces:
+            index = None
+            for i, x in enumerate(self.claims):
+                if not x["words"] or last and self.lacking[i]:
+                    continue
+                index = index or Evidence(text)
+                score = OVERLAP_WEIGHT * overlaps[i]
+                if score + (1 - OVERLAP_WEIGHT) * index.bound(x["low"]) >= max(self.least[i], self.best[i]) - 1e-12:
+                    score += (1 - OVERLAP_WEIGHT) * index.ratio(x["low"])
+                self.best[i] = max(self.best[i], score)
+        self.pieces, self.chars = [], 0
+
+    def rows(self) -> list[tuple]:
+        self.compare(True)
+        return [(self.key, x["claim_no"], x["claim"], 0.0 if lacking else best) for x, lacking, best in zip(self.claims, self.lacking, self.best, strict=True)]
 
 
 def claim_scores(answers: DataFrame, evidence: DataFrame, sequence: bool = True) -> DataFrame:
     """(answer_id, claim_no, claim, score) for answers (answer_id, answer) and evidence (answer_id, text).
 
     Words are compared with each piece of evidence, numbers with all of it. sequence=False leaves out
-    the character similarity, and the word overlap alone is the score.
+    the character similarity, and the word overlap alone is the score. Texts are shuffled once, raw, and come to a task
+    by answer, its claims first; a task holds one answer's claims and a bounded part of its evidence.
     """
-    asked = answers.select("answer_id", F.posexplode(claims(F.col("answer"))).alias("claim_no", "claim"))
-    asked = stored(asked.withColumn("words", substantive_tokens(F.col("claim"))).withColumn("numbers", numbers(F.col("claim"))), "claims")
-    held = evidence.select("answer_id", normalize(F.col("text"), False).alias("text")).filter("text <> ''").withColumn("ev", F.monotonically_increasing_id())
-    if sequence:
-        held = stored(held, "evidence")
-    counted = _matches(asked, held)
-    if sequence:
-        counted = stored(counted, "shared-words")
-    totals = counted.groupBy("answer_id", "claim_no").agg(F.max("hits").alias("hits"), F.max("missing").alias("missing"))
-    whole = asked.join(totals, ["answer_id", "claim_no"], "left").join(_inside(asked, held), ["answer_id", "claim_no"], "left")
-    best = F.col("hits") / F.size("words")
-    if sequence:
-        whole, best = whole.join(_similar(asked, held, counted), ["answer_id", "claim_no"], "left"), F.col("best")
-    score = F.when(F.col("missing"), 0.0).when(F.size("words") == 0, F.coalesce("inside", F.lit(False)).cast("double")).otherwise(F.coalesce(best, F.lit(0.0)))
-    return whole.select("answer_id", "claim_no", "claim", score.alias("score"))
+    ship(answers.sparkSession)
+    asked = answers.select("answer_id", F.lit(False).alias("held"), F.col("answer").alias("text"))
+    held = evidence.filter("answer_id IS NOT NULL").select("answer_id", F.lit(True).alias("held"), "text")
+    rows = asked.unionAll(held).repartition("answer_id").sortWithinPartitions("answer_id", "held")
+    joined = lambda x: F.array_join(x, " ")  # noqa: E731  one string goes to Python faster than many
+    one = lambda c: F.struct(c.alias("claim"), F.lower(c).alias("low"), joined(substantive_tokens(c)).alias("words"), joined(numbers(c)).alias("numbers"))
+    rows = rows.select("answer_id", "held", F.transform(claims(F.when(~F.col("held"), F.col("text"))), one).alias("asked"), F.when(F.col("held"), normalize(F.col("text"), False)).alias("text"))
+    rows = rows.select("answer_id", "held", "asked", F.lower("text").alias("text"), joined(substantive_tokens(F.col("text"))).alias("words"), joined(numbers(F.col("text"))).alias("numbers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, kind = None, [], None
+
+        def shown() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (kind, pa.int32(), pa.string(), pa.float64()), strict=True)], ["answer_id", "claim_no", "claim", "score"])
+
+        for batch in batches:
+            kind = batch.schema.field("answer_id").type
+            for key, is_held, found, text, words, figures in zip(*(batch.column(c).to_pylist() for c in ("answer_id", "held", "asked", "text", "words", "numbers")), strict=True):
+                if now is None or now.key != key:
+                    out += now.rows() if now is not None else []
+                    now = _Answer(key, sequence)
+                if not is_held:
+                    now.ask(found or [])
+                elif text and now.claims:
+                    now.meet(text, words, figures)
+                if len(out) >= BATCH_CLAIMS:
+                    yield shown()
+                    out = []
+        out += now.rows() if now is not None else []
+        if out:
+            yield shown()
+
+    return rows.mapInArrow(run, f"answer_id {dict(answers.dtypes)['answer_id']}, claim_no int, claim string, score double")
 
 
 def roll_up(scores: DataFrame, threshold: float = SUPPORT) -> DataFrame:
