@@ -193,7 +193,8 @@ def _links(docs: DataFrame, k: int, w: int) -> DataFrame:
         salts = min(MOST_SALTS, max(LEAST_SALTS, math.ceil(hot.agg(F.max("count")).first()[0] / HOT_SAMPLE / PART_ROWS)))
         cuts = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / salts for i in range(1, salts)], 10 * salts)).first()[0]
         part = F.aggregate(F.lit(sorted(set(cuts))), F.lit(0), lambda n, c: n + (F.col("doc_id") > c).cast("int"))
-        parted = seeds.join(broadcast_if_small(hot.select("seed", "hot"), row_bytes=32), "seed", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(0))
+        known = [r["seed"] for r in hot.select("seed").collect()]  # one in HOT_SEED seeds at most, so few at any size
+        parted = seeds.withColumn("hot", F.col("seed").isin(known)).withColumn("part", F.when(F.col("hot"), part).otherwise(0))
         near = linked(parted, "seed", "part")
         ends = parted.filter("hot").groupBy("seed", "part").agg(first.alias("f"), last.alias("l"))
         before = Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
