@@ -39,30 +39,78 @@ def top_k(store: DataFrame, query: list[float], k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "position").limit(k)
 
 
+#: Queries scored at a time, and numbers of candidates (rows times places) that are scored exactly at a time.
+QUERY_PART, EXACT_PART = 512, 1 << 21
+
+
 class _Best:
-    """The k best hits so far of a block of queries; of equal scores those with the least position."""
+    """The k best hits so far of a block of queries; of equal scores those with the least position.
+
+    Products in single precision, of vectors brought to length 1 at most, tell which vectors may still be among
+    a query's k best: all whose product isn't further below its k-th score than rounding explains. Only these
+    are scored in double, summed from the first place on as `dot` does, so equal vectors have equal scores.
+    known: scores that each query's k-th best has at least; hits below them may be left out.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, known: np.ndarray | None = None):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.unit = (vectors / np.where(self.norms > 0, self.norms, 1)[:, None]).astype(np.float32)
+        self.known = np.full(len(ids), -np.inf) if known is None else known
+        self.score, self.place, self.empty = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64), np.ones((len(ids), k), dtype=bool)
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.matrix, self.k = ids, vectors.T, k
-        self.score, self.place = np.zeros((0, len(ids))), np.zeros((0, len(ids)), dtype=np.int64)
+    def least(self) -> np.ndarray:
+        """What a hit has to reach to be among the k best of each query."""
+        return np.maximum(self.known, np.where(self.empty[:, -1], -np.inf, self.score[:, -1]))
 
     def add(self, positions: np.ndarray, vectors: np.ndarray) -> None:
         for i in range(0, len(positions), STORE_BLOCK):
-            part = positions[i : i + STORE_BLOCK]
-            score = np.concatenate((self.score, vectors[i : i + STORE_BLOCK] @ self.matrix))
-            place = np.concatenate((self.place, np.broadcast_to(part[:, None], (len(part), len(self.ids)))))
-            if len(score) > self.k:
-                at = np.argpartition(-score, self.k - 1, axis=0)[: self.k]
-                least = np.take_along_axis(score, at, axis=0).min(axis=0)
-                tied = np.flatnonzero((score >= least).sum(axis=0) > self.k)
-                if len(tied):
-                    at[:, tied] = np.lexsort((place[:, tied], -score[:, tied]), axis=0)[: self.k]
-                score, place = np.take_along_axis(score, at, axis=0), np.take_along_axis(place, at, axis=0)
-            self.score, self.place = score, place
+            part, own = positions[i : i + STORE_BLOCK], vectors[i : i + STORE_BLOCK]
+            top = float(np.linalg.norm(own, axis=1).max()) or 1.0
+            small = np.ascontiguousarray((own / top).astype(np.float32).T)
+            first = np.zeros(len(part), dtype=bool)  # a query of zeros has equal scores everywhere
+            first[np.argsort(part, kind="stable")[: self.k]] = True
+            slack = _slack(own.shape[1])
+            for j in range(0, len(self.ids), QUERY_PART):
+                rough = self.unit[j : j + QUERY_PART] @ small
+                norms = self.norms[j : j + QUERY_PART]
+                least = self.least()[j : j + QUERY_PART]
+                bound = least / (np.where(norms > 0, norms, 1) * top) - slack
+                if len(part) > self.k and np.isneginf(least).any():
+                    bound = np.maximum(bound, np.partition(rough, -self.k, axis=1)[:, -self.k] - 2 * slack)
+                may = ~(rough < np.nextafter(bound.astype(np.float32), np.float32(-np.inf))[:, None])
+                if not norms.all():
+                    may[norms == 0] = first
+                self._merge(j, *np.divmod(np.flatnonzero(may), len(part)), part, own)
+
+    def _merge(self, start: int, rows: np.ndarray, at: np.ndarray, positions: np.ndarray, vectors: np.ndarray) -> None:
+        """Score candidates (query start + row, place at) and keep the best of them and those before."""
+        step = max(1, EXACT_PART // max(1, vectors.shape[1]))
+        for i in range(0, len(rows), step):
+            q, v = rows[i : i + step] + start, at[i : i + step]
+            score = np.cumsum(self.vectors[q] * vectors[v], axis=1)[:, -1] if vectors.shape[1] else np.zeros(len(q))
+            keep = ~(score < self.least()[q])
+            q, score, place = q[keep], score[keep], positions[v[keep]]
+            if not len(q):
+                continue
+            met = np.unique(q)
+            old = np.repeat(met, self.k)
+            held = ((old, q), (self.score[met].reshape(-1), score), (self.place[met].reshape(-1), place), (self.empty[met].reshape(-1), np.zeros(len(q), dtype=bool)))
+            q, score, place, empty = map(np.concatenate, held)
+            order = np.lexsort((place, -score, empty, q))
+            begin = np.searchsorted(q[order], met)
+            best = order[begin[:, None] + np.arange(self.k)]
+            self.score[met], self.place[met], self.empty[met] = score[best], place[best], empty[best]
 
     def rows(self) -> pa.RecordBatch:
-        n = len(self.score)
-        return pa.RecordBatch.from_arrays([pa.array(np.tile(self.ids, n)), pa.array(self.place.reshape(-1)), pa.array(self.score.reshape(-1))], ["query_id", "position", "score"])
+        held = ~self.empty.T
+        ids = np.broadcast_to(self.ids, held.shape)
+        return pa.RecordBatch.from_arrays([pa.array(ids[held]), pa.array(self.place.T[held]), pa.array(self.score.T[held])], ["query_id", "position", "score"])
+
+
+def _slack(dimension: int) -> float:
+    """Twice what single precision can make of a product of two vectors of length 1 at most."""
+    return 2 * (dimension + 8) * 2.0**-24
 
 
 def _arrays(batch: pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +118,25 @@ def _arrays(batch: pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of vectors in a block, and of the store's and the queries' blocks that meet in a cell of the grid; rows of the grid, and blocks that bounds are taken from, at most.
-BLOCK_BYTES, CELL_STORE, CELL_QUERIES, MOST_ROWS, SEED_BLOCKS = 4 << 20, 64 << 20, 16 << 20, 1024, 8
+BLOCK_BYTES, CELL_STORE, CELL_QUERIES, MOST_ROWS, SEED_BLOCKS = 4 << 20, 32 << 20, 16 << 20, 1024, 8
+
+
+def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least ids of each distinct vector: of equal vectors no other can be among a query's k best."""
+    if not vectors.size:
+        return np.arange(len(ids))
+    whole = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).reshape(-1)
+    kind = np.unique(whole, return_inverse=True)[1].reshape(-1)
+    order = np.lexsort((ids, kind))
+    kind = kind[order]
+    return np.sort(order[np.arange(len(kind)) - np.searchsorted(kind, kind) < k])
 
 
-def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """(block, ids, vectors, top, size) as rows of at most `most` ids and BLOCK_BYTES of vectors in bytes, the longest vectors of each part first; top: the largest length."""
+def _blocks(rows: DataFrame, key: str, most: int, k: int | None = None) -> DataFrame:
+    """(block, ids, vectors, top, size) as rows of at most `most` ids and BLOCK_BYTES of vectors in bytes, the longest vectors of each part first; top: the largest length.
+
+    k: of equal vectors that come together, the k with the least ids suffice.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -82,6 +144,9 @@ def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            if k is not None:
+                kept = _first_copies(ids, vectors, k)
+                ids, vectors = ids[kept], vectors[kept]
             norms = np.linalg.norm(vectors, axis=1)
             order = np.argsort(-norms, kind="stable")
             step = max(1, min(most, BLOCK_BYTES // max(1, 8 * vectors.shape[1])))
@@ -124,21 +189,29 @@ def grid_top_k(vectors: DataFrame, asked: DataFrame, k: int) -> Grid:
     Blocks of queries make the grid's rows, blocks of vectors its columns. A query block goes to every column, a block of vectors to
     those rows that it can serve: the SEED_BLOCKS with the longest vectors give each query a k-th score that it has at least, and
     |query| * (largest length in a block) bounds what a block can reach. In a cell the blocks come by falling
-    length, and a query block is done when no further one can reach its k-th scores. A cell holds a bounded number of bytes of both sides.
+    length, and a query block is done when no further one can reach its k-th scores. A cell holds a bounded number of bytes of both sides,
+    so its work is bounded, too, and there are as many tasks as cells; what grows with the square of the input is their number.
     """
     ship(vectors.sparkSession)
-    store = stored(_blocks(vectors, "position", STORE_BLOCK), "store-blocks")
+    store = stored(_blocks(vectors, "position", STORE_BLOCK, k), "store-blocks")
     first = store.orderBy(F.desc("top"), "block").limit(SEED_BLOCKS).collect()
     seed = np.concatenate([_opened(r["ids"], r["vectors"])[1] for r in first]) if first else None
 
+    longest = first[0]["top"] if first and first[0]["top"] > 0 else 1.0
+
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enough = seed is not None and len(seed) >= k
+        small = np.ascontiguousarray((seed / longest).astype(np.float32).T) if enough else None
         for batch in batches:
             floor, need = [], []
-            for ids, own in zip(batch.column("ids").to_pylist(), batch.column("vectors").to_pylist(), strict=True):
-                own = _opened(ids, own)[1]
-                norms = np.linalg.norm(own, axis=1)
-                enough = seed is not None and len(seed) >= k
-                least = np.partition(own @ seed.T, -k, axis=1)[:, -k] if enough else np.full(len(own), -np.inf)
+            for ids, own in zip(batch.column("ids"), batch.column("vectors"), strict=True):
+                own = _opened(ids.as_buffer(), own.as_buffer())[1]
+                norms, least = np.linalg.norm(own, axis=1), np.full(len(own), -np.inf)
+                unit = (own / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
+                for i in range(0, len(own) if enough else 0, QUERY_PART):
+                    rough = np.partition(unit[i : i + QUERY_PART] @ small, -k, axis=1)[:, -k].astype(np.float64)
+                    least[i : i + QUERY_PART] = (rough - _slack(own.shape[1])) * longest * norms[i : i + QUERY_PART]
+                least[np.isnan(least)] = -np.inf
                 floor.append(least.tobytes())
                 need.append(float(np.where(norms > 0, least / np.where(norms > 0, norms, 1), -np.inf).min()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor, pa.binary()), pa.array(need, pa.float64())], names=[*batch.schema.names, "floor", "need"])
@@ -159,20 +232,24 @@ def grid_top_k(vectors: DataFrame, asked: DataFrame, k: int) -> Grid:
 
     def cell(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         out = [pa.RecordBatch.from_pydict({"query_id": pa.array([], pa.int64()), "position": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
-        blocks = sorted(theirs.select(["top", "ids", "vectors"]).to_pylist(), key=lambda r: -r["top"])
-        for x in ours.to_pylist():
-            ids, own = _opened(x["ids"], x["vectors"])
-            floor, norms, best = np.frombuffer(x["floor"]), np.linalg.norm(own, axis=1), _Best(ids, own, k)
-            for block in blocks:
-                least = np.maximum(floor, best.score.min(axis=0)) if len(best.score) >= k else floor
-                if not (norms * block["top"] >= least - 1e-9 * (1 + np.abs(least))).any():
+        tops = theirs["top"].to_numpy()
+        blocks = [(float(tops[i]), *_opened(theirs["ids"][i].as_buffer(), theirs["vectors"][i].as_buffer())) for i in np.argsort(-tops, kind="stable").tolist()]
+        for x in zip(ours["ids"], ours["vectors"], ours["floor"], strict=True):
+            x, own, floor = (y.as_buffer() for y in x)
+            ids, own = _opened(x, own)
+            floor = np.frombuffer(floor)
+            best = _Best(ids, own, k, floor - 1e-9 * (1 + np.abs(floor)))
+            for top, places, vectors in blocks:
+                least = best.least()
+                if (best.norms * top < least - 1e-9 * (1 + np.abs(least))).all():
                     break
-                best.add(*_opened(block["ids"], block["vectors"]))
-            if len(best.score):
-                out.append(best.rows())
+                best.add(places, vectors)
+            out.append(best.rows())
         return pa.Table.from_batches(out)
 
-    found = met.groupBy("row", "column").cogroup(sent.groupBy("row", "column")).applyInArrow(cell, "query_id long, position long, score double")
+    cells = rows * columns
+    met, dealt_out = met.repartition(cells, "row", "column"), sent.repartition(cells, "row", "column")
+    found = met.groupBy("row", "column").cogroup(dealt_out.groupBy("row", "column")).applyInArrow(cell, "query_id long, position long, score double")
     return Grid(found, sent.select("row", "block"), sizes[0][1] * len(needs))
 
 
