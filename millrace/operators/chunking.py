@@ -138,7 +138,8 @@ def adaptive_rule(text: Column, short: int = SHORT, medium: int = MEDIUM, tokens
     """passage, sentence or token, by length and sentence marks; without tokens sentence stands in for token."""
     check_lengths(short, medium)
     marks = F.greatest(F.lit(1), F.length(text) - F.length(F.translate(text, ".?!।", "")))
-    long_sentence = F.exists(F.split(text, "[.?!।]+"), lambda s: F.length(strip(s)) > LONG_SENTENCE)
+    run = text.rlike(rf"(?:^|[.?!।])[^.?!।]{{{LONG_SENTENCE + 1}}}")  # a text without one, as most are, isn't split
+    long_sentence = run & F.exists(F.split(text, "[.?!।]+"), lambda s: F.length(strip(s)) > LONG_SENTENCE)
     n, token = F.length(text), "token" if tokens else "sentence"
     return F.when(n <= short, "passage").when(long_sentence, token).when((n <= medium) & (marks >= LEAST_SENTENCES), "sentence").when(n <= medium, "passage").otherwise(token)
 
@@ -195,9 +196,19 @@ def adaptive_chunks(rows: DataFrame, **settings) -> DataFrame:
 
 
 def chunk_all(rows: DataFrame, strategies: dict[str, Parts] = STRATEGIES) -> DataFrame:
-    """Chunks of every strategy from one pass over the rows."""
-    made = F.array(*[F.struct(F.lit(name).alias("strategy"), parts(F.col("text")).alias("parts")) for name, parts in strategies.items()])
-    each = rows.select("document_id", F.explode(made).alias("s"))
+    """Chunks of every strategy from one pass over the rows. Where the adaptive strategy is that of the others, it takes their parts and makes none."""
+    text, own = F.col("text"), dict(strategies)
+    named = ("passage", "sentence", "token")
+    shared = all(own.get(name) is STRATEGIES[name] for name in STRATEGIES)
+    if shared:
+        del own["adaptive"]
+    held = rows.select("document_id", "text", *[parts(text).alias(f"parts_{name}") for name, parts in own.items()])
+    column = {name: F.col(f"parts_{name}") for name in own}
+    if shared:
+        rule = F.transform(F.array(adaptive_rule(text)), lambda r: F.when(r == named[0], column[named[0]]).when(r == named[1], column[named[1]]).otherwise(column[named[2]]))[0]
+        column["adaptive"] = F.when(is_blank(text), F.array().cast(f"array<{PART}>")).otherwise(rule)
+    made = F.array(*[F.struct(F.lit(name).alias("strategy"), column[name].alias("parts")) for name in strategies])
+    each = held.select("document_id", F.explode(made).alias("s"))
     return _opened(each.select("document_id", "s.strategy", F.posexplode("s.parts").alias("chunk_index", "p")))
 
 
@@ -272,13 +283,17 @@ def register_chunker(spark: SparkSession, engine: ChunkingEngine, name: str, mak
 
 
 def quality(chunks: DataFrame, rows: DataFrame, selected: DataFrame) -> DataFrame:
-    """Metrics per strategy of chunks from rows (document_id, text); selected: document_id of relevant passages."""
+    """Metrics per strategy of chunks from rows (document_id, text); selected: document_id of relevant passages.
+
+    Chunks are made once: what is measured of them is stored, without their texts. rows are read apart from that, so they should be cheap to read.
+    """
+    chunks = stored(chunks.select("strategy", "document_id", "chunk_id", "character_count", "token_count", (strip(F.col("chunk_text")) == "").alias("empty")), "measured")
     size = rows.agg(F.sum(F.length("text")).alias("input_chars"))
     hits = chunks.join(selected.select("document_id").distinct(), "document_id", "left_semi").groupBy("strategy").agg(F.count(F.lit(1)).alias("selected_chunks"))
     made = chunks.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("chunks"),
         F.sum("character_count").alias("output_chars"),
-        F.count_if(strip(F.col("chunk_text")) == "").alias("empty_chunks"),
+        F.count_if("empty").alias("empty_chunks"),
         (F.count(F.lit(1)) - F.count_distinct("chunk_id")).alias("duplicate_ids"),
         F.round(F.avg("character_count"), 6).alias("avg_chars"),
         F.min("character_count").alias("min_chars"),
