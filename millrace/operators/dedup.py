@@ -112,6 +112,20 @@ def judge(rows: DataFrame, ids: DataFrame, contents: DataFrame, prefer_selected:
     return Judged(kept, events, dict(zip(COUNTERS, (total, size, total - size - found["n"], found["n"], found["conflicts"]), strict=True)))
 
 
+def _rows_of(batch: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of a batch with the (document_id, ord) that are kept. Where that takes a shuffle, an English passage that equals the translated one isn't sent, and the texts aren't sorted. Rows before the first and behind the last that is kept need no join."""
+    ends = kept.agg(F.min("ord").alias("first"), F.max("ord").alias("last")).first()
+    if ends["first"] is not None:
+        batch = batch.filter(F.col("ord").between(ends["first"], ends["last"]))
+    winners = broadcast_if_small(kept, row_bytes=128)
+    if winners is not kept:
+        return batch.join(winners, ["document_id", "ord"], "left_semi").select(*batch.columns)
+    english, same = F.col("english_passage"), F.col("english_passage").eqNullSafe(F.col("translated_passage"))
+    sent = batch.withColumns({"__same": same, "english_passage": F.when(~same, english)})
+    met = sent.join(kept.hint("shuffle_hash"), ["document_id", "ord"], "left_semi")
+    return met.withColumn("english_passage", F.when(F.col("__same"), F.col("translated_passage")).otherwise(english)).select(*batch.columns)
+
+
 #: Bits a key and hash functions of the log's Bloom filters: about one key in a hundred looks known that isn't.
 BLOOM_BITS, BLOOM_HASHES = 10, 5
 
@@ -204,8 +218,7 @@ class DedupLog:
             ids = stored(self._known(rows, "ids", "document_id", "document_id string"), "known-ids")
             contents = stored(self._known(rows, "contents", "fp", "fp string, flag boolean").groupBy("fp").agg(F.max("flag").alias("flag")), "known-contents")
             found = judge(rows, ids, contents, self.prefer_selected)
-            winners = broadcast_if_small(found.kept.select("document_id", "ord"), row_bytes=128)
-            batch.join(winners, ["document_id", "ord"], "left_semi").select(*batch.columns).write.mode("overwrite").parquet(f"{home}/kept")
+            _rows_of(batch, found.kept.select("document_id", "ord")).write.mode("overwrite").option("compression", "zstd").parquet(f"{home}/kept")
             self._write(found.kept.select("document_id"), home, "ids", "document_id")
             self._write(found.events, home, "contents", "fp")
             write_text(self.spark, f"{self.root}/done/{number}.json", json.dumps(found.counters))
