@@ -105,7 +105,7 @@ def index_languages(spark: SparkSession, d: str) -> DataFrame:
     """Files of two languages, indexed one after the other into one store."""
     root = scratch(spark, "languages")
     for code in ("hi", "bn"):
-        views.records(spark, d).withColumn("target_lang", F.lit(code)).coalesce(1).write.parquet(f"{root}/{build.LANGUAGE_FILES[code][0]}")
+        views.records(spark, d).withColumn("target_lang", F.lit(code)).write.parquet(f"{root}/{build.LANGUAGE_FILES[code][0]}")
     indexer = build.DatasetIndexer(spark, VectorStore(spark, scratch(spark, "indexed")), providers.hash_embedder(8), 8, root, strategy="passage")
     done = indexer.run(["hi", "bn"])
     rows = [(code, x["passages"], x["chunks"], done["vectors"]) for code, x in done["languages"].items()]
