@@ -40,7 +40,7 @@ def top_k(store: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 #: Queries scored at a time, and numbers of candidates (rows times places) that are scored exactly at a time.
-QUERY_PART, EXACT_PART = 512, 1 << 21
+QUERY_PART, EXACT_PART = 512, 1 << 19
 
 
 class _Best:
@@ -132,10 +132,11 @@ def _first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[np.arange(len(kind)) - np.searchsorted(kind, kind) < k])
 
 
-def _blocks(rows: DataFrame, key: str, most: int, k: int | None = None) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, most: int, k: int | None = None, more: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """(block, ids, vectors, top, size) as rows of at most `most` ids and BLOCK_BYTES of vectors in bytes, the longest vectors of each part first; top: the largest length.
 
-    k: of equal vectors that come together, the k with the least ids suffice.
+    k: of equal vectors that come together, the k with the least ids suffice. more: what adds columns to the rows, and
+    their schema; it runs in the worker that packs them, since a second one would hold its own memory.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +158,19 @@ def _blocks(rows: DataFrame, key: str, most: int, k: int | None = None) -> DataF
         for batch in batches:
             if batch.num_rows:
                 held.append(_arrays(batch, key))
-                if sum(v.nbytes for _, v in held) >= 4 * BLOCK_BYTES:
+                if sum(v.nbytes for _, v in held) >= 2 * BLOCK_BYTES:
                     yield from flush()
         if held:
             yield from flush()
 
-    return rows.mapInArrow(pack, "ids binary, vectors binary, top double, size long").withColumn("block", F.monotonically_increasing_id())
+    schema = "ids binary, vectors binary, top double, size long"
+    made = rows.mapInArrow(pack, schema) if more is None else rows.mapInArrow(lambda batches: more[0](pack(batches)), f"{schema}, {more[1]}")
+    return made.withColumn("block", F.monotonically_increasing_id())
+
+
+def _seed_step(seeds: int) -> int:
+    """Queries that are held against so many seeds at a time: their products take no more room than those of a part of queries and a block."""
+    return max(1, QUERY_PART * STORE_BLOCK // max(1, seeds))
 
 
 def _opened(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -195,29 +203,27 @@ def grid_top_k(vectors: DataFrame, asked: DataFrame, k: int) -> Grid:
     ship(vectors.sparkSession)
     store = stored(_blocks(vectors, "position", STORE_BLOCK, k), "store-blocks")
     first = store.orderBy(F.desc("top"), "block").limit(SEED_BLOCKS).collect()
-    seed = np.concatenate([_opened(r["ids"], r["vectors"])[1] for r in first]) if first else None
-
     longest = first[0]["top"] if first and first[0]["top"] > 0 else 1.0
+    seed = np.concatenate([(_opened(r["ids"], r["vectors"])[1] / longest).astype(np.float32) for r in first]) if first else np.empty((0, 0))
+    enough, small = len(seed) >= k, np.ascontiguousarray(seed.T)
+    step = _seed_step(len(seed))
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enough = seed is not None and len(seed) >= k
-        small = np.ascontiguousarray((seed / longest).astype(np.float32).T) if enough else None
         for batch in batches:
             floor, need = [], []
             for ids, own in zip(batch.column("ids"), batch.column("vectors"), strict=True):
                 own = _opened(ids.as_buffer(), own.as_buffer())[1]
                 norms, least = np.linalg.norm(own, axis=1), np.full(len(own), -np.inf)
                 unit = (own / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
-                for i in range(0, len(own) if enough else 0, QUERY_PART):
-                    rough = np.partition(unit[i : i + QUERY_PART] @ small, -k, axis=1)[:, -k].astype(np.float64)
-                    least[i : i + QUERY_PART] = (rough - _slack(own.shape[1])) * longest * norms[i : i + QUERY_PART]
+                for i in range(0, len(own) if enough else 0, step):
+                    rough = np.partition(unit[i : i + step] @ small, -k, axis=1)[:, -k].astype(np.float64)
+                    least[i : i + step] = (rough - _slack(own.shape[1])) * longest * norms[i : i + step]
                 least[np.isnan(least)] = -np.inf
                 floor.append(least.tobytes())
                 need.append(float(np.where(norms > 0, least / np.where(norms > 0, norms, 1), -np.inf).min()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor, pa.binary()), pa.array(need, pa.float64())], names=[*batch.schema.names, "floor", "need"])
 
-    packed = _blocks(asked, "query_id", QUERY_BLOCK)
-    queries = stored(packed.mapInArrow(floors, "ids binary, vectors binary, top double, size long, block long, floor binary, need double"), "query-blocks")
+    queries = stored(_blocks(asked, "query_id", QUERY_BLOCK, more=(floors, "floor binary, need double")), "query-blocks")
     sizes = [df.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first() for df in (store, queries)]
     columns = max(1, -(-sizes[0][0] // CELL_STORE))
     rows = max(1, min(MOST_ROWS, -(-sizes[1][0] // CELL_QUERIES)))
@@ -279,7 +285,10 @@ def batched_top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             best = _Best(ids, matrix, k) if len(ids) else None
             for batch in batches:
                 if best and batch.num_rows:
-                    best.add(*_arrays(batch, "position"))
+                    places, own = _arrays(batch, "position")
+                    for i in range(0, len(places), STORE_BLOCK):
+                        kept = i + _first_copies(places[i : i + STORE_BLOCK], own[i : i + STORE_BLOCK], k)
+                        best.add(places[kept], own[kept])
             if best:
                 yield best.rows()
 
