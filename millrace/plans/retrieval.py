@@ -182,13 +182,13 @@ def grounding_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ANSWERS} SELECT answer_id, count(*) AS claims, CASE WHEN min(score) >= 0.55 THEN 'grounded' ELSE 'flagged' END AS verdict, round(CASE WHEN min(score) >= 0.55 THEN avg(score) ELSE min(score) END, 6) AS score, count(*) FILTER (score < 0.55) AS n_flagged FROM g GROUP BY answer_id")
 def grounding_rollup(spark: SparkSession, d: str) -> DataFrame:
-    rolled = grounding.roll_up(grounding.claim_scores(*_answers(spark, d), sequence=False))
+    rolled = grounding.verify(*_answers(spark, d), sequence=False)
     return rolled.select("answer_id", "claims", "verdict", F.round("score", 6).alias("score"), F.size("flagged").cast("long").alias("n_flagged"))
 
 
 @query()
 def grounding_full(spark: SparkSession, d: str) -> DataFrame:
-    return grounding.roll_up(grounding.claim_scores(*_answers(spark, d)))
+    return grounding.verify(*_answers(spark, d))
 
 
 @query()
