@@ -27,8 +27,9 @@ def _compose(x: pd.Series) -> pd.Series:
 
 
 def nfc(x: Column) -> Column:
+    """Texts whose characters all lie below U+0300, where nothing composes, don't go to Python."""
     ship()
-    return F.pandas_udf(_compose, T.StringType())(x)
+    return F.coalesce(F.pandas_udf(_compose, T.StringType())(F.when(x.rlike(r"[^\x00-\u02FF]"), x)), x)
 
 
 def strip(x: Column) -> Column:
@@ -61,7 +62,7 @@ def normalize(x: Column, compose: bool = True) -> Column:
     """Null as empty; NFC; tab, line feed and carriage return as blanks; runs of blanks as one; stripped."""
     whole = F.coalesce(x, F.lit(""))
     whole = nfc(whole) if compose else whole
-    return strip(F.regexp_replace(whole, "[ \t\n\r]{2,}|[\t\n\r]", " "))
+    return strip(F.regexp_replace(whole, "[ \t\n\r](?:[ \t\n\r]+|(?<! ))", " "))  # one test at most characters
 
 
 def normalize_optional(x: Column, compose: bool = True) -> Column:
@@ -86,7 +87,7 @@ def lexical_tokens(x: Column) -> Column:
 
 def substantive_tokens(x: Column) -> Column:
     """Distinct words without stop words, of two characters or more; digits of any length."""
-    words = F.regexp_extract_all(F.lower(x), F.lit("[a-zA-Z0-9ऀ-ൿ]{2,}|[\\p{Nd}&&[0-9ऀ-ൿ]]"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(x), F.lit("[a-zA-Z0-9ऀ-ൿ][a-zA-Z0-9ऀ-ൿ]+|[\\p{Nd}&&[0-9ऀ-ൿ]]"), F.lit(0))
     return F.filter(F.array_distinct(words), lambda w: ~w.isin(*STOP_WORDS))
 
 
