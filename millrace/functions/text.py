@@ -20,6 +20,9 @@ ENGLISH_STOP_WORDS = (
 ).split()
 HINDI_STOP_WORDS = "है हैं था थी थे का की के में से ने पर को और या यह वह जो एक इन उन भी ही तो कर दिया लिए रहे रहा रही".split()
 STOP_WORDS = ENGLISH_STOP_WORDS + HINDI_STOP_WORDS
+# Patterns of lower-cased text: words of two characters or more and single digits; numbers.
+SUBSTANTIVE = "[a-zA-Z0-9ऀ-ൿ][a-zA-Z0-9ऀ-ൿ]+|[\\p{Nd}&&[0-9ऀ-ൿ]]"
+NUMBER = r"\b\p{Nd}+(?:\.\p{Nd}+)?\b"
 
 
 def _compose(x: pd.Series) -> pd.Series:
@@ -87,12 +90,12 @@ def lexical_tokens(x: Column) -> Column:
 
 def substantive_tokens(x: Column) -> Column:
     """Distinct words without stop words, of two characters or more; digits of any length."""
-    words = F.regexp_extract_all(F.lower(x), F.lit("[a-zA-Z0-9ऀ-ൿ][a-zA-Z0-9ऀ-ൿ]+|[\\p{Nd}&&[0-9ऀ-ൿ]]"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(x), F.lit(SUBSTANTIVE), F.lit(0))
     return F.filter(F.array_distinct(words), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def numbers(x: Column) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\b\p{Nd}+(?:\.\p{Nd}+)?\b"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(NUMBER), F.lit(0)))
     return F.when(x.rlike(r"\p{Nd}"), found).when(x.isNotNull(), F.array().cast("array<string>"))
 
 

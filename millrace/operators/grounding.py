@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..cluster import ship
 from ..functions.similarity import Evidence
-from ..functions.text import claims, normalize, numbers, substantive_tokens
+from ..functions.text import NUMBER, STOP_WORDS, SUBSTANTIVE, claims, normalize
 
 SUPPORT = 0.55
 OVERLAP_WEIGHT = 0.7
 #: Characters of evidence that an answer keeps until all its words are known, and claims of a batch that goes out.
 HELD_CHARS, BATCH_CLAIMS = 16 << 20, 5000
+STOPPED = frozenset(STOP_WORDS)
 #: What rounding may move a sum of two parts by, with room.
 SLACK = 1e-12
 
@@ -40,14 +41,14 @@ class _Answer:
         own = found.split("\n")
         self.numbered += enumerate(own)
         self.low += low.split("\n")
-        self.words += [x.split() for x in words.split("\n")]
+        self.words += [[w for w in dict.fromkeys(x.split()) if w not in STOPPED] for x in words.split("\n")]
         self.lacking += [set(x.split()) for x in figures.split("\n")]
         self.best += [0.0] * len(own)
         self.least += [0.0] * len(own)
 
     def meet(self, text: str, words: str, figures: str) -> None:
         """A piece of evidence: a claim costs its own words, however long the piece is."""
-        own, there, overlaps = set(words.split()), set(figures.split()), []
+        own, there, overlaps = set(words.split()) - STOPPED, set(figures.split()), []
         for i, mine in enumerate(self.words):
             if self.lacking[i]:
                 self.lacking[i] -= there
@@ -140,10 +141,11 @@ def _judged(answers: DataFrame, evidence: DataFrame, sequence: bool, rows_of: Ca
     asked = answers.select("answer_id", F.lit(False).alias("held"), F.col("answer").alias("text"))
     held = evidence.filter("answer_id IS NOT NULL").select("answer_id", F.lit(True).alias("held"), "text")
     rows = asked.unionAll(held).repartition("answer_id").sortWithinPartitions("answer_id", "held")
-    # Claims and pieces have no line feed, so a text has a line for each claim, and one string goes to Python faster than many.
-    lines = lambda f: F.array_join(F.transform("parts", f), "\n")
-    rows = rows.select("answer_id", "held", F.when(F.col("held"), F.array(normalize(F.col("text"), False))).otherwise(claims(F.when(~F.col("held"), F.col("text")))).alias("parts"))
-    rows = rows.select("answer_id", "held", F.when(~F.col("held"), F.array_join("parts", "\n")).alias("claims"), lines(F.lower).alias("low"), lines(lambda c: F.array_join(substantive_tokens(c), " ")).alias("words"), lines(lambda c: F.array_join(numbers(c), " ")).alias("numbers"))
+    # Claims and pieces have no line feed, so a text has a line for each claim, and so have its words and numbers; one string goes to Python faster than many.
+    found_in = lambda pattern: F.array_join(F.regexp_extract_all("low", F.lit(rf"\n|(?:{pattern})"), F.lit(0)), " ")
+    rows = rows.select("answer_id", "held", F.array_join(F.when(F.col("held"), F.array(normalize(F.col("text"), False))).otherwise(claims(F.when(~F.col("held"), F.col("text")))), "\n").alias("lines"))
+    rows = rows.select("answer_id", "held", F.when(~F.col("held"), F.col("lines")).alias("claims"), F.lower("lines").alias("low"))
+    rows = rows.select("answer_id", "held", "claims", "low", found_in(SUBSTANTIVE).alias("words"), found_in(rf"(?=\p{{Nd}}){NUMBER}").alias("numbers"))
     names = ["answer_id", *(name for name, _, _ in columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
